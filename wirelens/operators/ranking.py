@@ -32,42 +32,49 @@ def exact_percentiles(
     a column without values gives null.
     """
     wanted = sorted(set(shares))
-    margin = 2.0 / accuracy
+    # sketch error plus two ranks; tables below `accuracy` rows are counted as a whole
+    margin = 4.0 / accuracy
     marks = sorted({min(1.0, max(0.0, s + d)) for s in wanted for d in (-margin, margin)})
     clean = df.select(
         *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
     )
     sketch = clean.agg(*[
-        F.percentile_approx(c, [float(m) for m in marks], accuracy).alias(f"marks{i}")
+        expr
         for i, c in enumerate(columns)
+        for expr in (
+            F.count(c).alias(f"n{i}"),
+            F.percentile_approx(c, [float(m) for m in marks], accuracy).alias(f"marks{i}"),
+        )
     ]).first()
     place = {m: i for i, m in enumerate(marks)}
     brackets = [
         (place[max(0.0, s - margin)], place[min(1.0, s + margin)]) for s in wanted
     ]
-
-    def binned(position: int, name: str) -> Column:
-        value = F.col(name)
-        edge = sketch[f"marks{position}"] or [0.0] * len(marks)
-        inside = F.lit(False)
-        for low, high in brackets:
-            inside = inside | value.between(edge[low], edge[high])
-        # outside every bracket: the bin is named by the largest edge below it
-        below = F.lit(float("-inf"))
-        for e in sorted(set(edge)):
-            below = F.when(value > e, e).otherwise(below)
-        return F.struct(
-            F.lit(position).alias("position"),
-            F.when(inside, value).otherwise(below).alias("value"),
-            (~inside).alias("outside"),
-        )
-
+    infinity = float("inf")
+
+    def edges_of(i: int) -> list[float]:
+        if sketch[f"n{i}"] < accuracy:
+            return [-infinity] * (len(marks) - 1) + [infinity]
+        return sketch[f"marks{i}"]
+
+    table = F.array(*[F.array(*[F.lit(e) for e in edges_of(i)]) for i in range(len(columns))])
+    value = F.col("value")
+    edges = [F.get(F.get(table, F.col("position")), F.lit(k)) for k in range(len(marks))]
+    inside = value.between(edges[0], edges[-1]) & (edges[-1] == infinity)
+    for low, high in brackets:
+        inside = inside | value.between(edges[low], edges[high])
+    # outside every bracket a bin is named by the largest edge below it
+    below = F.lit(float("-inf"))
+    for edge in edges:
+        below = F.when(value > edge, edge).otherwise(below)
     long = (
-        clean.select(F.explode(F.array(*[
-            F.when(F.col(c).isNotNull(), binned(i, c)) for i, c in enumerate(columns)
-        ])).alias("cell"))
-        .where(F.col("cell").isNotNull())
-        .groupBy("cell.position", "cell.value", "cell.outside")
+        clean.select(F.posexplode(F.array(*columns)).alias("position", "value"))
+        .where(value.isNotNull())
+        .withColumn("inside", inside)
+        .groupBy(
+            "position", F.when(F.col("inside"), value).otherwise(below).alias("value"),
+            (~F.col("inside")).alias("outside"),
+        )
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     order = Window.partitionBy("position").orderBy("value", "outside")

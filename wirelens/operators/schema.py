@@ -92,8 +92,10 @@ def parse_records(df: DataFrame, column: str, schema: T.StructType | str) -> Dat
     one = F.array(F.from_json(text, schema))
     many = F.from_json(text, T.ArrayType(schema))
     rest = [c for c in df.columns if c != column]
-    return df.select(
-        *rest, F.explode(F.when(text.startswith("["), many).otherwise(one)).alias("_record")
+    records = F.when(text.startswith("["), many).otherwise(one)
+    # the outer form keeps the text from being parsed a second time for a size filter
+    return df.select(*rest, F.explode_outer(records).alias("_record")).where(
+        F.col("_record").isNotNull()
     ).select(*rest, "_record.*")
 
 

@@ -19,8 +19,11 @@ FLAG_BY_EVENT = {
 }
 FEATURES = [
     "flow_duration", "total_fwd_packets", "total_backward_packets", "flow_bytes_s",
-    "down_up_ratio", "fwd_packet_length_mean", "bwd_psh_flags",
+    "down_up_ratio", "fwd_packet_length_mean", "bwd_psh_flags", "average_packet_size",
+    "rst_flag_count", "psh_flag_count", "fwd_header_length", "fin_flag_count",
 ]
+# without the column that is a multiple of another one: equal scores have no rank
+DISTINCT_FEATURES = [f for f in FEATURES if f != "total_fwd_packets"]
 METADATA = ["flow_id", "source_ip", "source_port", "destination_ip", "destination_port",
             "protocol"]
 CLASSES = ["BENIGN", "Botnet", "BruteForce", "DDoS", "PortScan"]
@@ -32,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+        .parquet(sf_dir)
     )
 
 
@@ -109,12 +114,23 @@ def _flow_columns() -> list[Column]:
         F.abs("l_discount").alias("down_up_ratio"),
         (F.abs("l_tax") * 1000.0).alias("fwd_packet_length_mean"),
         F.lit(0.0).alias("bwd_psh_flags"),
+        (F.col("l_quantity") * F.col("l_quantity") * F.col("l_quantity") / 100.0).alias(
+            "average_packet_size"
+        ),
+        F.when(F.col("l_partkey") % 50 == 0, 20).otherwise(0).alias("rst_flag_count"),
+        F.when(F.col("l_suppkey") % 25 == 0, 40).otherwise(3).alias("psh_flag_count"),
+        F.when(order % 30 == 0, 2).otherwise(20).alias("fwd_header_length"),
+        F.when(order % 40 == 1, 0).otherwise(1).alias("fin_flag_count"),
         class_label().alias("label"),
     ]
 
 
+def flows_from(lines: DataFrame) -> DataFrame:
+    return lines.select(*_flow_columns())
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(*_flow_columns())
+    return flows_from(table(spark, sf_dir, "lineitem"))
 
 
 def dirty_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +147,9 @@ def dirty_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(copies).drop("l_orderkey", "l_partkey", "l_suppkey")
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows with model scores set by fixed arithmetic, so any engine can repeat them."""
-    lines = table(spark, sf_dir, "lineitem")
+def scores_from(lines: DataFrame) -> DataFrame:
+    """Flows with model scores set by fixed arithmetic, so any engine can repeat them; class,
+    confidence and probability map are ready for fusion."""
     benign = F.col("l_quantity") / 50.0
     rest = F.lit(1.0) - benign
     chosen = F.lit(1) + F.col("l_linenumber") % 4
@@ -142,7 +158,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.when(chosen == i, rest * 0.7).otherwise(rest * 0.1) for i in range(1, 5)],
     )
     anomaly = (F.col("l_suppkey") % 100).cast("double") / 100.0
-    return lines.select(
+    rows = lines.select(
         *_flow_columns(),
         (F.abs("l_discount") * 10.0).alias("if_score"),
         (F.abs("l_tax") * 0.5).alias("ae_error"),
@@ -151,11 +167,6 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(anomaly >= 0.5, "ANOMALY").otherwise("BENIGN").alias("q_label"),
         F.greatest(anomaly, F.lit(1.0) - anomaly).alias("q_confidence"),
     )
-
-
-def verdict_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score view with class, confidence and probability map, ready for fusion."""
-    rows = scores(spark, sf_dir)
     return rows.withColumns({
         "rf_index": S.top_class(F.col("probabilities")),
         "rf_confidence": F.array_max("probabilities"),
@@ -163,6 +174,10 @@ def verdict_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).withColumn("rf_class", S.class_name(F.col("rf_index"), CLASSES))
 
 
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_from(table(spark, sf_dir, "lineitem"))
+
+
 def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four angles in [0, pi] per vector and a binary label."""
     x = [
