@@ -161,6 +161,17 @@ def consumer_model_status(status: Column) -> Column:
     )
 
 
+def consumer_model(name: Column) -> Column:
+    """Struct of the consumer name and role of a model."""
+    lowered = F.lower(name)
+    friendly, role = name, F.lit(K.CONSUMER_MODEL_ROLE)
+    for parts, label, task in reversed(K.CONSUMER_MODELS):
+        match = reduce(lambda a, b: a | b, [lowered.contains(p) for p in parts])
+        friendly = F.when(match, label).otherwise(friendly)
+        role = F.when(match, task).otherwise(role)
+    return F.struct(friendly.alias("name"), role.alias("role"))
+
+
 def consumer_reason(sentence: Column) -> Column:
     return reduce(
         lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])),

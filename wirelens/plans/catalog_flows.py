@@ -368,8 +368,8 @@ def held_out_split(spark, d):
 
 _DRAWN = {
     "flow_duration": "flow_duration", "n_fwd": "total_fwd_packets::INTEGER",
-    "n_bwd": "total_backward_packets::INTEGER", "mean_fwd": "flow_bytes_s / 70.123457::DOUBLE",
-    "mean_bwd": "fwd_packet_length_mean / 3.1234567::DOUBLE", "syn": "1", "ack": "protocol", "rst": "rst_flag_count",
+    "n_bwd": "total_backward_packets::INTEGER", "mean_fwd": "flow_bytes_s / 70.1234::DOUBLE",
+    "mean_bwd": "fwd_packet_length_mean / 3.12345::DOUBLE", "syn": "1", "ack": "protocol", "rst": "rst_flag_count",
     "psh": "psh_flag_count", "win_fwd": "8192", "win_bwd": "0", "fin": "fin_flag_count",
 }
 
@@ -408,8 +408,8 @@ def derive_flow_metrics(spark, d):
     drawn = V.flows(spark, d).select(
         "flow_key", "flow_duration", c("total_fwd_packets").cast("int").alias("n_fwd"),
         c("total_backward_packets").cast("int").alias("n_bwd"),
-        (c("flow_bytes_s") / 70.123457).alias("mean_fwd"),
-        (c("fwd_packet_length_mean") / 3.1234567).alias("mean_bwd"), F.lit(1).alias("syn"),
+        (c("flow_bytes_s") / 70.1234).alias("mean_fwd"),
+        (c("fwd_packet_length_mean") / 3.12345).alias("mean_bwd"), F.lit(1).alias("syn"),
         c("protocol").alias("ack"), c("rst_flag_count").alias("rst"),
         c("psh_flag_count").alias("psh"), F.lit(8192).alias("win_fwd"),
         F.lit(0).alias("win_bwd"), c("fin_flag_count").alias("fin"),
