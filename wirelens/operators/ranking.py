@@ -205,22 +205,29 @@ def running_sums(
     sums: list[str],
     by: list[str] | None = None,
     descending: bool = False,
-    slices: int = 128,
+    slices: int = 64,
 ) -> DataFrame:
     """Cumulative sums of `sums` in the order of `key` within `by`, for rows with distinct keys.
 
-    The order is cut at approximate quantiles of the keys, so every slice has a similar number of
-    rows; slice totals are added up first and handed to the slices.
+    The order is cut at approximate quantiles of all keys, so no slice (nor any part of it that
+    one `by` group holds) has many rows; slice totals are added up first and handed to the slices.
     """
     by = by or []
     shares = [i / slices for i in range(1, slices)]
-    edges = df.groupBy(*by).agg(F.percentile_approx(key, shares, 10_000).alias("_edges"))
-    if by:
-        cut = df.join(edges, by)
-    else:
-        cut = df.withColumn("_edges", edges.scalar())
-    above = F.size(F.filter(F.array_distinct("_edges"), lambda e: e <= F.col(key)))
-    cut = cut.withColumn("_slice", -above if descending else above).drop("_edges")
+    found = df.agg(F.percentile_approx(key, shares, 10_000).alias("e")).first()["e"]
+    edges = sorted(set(found or []))
+
+    def slice_of(low: int, high: int) -> Column:
+        """Number of edges at or below the key, by halving: a short chain of comparisons."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key) < edges[middle], slice_of(low, middle)).otherwise(
+            slice_of(middle + 1, high)
+        )
+
+    above = slice_of(0, len(edges))
+    cut = df.withColumn("_slice", -above if descending else above)
     totals = cut.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_total_{s}") for s in sums])
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(

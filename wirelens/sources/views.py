@@ -9,6 +9,7 @@ from wirelens import constants as K
 from wirelens.functions import scores as S
 from wirelens.operators.flows import MICROS, port_protocol
 from wirelens.sources.synthetic import generate_flows
+from wirelens.workspace import spread
 
 SESSION_GAP_US = 6 * 3600 * MICROS
 # slices of two days keep some 4 packets of a user together in the test table
@@ -130,12 +131,12 @@ def flows_from(lines: DataFrame) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows_from(table(spark, sf_dir, "lineitem"))
+    return flows_from(spread(table(spark, sf_dir, "lineitem")))
 
 
 def dirty_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with infinite, missing and negative cells and with copied rows."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
     rows = lines.select(*_flow_columns(), "l_orderkey", "l_partkey", "l_suppkey").withColumns({
         "flow_duration": F.when(part % 97 == 0, float("inf"))
@@ -175,7 +176,7 @@ def scores_from(lines: DataFrame) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores_from(table(spark, sf_dir, "lineitem"))
+    return scores_from(spread(table(spark, sf_dir, "lineitem")))
 
 
 def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,4 +192,5 @@ def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def synthetic(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """One generated flow per event of the table."""
-    return generate_flows(table(spark, sf_dir, "events").select("event_id"), "event_id", **options)
+    ids = spread(table(spark, sf_dir, "events").select("event_id"))
+    return generate_flows(ids, "event_id", **options)

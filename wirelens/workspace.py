@@ -35,6 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/wirelens/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores (a small file) is spread over the cores;
+    a larger one is left alone, so at scale this adds no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: survives lost executors, cuts the lineage."""
     path = scratch_path(df.sparkSession, name)
