@@ -3,9 +3,11 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from wirelens.operators import flows
+from wirelens.sources.tables import packet_stream
+from wirelens.streaming import runs
+from wirelens.streaming.flows import flush_open_flows, stream_flows
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -67,20 +69,48 @@ def test_sessions_equal_a_plain_scan(spark, slice_seconds):
     assert found == want
 
 
-def test_times_of_one_flow(spark):
-    times = [5_000_000, 1_000_000, 2_500_000]
-    got = spark.range(1).select(*[
-        e.alias(n) for n, e in flows.iat_from_times(F.array(*[F.lit(t) for t in times])).items()
-    ]).first()
-    diffs = np.diff(sorted(times))
-    assert got["_iat_mean"] == pytest.approx(diffs.mean())
-    assert got["_iat_std"] == pytest.approx(diffs.std())
-    assert (got["_iat_max"], got["_iat_min"]) == (diffs.max(), diffs.min())
-
-
 def test_no_plan_sorts_a_whole_source(spark):
     """Windows over packets are keyed by source and time slice."""
     df = packets(spark, [("a", 0.0, 1, True, "ACK")])
     plan = flows.sessionize(df)._jdf.queryExecution().optimizedPlan().toString()
     lines = [line for line in plan.splitlines() if "Window [" in line and "lag(_at" in line]
     assert lines and all("_slice" in line for line in lines)
+
+
+def test_stream_in_many_batches_equals_batch(spark, tmp_path):
+    """Files arrive one by one, partly out of order; the watermark closes flows on the way."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for ip, n in (("hot", 400), ("b", 60)):
+        times = np.cumsum(rng.choice([0.0, 0.4, 2.9, 3.5, 30.0], n))
+        rows += [(ip, float(t), int(rng.integers(40, 900)), bool(rng.random() < 0.6),
+                  str(rng.choice(["SYN", "ACK", "PSH"]))) for t in times]
+    rows.sort(key=lambda r: r[1] + rng.uniform(0, 4))
+    size = 46
+    for i in range(0, len(rows), size):
+        part = packets(spark, rows[i:i + size]).coalesce(1)
+        part.write.parquet(str(tmp_path / "in" / f"part={i:04d}"))
+    source = packet_stream(
+        spark, str(tmp_path / "in" / "*"), packets(spark, rows[:1]).schema, "parquet",
+        maxFilesPerTrigger=1, latestFirst=False,
+    )
+    emitted = runs.drain(stream_flows(source, delay="60 seconds"), "test-flows")
+    everything = packets(spark, rows)
+    batch = flows.flow_table(everything)
+    assert emitted.count() > batch.count() * 0.6
+    whole = flush_open_flows(emitted, everything, 3 * flows.MICROS, 3600 * flows.MICROS)
+
+    def table(df):
+        return {
+            (r["flow_id"], r["start_us"]): [
+                v if isinstance(v, str) else pytest.approx(v, rel=1e-9, abs=1e-6)
+                for v in list(r)[2:]
+            ]
+            for r in df.select(*batch.columns).collect()
+        }
+
+    got, want = table(whole), {k: [getattr(x, "expected", x) for x in v]
+                               for k, v in table(batch).items()}
+    assert got.keys() == want.keys() and whole.count() == batch.count()
+    for key, values in want.items():
+        assert values == got[key]

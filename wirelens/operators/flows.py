@@ -94,7 +94,7 @@ def _flag_count(name: str) -> Column:
 
 
 def base_aggregates(at: Column) -> list[Column]:
-    """Aggregates of one flow that batch and streaming share; all merge partially."""
+    """Aggregates of one flow; all merge partially."""
     length = F.col("length").cast("long")
     forward, backward = F.col("is_forward"), ~F.col("is_forward")
     return [
@@ -122,28 +122,6 @@ def iat_aggregates(iat: str = "iat_us") -> list[Column]:
     ]
 
 
-def iat_from_times(times: Column) -> dict[str, Column]:
-    """The same four numbers from the array of packet times of one flow (streaming)."""
-    ordered = F.array_sort(times)
-    n = F.size(ordered)
-    diffs = F.zip_with(
-        F.slice(ordered, 2, F.greatest(n - 1, F.lit(0))), ordered, lambda b, a: b - a
-    )
-    diffs = F.filter(diffs, lambda d: d.isNotNull())
-    total = F.aggregate(diffs, F.lit(0).cast("long"), lambda acc, d: acc + d)
-    mean = F.try_divide(total, F.size(diffs))
-    spread = F.aggregate(
-        diffs, F.lit(0.0), lambda acc, d: acc + (d - mean) * (d - mean)
-    )
-    zero = F.lit(0.0)
-    return {
-        "_iat_mean": F.coalesce(mean, zero),
-        "_iat_std": F.coalesce(F.sqrt(F.try_divide(spread, F.size(diffs))), zero),
-        "_iat_max": F.coalesce(F.array_max(diffs).cast("double"), zero),
-        "_iat_min": F.coalesce(F.array_min(diffs).cast("double"), zero),
-    }
-
-
 def packet_features() -> dict[str, Column]:
     """The 51 features from the aggregates above, by column name."""
     c = F.col

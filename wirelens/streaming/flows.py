@@ -1,26 +1,158 @@
-"""Streaming sessions of packets, and the flush of flows still open when the stream stops."""
+"""Streaming sessions of packets, and the flush of flows still open when the stream stops.
+
+The state of a five-tuple is small whatever the length of its flow: running numbers of the open
+session, plus the packets that are not yet older than the watermark. Only those may still be
+preceded by a packet that comes late, so everything older is folded into the running numbers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelens import constants as K
 from wirelens.operators import flows as B
 
+_FLAGS = [f"_{name.lower()}" for name in K.FLAG_NAMES]
+_SIDES = ["f", "b", "a"]
+_EXTREMES = [f"_{kind}_{side}" for side in _SIDES for kind in ("max", "min")]
+_SUMS = ["_nf", "_nb", "_lf", "_lb", *_FLAGS]
+_MOMENTS = ["_length_n", "_length_mean", "_length_m2", "_iat_n", "_iat_mean", "_iat_m2"]
+_RUNNING = ["_start", "_end", *_SUMS, *_EXTREMES, *_MOMENTS, "_iat_max", "_iat_min"]
+_STATE = (
+    "running array<double>, at array<long>, length array<long>, forward array<boolean>, "
+    "flags array<long>"
+)
+_OUTPUT = (
+    "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, _start long, "
+    "_end long, _nf long, _nb long, _lf long, _lb long, "
+    + ", ".join(f"{n} int" for n in _FLAGS) + ", "
+    + ", ".join(f"{n} double" for n in [*_EXTREMES, "_length_std", "_iat_mean", "_iat_std",
+                                        "_iat_max", "_iat_min"])
+)
+
+
+def _moments(x: np.ndarray) -> tuple[float, float, float]:
+    if not len(x):
+        return 0.0, 0.0, 0.0
+    mean = x.mean()
+    return float(len(x)), float(mean), float(((x - mean) ** 2).sum())
+
+
+def _merged(a: tuple, b: tuple) -> tuple[float, float, float]:
+    n = a[0] + b[0]
+    if not n:
+        return 0.0, 0.0, 0.0
+    gap = b[1] - a[1]
+    return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
+
 
-def _window_text(micros: int) -> str:
-    return f"{micros} microseconds"
+def _extend(running: dict | None, at, length, forward, flags) -> dict:
+    """Running numbers of a session after more of its packets, given in time order."""
+    gaps = np.diff(at if running is None else np.append(running["_end"], at)).astype(float)
+    out = dict(running) if running else {"_start": float(at[0])}
+    out["_end"] = float(at[-1])
+    sums = [forward.sum(), (~forward).sum(), length[forward].sum(), length[~forward].sum(),
+            *flags.sum(axis=0)]
+    for name, value in zip(_SUMS, sums, strict=True):
+        out[name] = out.get(name, 0.0) + float(value)
+    for side, part in zip(_SIDES, (length[forward], length[~forward], length), strict=True):
+        for kind, pick in (("max", np.max), ("min", np.min)):
+            name = f"_{kind}_{side}"
+            # nan: no packet of this direction yet
+            seen = [v for v in (out.get(name, np.nan), pick(part) if len(part) else np.nan)
+                    if v == v]
+            out[name] = float(pick(seen)) if seen else np.nan
+    for name, values in (("length", length.astype(float)), ("iat", gaps)):
+        parts = [f"_{name}_{p}" for p in ("n", "mean", "m2")]
+        before = tuple(out.get(p, 0.0) for p in parts)
+        out.update(zip(parts, _merged(before, _moments(values)), strict=True))
+    for name, pick in (("_iat_max", np.max), ("_iat_min", np.min)):
+        seen = [v for v in (out.get(name, np.nan), *([pick(gaps)] if len(gaps) else [])) if v == v]
+        out[name] = float(pick(seen)) if seen else np.nan
+    return out
+
+
+def _finished(key: tuple, running: dict) -> dict:
+    row = dict(zip(B.FIVE_TUPLE, key, strict=True))
+    row.update({n: running[n] for n in ["_start", "_end", *_SUMS, "_iat_mean"]})
+    row.update({n: np.nan_to_num(running[n]) for n in [*_EXTREMES, "_iat_max", "_iat_min"]})
+    for name in ("length", "iat"):
+        n = running[f"_{name}_n"]
+        row[f"_{name}_std"] = (running[f"_{name}_m2"] / n) ** 0.5 if n else 0.0
+    return row
 
 
 def stream_flows(packets: DataFrame, gap_us: int = 3 * B.MICROS, delay: str = "10 seconds"):
     """Completed flows, emitted once the watermark has passed their idle time."""
-    at = F.unix_micros("ts")
-    grouped = (
-        packets.withWatermark("ts", delay)
-        .groupBy(*B.FIVE_TUPLE, F.session_window("ts", _window_text(gap_us)).alias("_session"))
-        .agg(*B.base_aggregates(at), F.collect_list(at).alias("_times"))
+    flags = [F.coalesce(F.try_element_at("flags", F.lit(n)), F.lit(0)).cast("long").alias(column)
+             for n, column in zip(K.FLAG_NAMES, _FLAGS, strict=True)]
+    rows = packets.withWatermark("ts", delay).select(
+        *B.FIVE_TUPLE, "ts", F.unix_micros("ts").alias("at"),
+        F.col("length").cast("long").alias("length"), "is_forward", *flags,
+    )
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        running = None
+        at, length = np.empty(0, np.int64), np.empty(0, np.int64)
+        forward, marks = np.empty(0, bool), np.empty((0, len(_FLAGS)), np.int64)
+        if state.exists:
+            held = state.get
+            if held[0]:
+                running = dict(zip(_RUNNING, held[0], strict=True))
+            at, length = np.array(held[1], np.int64), np.array(held[2], np.int64)
+            forward = np.array(held[3], bool)
+            marks = np.array(held[4], np.int64).reshape(-1, len(_FLAGS))
+        for frame in frames:
+            at = np.append(at, frame["at"].to_numpy(np.int64))
+            length = np.append(length, frame["length"].to_numpy(np.int64))
+            forward = np.append(forward, frame["is_forward"].to_numpy(bool))
+            marks = np.vstack([marks, frame[_FLAGS].to_numpy(np.int64)])
+        order = np.argsort(at, kind="stable")
+        at, length, forward, marks = at[order], length[order], forward[order], marks[order]
+
+        watermark_ms = max(state.getCurrentWatermarkMs(), 0)
+        watermark = watermark_ms * 1000
+        settled = int(np.searchsorted(at, watermark, "right"))
+        done = []
+        if settled:
+            # session borders among the settled packets
+            first = running["_end"] if running else at[0]
+            opens = np.diff(np.append(first, at[:settled])) > gap_us
+            borders = [0, *np.flatnonzero(opens).tolist(), settled]
+            for low, high in zip(borders, borders[1:], strict=False):
+                if low == high:
+                    continue
+                if running is not None and at[low] - running["_end"] > gap_us:
+                    done.append(_finished(key, running))
+                    running = None
+                part = slice(low, high)
+                running = _extend(running, at[part], length[part], forward[part], marks[part])
+            at, length = at[settled:], length[settled:]
+            forward, marks = forward[settled:], marks[settled:]
+        if running is not None and watermark >= running["_end"] + gap_us:
+            done.append(_finished(key, running))
+            running = None
+        if running is None and not len(at):
+            state.remove()
+        else:
+            state.update((
+                [float(running[n]) for n in _RUNNING] if running else [],
+                at.tolist(), length.tolist(), forward.tolist(), marks.ravel().tolist(),
+            ))
+            wake = [running["_end"] + gap_us] if running else []
+            wake += [at[0]] if len(at) else []
+            state.setTimeoutTimestamp(max(int(min(wake)) // 1000, watermark_ms) + 1)
+        if done:
+            yield pd.DataFrame(done)[[c.split()[0] for c in _OUTPUT.split(", ")]]
+
+    grouped = rows.groupBy(*B.FIVE_TUPLE).applyInPandasWithState(
+        advance, _OUTPUT, _STATE, "append", "EventTimeTimeout"
     )
-    grouped = grouped.withColumns(B.iat_from_times(F.col("_times")))
     return grouped.select(
         F.col("_start").alias("start_us"), *B.flow_metadata(),
         *[expr.alias(name) for name, expr in B.packet_features().items()],
