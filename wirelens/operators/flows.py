@@ -6,8 +6,6 @@ five-tuple and then stitched over a table with one row per five-tuple and slice.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +44,23 @@ def sessionize(
     """Adds session_us (start of the packet's session) and iat_us (time since its predecessor in
     the session, null for the first). A new session starts after more than `gap_us` idle time."""
     at = F.col("_at")
-    sliced = packets.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
-        "_slice", F.floor(at / F.lit(slice_us))
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_at")
+    # one key column that is never null: windows and join then share a partitioning
+    key = F.concat_ws("-", *[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in keys])
+    sliced = packets.withColumns({
+        "_key": key, "_at": F.unix_micros(F.col("ts").cast("timestamp")),
+    }).withColumn("_slice", F.floor(at / F.lit(slice_us)))
+    inside = Window.partitionBy("_key", "_slice").orderBy("_at")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (
         sliced.withColumn("_previous", F.lag("_at").over(inside))
         .withColumn("_opens", F.when(at - F.col("_previous") > gap_us, at))
         .withColumn("_opened", F.max("_opens").over(so_far))
     )
-    edges = local.groupBy(*keys, "_slice").agg(
+    edges = local.groupBy("_key", "_slice").agg(
         F.min("_at").alias("_first"), F.max("_at").alias("_last"),
         F.max("_opens").alias("_last_open"),
     )
-    across = Window.partitionBy(*keys).orderBy("_slice")
+    across = Window.partitionBy("_key").orderBy("_slice")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn("_before", F.lag("_last").over(across)).withColumn(
         "_fresh",
@@ -74,11 +74,7 @@ def sessionize(
             F.last("_open", ignorenulls=True).over(earlier)
         ),
     )
-    places = [*keys, "_slice"]
-    edges = edges.select(*[F.col(n).alias(f"_of_{n}") for n in places], "_before", "_carried")
-    joined = local.join(
-        edges, reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in places])
-    )
+    joined = local.join(edges.select("_key", "_slice", "_before", "_carried"), ["_key", "_slice"])
     previous = F.coalesce(F.col("_previous"), F.col("_before"))
     idle = at - previous
     return joined.select(

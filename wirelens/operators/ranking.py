@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirelens.operators.state import small
+
 HEX_DIGITS = 3
 
 
@@ -138,7 +140,7 @@ def hash_cuts(
         .where(F.size("_wanted") > 0)
         .select(*group, "_bucket", "_wanted", (F.col("_upto") - F.col("_rows")).alias("_before"))
     )
-    named = holding.withColumnsRenamed({g: f"_of_{g}" for g in [*group, "_bucket"]})
+    named = small(holding.withColumnsRenamed({g: f"_of_{g}" for g in [*group, "_bucket"]}))
     same = F.col("_bucket") == F.col("_of__bucket")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
@@ -181,7 +183,7 @@ def hash_positions(
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(hashed))
     return (
         bucketed.withColumn("_rank", rank)
-        .join(offsets, "_bucket")
+        .join(small(offsets), "_bucket")
         .withColumn(position, F.col("_before") + F.col("_rank") - 1)
         .drop("_bucket", "_rank", "_before")
     )
@@ -241,7 +243,7 @@ def running_sums(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     out = cut.withColumns({f"_inside_{s}": F.sum(s).over(inside) for s in sums})
-    out = out.join(totals, by + ["_slice"])
+    out = out.join(small(totals), by + ["_slice"])
     return out.select(
         *df.columns, *[(F.col(f"_before_{s}") + F.col(f"_inside_{s}")).alias(f"cum_{s}")
                        for s in sums],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelens import constants as K
+from wirelens.operators.state import small
 
 
 @dataclass(frozen=True)
@@ -124,9 +125,7 @@ def class_names(dictionary: DataFrame) -> list[str]:
 def encode_labels(df: DataFrame, label: str, dictionary: DataFrame) -> DataFrame:
     """Adds y_multi, y_binary, is_unseen. Unseen labels count as the benign class."""
     benign = dictionary.where("is_benign").agg(F.min("idx").alias("idx")).scalar()
-    known = dictionary.select(
-        F.col("name").alias("_name"), F.col("idx").alias("_idx")
-    )
+    known = small(dictionary.select(F.col("name").alias("_name"), F.col("idx").alias("_idx")))
     out = df.withColumn("_text", label_text(label)).join(
         known, F.col("_text") == F.col("_name"), "left"
     )

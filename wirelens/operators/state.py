@@ -22,3 +22,16 @@ def literals(state: DataFrame, key: str, fields: list[str]) -> Callable[[str, st
         return F.lit(value).cast(types[field])
 
     return lookup
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A table expected to be small (classes, slices, prefixes), evaluated and marked for
+    broadcast after its size was checked; a larger one is returned as it is and joined by shuffle.
+
+    Spark's size estimate of such a table is that of the data it was counted from, so without the
+    check a large table would be shuffled by a key of few values.
+    """
+    held = df.limit(rows + 1).collect()
+    if len(held) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(held, df.schema))
