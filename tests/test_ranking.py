@@ -2,11 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wirelens.operators import ranking, splitting
+from wirelens.operators import ranking, splitting, state
 
 
-@pytest.mark.parametrize("n, accuracy", [(7, 10_000), (613, 10_000), (5000, 50), (4000, 400)])
-def test_percentiles_equal_numpy(spark, n, accuracy):
+@pytest.mark.parametrize("n, accuracy, window_rows", [
+    (7, 10_000, 10**6), (613, 10_000, 10), (5000, 50, 10**6), (5000, 50, 10), (4000, 400, 10**6),
+])
+def test_percentiles_equal_numpy(spark, n, accuracy, window_rows):
     rng = np.random.default_rng(n)
     values = {
         "smooth": rng.exponential(10.0, n),
@@ -18,7 +20,9 @@ def test_percentiles_equal_numpy(spark, n, accuracy):
     shares = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0]
     found = {
         (r["feature"], r["share"]): r["value"]
-        for r in ranking.exact_percentiles(df, list(values), shares, accuracy).collect()
+        for r in ranking.exact_percentiles(
+            df, list(values), shares, accuracy, window_rows
+        ).collect()
     }
     for name, v in values.items():
         for share in shares:
@@ -98,6 +102,12 @@ def test_copies_share_a_side(spark):
     assert out.where("id = -1").select("split").distinct().count() == 1
 
 
+def test_large_tables_are_not_broadcast(spark):
+    df = spark.range(20)
+    assert state.small(df, 19) is df
+    assert state.small(df, 20).count() == 20
+
+
 def test_balanced_sample(spark):
     df = spark.range(500).select("id", (F.col("id") < 30).cast("int").alias("y"))
     sample = splitting.balanced_sample(df, "y", ["id"], 100)

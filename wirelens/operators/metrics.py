@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirelens.functions.text import fixed
 from wirelens.operators.ranking import running_sums
+from wirelens.workspace import materialize
 
 METRICS = [
     ("Accuracy", "accuracy"),
@@ -104,7 +105,8 @@ def ranking_areas(
     Rows are counted per score, then running sums over score slices give all curve points.
     """
     by = by or []
-    counts = _score_counts(df, true, score, by)
+    # the rows are read once: everything below works on one row per distinct score
+    counts = materialize(_score_counts(df, true, score, by), "scores")
     curve = running_sums(counts, "score", ["pos", "neg"], by, descending=True, slices=slices)
     c = F.col
     before_pos, before_neg = c("cum_pos") - c("pos"), c("cum_neg") - c("neg")

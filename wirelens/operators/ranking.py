@@ -6,10 +6,13 @@ one small row per slice), and a fine one inside slices. No window spans more tha
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.operators.state import small
+from wirelens.workspace import materialize
 
 HEX_DIGITS = 3
 
@@ -24,14 +27,15 @@ def row_hash(*parts, seed: int = 0) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, columns: list[str], shares: list[float], accuracy: int = 10_000
+    df: DataFrame, columns: list[str], shares: list[float], accuracy: int = 10_000,
+    window_rows: int = 2_000_000,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles: one row (feature, share, value) for each pair.
 
     A sketch brackets every wanted order statistic; the second pass counts distinct values inside
     the brackets only (all others collapse into one bin between brackets), so what is ranked is
-    about rows/accuracy values per column, whatever the table size. Null and NaN are left out;
-    a column without values gives null.
+    about rows/accuracy values per column. More than `window_rows` of them are ranked in slices.
+    Null and NaN are left out; a column without values gives null.
     """
     wanted = sorted(set(shares))
     # sketch error plus two ranks; tables below `accuracy` rows are counted as a whole
@@ -59,38 +63,45 @@ def exact_percentiles(
             return [-infinity] * (len(marks) - 1) + [infinity]
         return sketch[f"marks{i}"]
 
-    table = F.array(*[F.array(*[F.lit(e) for e in edges_of(i)]) for i in range(len(columns))])
+    limits = [edges_of(i) for i in range(len(columns))]
+    table = F.array(*[F.array(*[F.lit(e) for e in row]) for row in limits])
+    after = F.array(*[
+        F.array(*[F.lit(math.nextafter(e, infinity)) for e in row]) for row in limits
+    ])
     value = F.col("value")
     edges = [F.get(F.get(table, F.col("position")), F.lit(k)) for k in range(len(marks))]
     inside = value.between(edges[0], edges[-1]) & (edges[-1] == infinity)
     for low, high in brackets:
         inside = inside | value.between(edges[low], edges[high])
-    # outside every bracket a bin is named by the largest edge below it
+    # outside every bracket a bin is named by the next number after the largest edge below it
+    steps = [
+        F.get(F.get(after, F.col("position")), F.lit(k)) for k in range(len(marks))
+    ]
     below = F.lit(float("-inf"))
-    for edge in edges:
-        below = F.when(value > edge, edge).otherwise(below)
-    long = (
+    for edge, step in zip(edges, steps, strict=True):
+        below = F.when(value > edge, step).otherwise(below)
+    binned = (
         clean.select(F.posexplode(F.array(*columns)).alias("position", "value"))
         .where(value.isNotNull())
-        .withColumn("inside", inside)
-        .groupBy(
-            "position", F.when(F.col("inside"), value).otherwise(below).alias("value"),
-            (~F.col("inside")).alias("outside"),
-        )
+        .groupBy("position", F.when(inside, value).otherwise(below).alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    order = Window.partitionBy("position").orderBy("value", "outside")
-    running = long.withColumn(
-        "upto", F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    size = F.sum("rows").over(Window.partitionBy("position"))
-    running = running.withColumn("size", size)
+    binned = materialize(binned, "bins")
+    if binned.count() <= window_rows:
+        order = Window.partitionBy("position").orderBy("value")
+        running = binned.withColumn(
+            "cum_rows", F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        )
+    else:
+        running = running_sums(binned, "value", ["rows"], ["position"])
+    sizes = binned.groupBy("position").agg(F.sum("rows").alias("size"))
+    running = running.join(small(sizes), "position")
     picks = []
     for i, share in enumerate(wanted):
         rank = (F.col("size") - 1) * F.lit(float(share))
         low_rank, high_rank = F.floor(rank), F.ceil(rank)
-        low = F.min(F.when(F.col("upto") > low_rank, F.col("value")))
-        high = F.min(F.when(F.col("upto") > high_rank, F.col("value")))
+        low = F.min(F.when(F.col("cum_rows") > low_rank, F.col("value")))
+        high = F.min(F.when(F.col("cum_rows") > high_rank, F.col("value")))
         weight = F.max(rank - low_rank)
         picks.append(
             F.struct(
