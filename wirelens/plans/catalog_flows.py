@@ -161,10 +161,8 @@ _MEDIANS = "medians AS (" + " UNION ALL ".join(
 
 @query(f"""{Q.ALL_DIRTY}, {_MEDIANS} SELECT feature, {Q.rd('median', 6)} AS median FROM medians""")
 def clean_medians(spark, d):
-    rows = cleaning.drop_copies(cleaning.drop_negative_durations(
-        cleaning.nullify_non_finite(V.dirty_flows(spark, d))
-    ))
-    return cleaning.learn_medians(rows).select("feature", F.round("median", 6).alias("median"))
+    medians = cleaning.clean(V.dirty_flows(spark, d))[1]
+    return medians.select("feature", F.round("median", 6).alias("median"))
 
 
 def _imputed(fill) -> str:
@@ -518,7 +516,7 @@ def csv_roundtrip(spark, d):
     """Rows written as CSV (with infinite cells) and read back with found types."""
     path = scratch_path(spark, "csv")
     lines = V.table(spark, d, "lineitem")
-    rows = lines.select(*V._flow_columns(), F.col("l_partkey"))
+    rows = lines.select(*V.flow_columns(), F.col("l_partkey"))
     tables.write_csv(
         rows.withColumn(
             "flow_duration",

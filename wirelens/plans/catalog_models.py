@@ -140,7 +140,7 @@ def stream_cooldown(spark, d):
 
 def _tiered_stream(spark, d):
     scores = V.scores_from(V.stream(spark, d, "lineitem"))
-    return fusion.tiered(scores, metadata=CS._METADATA, keep=["flow_key"])
+    return fusion.tiered(scores, metadata=CS.METADATA, keep=["flow_key"])
 
 
 @query(f"{Q.ALL_TIERED} SELECT * FROM tiered")

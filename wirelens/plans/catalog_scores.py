@@ -821,11 +821,11 @@ def scan_verdict(spark, d):
     return A.scan_verdict(A.top_alert(_alerts(spark, d), ["flow_key"], keep))
 
 
-_METADATA = ["flow_id", "source_ip", "destination_ip", "destination_port"]
+METADATA = ["flow_id", "source_ip", "destination_ip", "destination_port"]
 
 
 def _tiered(spark, d):
-    return fusion.tiered(V.scores(spark, d), metadata=_METADATA, keep=["flow_key"])
+    return fusion.tiered(V.scores(spark, d), metadata=METADATA, keep=["flow_key"])
 
 
 @query(f"{Q.ALL_TIERED} SELECT * FROM tiered")

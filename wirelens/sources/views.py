@@ -92,7 +92,7 @@ def class_label() -> Column:
     )
 
 
-def _flow_columns() -> list[Column]:
+def flow_columns() -> list[Column]:
     order, line = F.col("l_orderkey"), F.col("l_linenumber")
     source = F.concat(F.lit("10.0.0."), (F.col("l_suppkey") % 250).cast("string"))
     target = F.concat(F.lit("192.168.1."), (F.col("l_partkey") % 250).cast("string"))
@@ -127,7 +127,7 @@ def _flow_columns() -> list[Column]:
 
 
 def flows_from(lines: DataFrame) -> DataFrame:
-    return lines.select(*_flow_columns())
+    return lines.select(*flow_columns())
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def dirty_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with infinite, missing and negative cells and with copied rows."""
     lines = spread(table(spark, sf_dir, "lineitem"))
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-    rows = lines.select(*_flow_columns(), "l_orderkey", "l_partkey", "l_suppkey").withColumns({
+    rows = lines.select(*flow_columns(), "l_orderkey", "l_partkey", "l_suppkey").withColumns({
         "flow_duration": F.when(part % 97 == 0, float("inf"))
         .when(supplier % 41 == 0, -F.col("flow_duration"))
         .otherwise(F.col("flow_duration")),
@@ -160,7 +160,7 @@ def scores_from(lines: DataFrame) -> DataFrame:
     )
     anomaly = (F.col("l_suppkey") % 100).cast("double") / 100.0
     rows = lines.select(
-        *_flow_columns(),
+        *flow_columns(),
         (F.abs("l_discount") * 10.0).alias("if_score"),
         (F.abs("l_tax") * 0.5).alias("ae_error"),
         F.lit(AE_THRESHOLD).alias("ae_threshold"),

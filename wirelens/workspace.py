@@ -18,12 +18,14 @@ def session(app: str = "wirelens", master: str | None = None, **conf) -> SparkSe
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names. A temporary one serves local sessions only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root is None:
         root = context.getCheckpointDir()
         if root is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             root = tempfile.mkdtemp(prefix="wirelens-")
             context.setCheckpointDir(root)
     elif context.getCheckpointDir() is None:
