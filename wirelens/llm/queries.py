@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, host_reputation, pii, quality, token_counts, weighted_tree
+from . import (
+    chat_format,
+    decontaminate,
+    host_reputation,
+    jaccard_join,
+    pii,
+    quality,
+    suffix_tree,
+    token_counts,
+    transducer,
+    weighted_tree,
+)
 from .common import table
 
 QUERIES: dict = {}
@@ -35,14 +46,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_SPANS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-}
-
-
 @query()
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -56,6 +59,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _MEASURES = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
@@ -89,6 +97,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "kept", "n_stop", "n_lines")
 
 
+@query()
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = suffix_tree.fit_and_score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled pages: a page is bad where its label says low quality or toxic."""
     labels = table(spark, sf_dir, "labels")
@@ -145,6 +159,17 @@ def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("bound", F.round("bound", 6))
 
 
+@query()
+def op6_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 @query("""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
