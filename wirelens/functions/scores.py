@@ -9,13 +9,17 @@ from wirelens import constants as K
 
 
 def clip(value: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Null and NaN stay unknown; `greatest` and `least` alone would turn them into a bound."""
+    value = value.cast("double")
+    return F.when(
+        value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(low), F.least(F.lit(high), value))
+    )
 
 
 def tier(value: Column, tiers) -> Column:
-    expr = None
+    expr = F.when(value.isNull(), F.lit(None).cast("string"))
     for upper, name in tiers:
-        expr = F.when(value < upper, name) if expr is None else expr.when(value < upper, name)
+        expr = expr.when(value < upper, name)
     return expr.otherwise(K.TOP_TIER)
 
 
@@ -118,4 +122,4 @@ def fused_risk(anomalous, known, composite_score, attack_probability, confidence
         70.0,
         95.0,
     )
-    return F.when(~anomalous, normal).when(known, matched).otherwise(novel)
+    return F.when(~anomalous, normal).when(anomalous & known, matched).when(anomalous, novel)

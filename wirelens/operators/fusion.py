@@ -22,7 +22,12 @@ def with_verdict(
     source_ip: str = "source_ip",
     destination_port: str = "destination_port",
 ) -> DataFrame:
-    """Adds the fused columns: composite, risk, severity, status, category, notes and so on."""
+    """Adds the fused columns: composite, risk, severity, status, category, notes and so on.
+
+    Missing scores stay unknown: a rule that holds makes a row anomalous whatever else is missing; where no rule
+    holds and one cannot be decided, the verdict and its texts are null. An anomalous row without a
+    class is novel.
+    """
     c = F.col
     out = df.withColumns({
         "if_flag": c("if_score") >= K.ANOMALY_THRESHOLD,
@@ -51,7 +56,9 @@ def with_verdict(
         return F.coalesce(c(name).cast("string"), F.lit(default))
 
     def pick(normal: Column, known: Column, novel: Column) -> Column:
-        return F.when(~c("anomalous"), normal).when(c("known"), known).otherwise(novel)
+        return F.when(~c("anomalous"), normal).when(
+            c("anomalous") & c("known"), known
+        ).when(c("anomalous"), novel)
 
     return out.withColumns({
         "status": pick(F.lit(K.STATUS_NORMAL), F.lit(K.STATUS_KNOWN), F.lit(K.STATUS_NOVEL)),
@@ -60,7 +67,7 @@ def with_verdict(
         "attack_category": pick(
             F.lit("BENIGN"), F.concat(F.lit("Possible "), c("rf_class")), F.lit(K.CATEGORY_NOVEL)
         ),
-        "is_novel_anomaly": c("anomalous") & ~c("known"),
+        "is_novel_anomaly": c("anomalous") & ~F.coalesce(c("known"), F.lit(False)),
         "analyst_notes": pick(
             F.lit(K.NOTES_NORMAL),
             F.concat(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wirelens import constants as K
-from wirelens.functions import phases as P
 from wirelens.functions import scores as S
 from wirelens.functions import text as X
 from wirelens.operators import alerts as A
@@ -105,19 +104,24 @@ def angle_scale(spark, d):
 _N = K.N_ANGLES
 
 
-def _phase_sql(kind: str = "zz", entanglement: str = "linear") -> str:
-    states = []
-    for b, (wires, pairs) in enumerate(P.phase_terms(_N, kind, entanglement)):
-        terms = ["0.0::DOUBLE"] + [f"2.0::DOUBLE * x{q}" for q in wires]
-        terms += [f"2.0::DOUBLE * (pi() - x{i}) * (pi() - x{j})" for i, j in pairs]
-        states.append(f"SELECT vec_id, y, {b} AS state, {' + '.join(terms)} AS phi FROM angles")
-    return " UNION ALL ".join(states)
-
-
+# Half the phase of the 16 basis states, written out: wire 0 is the lowest bit; ab, bc and cd are the
+# products of neighbouring wires, which count where the two bits differ.
+_HALF_PHASES = [
+    "0", "a + ab", "b + ab + bc", "a + b + bc", "c + bc + cd", "a + c + ab + bc + cd", "b + c + ab + cd",
+    "a + b + c + cd", "d + cd", "a + d + ab + cd", "b + d + ab + bc + cd", "a + b + d + bc + cd", "c + d + bc",
+    "a + c + d + ab + bc", "b + c + d + ab", "a + b + c + d",
+]
 _ANGLES = "angles AS (SELECT vec_id, CAST(label >= 5 AS INTEGER) AS y, " + ", ".join(
-    f"(embedding[{q + 1}]::DOUBLE + 1.0::DOUBLE) * pi() / 2.0::DOUBLE AS x{q}" for q in range(_N)
+    "((" + " + ".join(f"embedding[{i}]::DOUBLE" for i in range(first, first + 16))
+    + f") / 4.0::DOUBLE + 1.0::DOUBLE) * pi() / 2.0::DOUBLE AS {name}"
+    for first, name in ((1, "a"), (17, "b"), (33, "c"), (49, "d"))
 ) + " FROM embeddings)"
-_PHASES = f"phases AS ({_phase_sql()})"
+_PHASES = """products AS (SELECT *, (pi() - a) * (pi() - b) AS ab, (pi() - b) * (pi() - c) AS bc,
+  (pi() - c) * (pi() - d) AS cd FROM angles),
+phases AS (""" + " UNION ALL ".join(
+    f"SELECT vec_id, y, {state} AS state, 2.0::DOUBLE * ({half}) AS phi FROM products"
+    for state, half in enumerate(_HALF_PHASES)
+) + ")"
 _SAMPLE = f"""sampled AS (
   SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY y
     ORDER BY {Q.hash_of('vec_id')}) AS r FROM angles) WHERE r <= 200)"""
@@ -303,6 +307,75 @@ def anomaly_calibration(spark, d):
     )
 
 
+# scores with gaps, and every rule for them written out: an unknown input gives an unknown output
+_GAPS = f"""gaps AS (
+  SELECT flow_key, CASE WHEN source_port % 7 <> 0 THEN if_score END AS if_score,
+    CASE WHEN source_port % 5 <> 0 THEN ae_error END AS ae_error, ae_threshold,
+    CASE WHEN source_port % 11 <> 0 THEN rf_class END AS rf_class,
+    CASE WHEN source_port % 11 <> 0 THEN rf_confidence END AS rf_confidence,
+    CASE WHEN source_port % 11 <> 0 THEN 1.0::DOUBLE - p_benign ELSE 0.5::DOUBLE END AS attack
+  FROM scores),
+gaps1 AS (
+  SELECT *, 0.5::DOUBLE * if_score + 0.5::DOUBLE * CASE WHEN ae_error IS NOT NULL THEN {Q.clip(
+      '1.0::DOUBLE / (1.0::DOUBLE + exp(-2.5::DOUBLE * (ae_error / greatest(ae_threshold, '
+      '1e-6::DOUBLE) - 0.85::DOUBLE)))', 0.0, 1.0)} END AS composite,
+    upper(rf_class) <> 'BENIGN' AND rf_confidence >= 0.6::DOUBLE AS known,
+    if_score >= 0.5 AND ae_error > ae_threshold AS agree FROM gaps),
+gaps2 AS (
+  SELECT *, CASE WHEN coalesce(agree, false) OR coalesce(composite >= 0.55::DOUBLE, false)
+      OR attack >= 0.65::DOUBLE THEN 'yes'
+    WHEN agree IS NULL OR composite IS NULL THEN 'unknown' ELSE 'no' END AS anomalous FROM gaps1),
+gaps3 AS (
+  SELECT *, CASE
+      WHEN anomalous = 'unknown' THEN NULL
+      WHEN anomalous = 'no' THEN {Q.clip('(0.6::DOUBLE * composite + 0.4::DOUBLE * attack) * 50.0::DOUBLE', 2.0, 35.0)}
+      WHEN composite IS NULL OR rf_confidence IS NULL THEN NULL
+      WHEN known THEN {Q.clip('45.0::DOUBLE + (0.35::DOUBLE * composite + 0.35::DOUBLE * attack '
+                              '+ 0.30::DOUBLE * rf_confidence) * 55.0::DOUBLE', 60.0, 98.0)}
+      ELSE {Q.clip('55.0::DOUBLE + (0.5::DOUBLE * composite + 0.5::DOUBLE * '
+                   '(1.0::DOUBLE - rf_confidence)) * 40.0::DOUBLE', 70.0, 95.0)} END AS risk FROM gaps2)"""
+
+
+@query(f"""{Q.ALL_SCORES}, {_GAPS}
+SELECT flow_key, {Q.rd('composite', 6)} AS composite,
+  CASE anomalous WHEN 'no' THEN {Q.text(K.STATUS_NORMAL)}
+    WHEN 'yes' THEN CASE WHEN coalesce(known, false) THEN {Q.text(K.STATUS_KNOWN)} ELSE {Q.text(K.STATUS_NOVEL)} END END AS status,
+  CASE anomalous WHEN 'yes' THEN NOT coalesce(known, false) WHEN 'no' THEN false END AS is_novel_anomaly,
+  {Q.rd('risk', 1)} AS risk_score, CASE WHEN risk IS NOT NULL THEN {Q.severity_risk('risk')} END AS severity
+FROM gaps3""")
+def fused_gaps(spark, d):
+    """The verdict where scores are missing."""
+    def known(name: str, every: int):
+        return F.when(F.col("source_port") % every != 0, F.col(name))
+
+    rows = V.scores(spark, d).withColumns({
+        "if_score": known("if_score", 7), "ae_error": known("ae_error", 5),
+        "rf_class": known("rf_class", 11), "rf_confidence": known("rf_confidence", 11),
+        "class_probabilities": known("class_probabilities", 11),
+    })
+    return fusion.with_verdict(rows).select(
+        "flow_key", F.round("composite", 6).alias("composite"), "status", "is_novel_anomaly",
+        "risk_score", "severity",
+    )
+
+
+@query(f"""{Q.ALL_FLOWS}, {_BASELINE}, x AS (
+  SELECT flow_key, CASE WHEN source_port % 3 <> 0 THEN flow_duration END AS v, mean, std_pop
+  FROM flows, baseline WHERE feature = 'flow_duration')
+SELECT flow_key, CASE WHEN v IS NOT NULL THEN {Q.rd(Q.clip(
+    '(v - mean) / CASE WHEN std_pop > 1e-4 THEN std_pop ELSE greatest(abs(mean) * 0.1::DOUBLE, 1.0::DOUBLE) END',
+    -15.0, 15.0), 5)} END AS z,
+  CASE WHEN v IS NOT NULL THEN {Q.rd(Q.clip('v / 50000.0::DOUBLE', 0.0, 1.0), 9)} END AS share FROM x""")
+def missing_cells(spark, d):
+    """z-scores and clipped values of a column with missing cells."""
+    rows = V.flows(spark, d).withColumn(
+        "flow_duration", F.when(F.col("source_port") % 3 != 0, F.col("flow_duration")))
+    z = explain.z_scores(
+        rows.withColumn("share", S.clip(F.col("flow_duration") / 50000.0, 0.0, 1.0)),
+        ["flow_duration"], _baseline(spark, d), ["flow_key", "share"])
+    return z.select("flow_key", F.round("flow_duration", 5).alias("z"), F.round("share", 9).alias("share"))
+
+
 @query(f"""{Q.ALL_SCORES}
 SELECT flow_key, {Q.severity_unit('if_score')} AS severity FROM scores""")
 def severity_unit(spark, d):

@@ -180,11 +180,16 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four angles in [0, pi] per vector and a binary label."""
-    x = [
-        (F.get("embedding", F.lit(i)).cast("double") + 1.0) * F.lit(K.PI) / 2.0
-        for i in range(K.N_ANGLES)
-    ]
+    """Four angles in [0, pi] per vector, from the sums of its four quarters of 16 coordinates (at most 4
+    for a unit vector), and a binary label."""
+    def total(quarter: int):
+        parts = [F.get("embedding", F.lit(16 * quarter + i)).cast("double") for i in range(16)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out + part
+        return out
+
+    x = [(total(q) / 4.0 + 1.0) * F.lit(K.PI) / 2.0 for q in range(K.N_ANGLES)]
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.array(*x).alias("x_angles"), (F.col("label") >= 5).cast("int").alias("y")
     )
