@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelens import constants as K
 from wirelens.functions import text as X
+from wirelens.workspace import materialize
 
 ALERT_TABLE_DEFAULTS = {
     "timestamp": None, "source_ip": "192.168.1.10", "destination_ip": "10.0.0.1",
@@ -17,7 +19,8 @@ ALERT_TABLE_DEFAULTS = {
 
 
 def alert_table(alerts: DataFrame, key: str) -> DataFrame:
-    """Nested alerts -> 14 flat columns, defaults where metadata is missing."""
+    """Nested alerts -> 14 flat columns, defaults where metadata is missing. The default flow id is made
+    of `key`: a row's number with four digits or more, or any text as it is."""
     fields = set()
     if "metadata" in alerts.columns:
         fields = set(alerts.schema["metadata"].dataType.names)
@@ -28,8 +31,11 @@ def alert_table(alerts: DataFrame, key: str) -> DataFrame:
         return F.coalesce(F.col(f"metadata.{name}"), default).alias(name)
 
     now = F.date_format(F.current_timestamp(), "dd/MM/yyyy HH:mm:ss")
+    number = F.col(key)
+    if isinstance(alerts.schema[key].dataType, (T.IntegerType, T.LongType)):
+        number = F.format_string("%04d", number)
     return alerts.select(
-        meta("flow_id", F.concat(F.lit("FLOW-"), F.col(key).cast("string"))),
+        meta("flow_id", F.concat(F.lit("FLOW-"), number.cast("string"))),
         meta("timestamp", now),
         meta("source_ip", F.lit(ALERT_TABLE_DEFAULTS["source_ip"])),
         meta("destination_ip", F.lit(ALERT_TABLE_DEFAULTS["destination_ip"])),
@@ -79,7 +85,13 @@ def top_alert(alerts: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
 
 
 def scan_verdict(top: DataFrame) -> DataFrame:
-    """Verdict of a whole scan from its highest alert."""
+    """Verdict of a whole scan from its highest alert; where that carries `explainability`, its first three
+    sentences are the findings, and a stock line stands in for none."""
+    stock = F.array(F.lit(K.NO_FINDINGS))
+    findings = []
+    if "explainability" in top.columns:
+        bullets = F.slice("explainability.feature_bullets", 1, 3)
+        findings = [F.when(F.size(bullets) > 0, bullets).otherwise(stock).alias("findings")]
     safe = F.col("risk_score") < 40
     category = F.col("attack_category")
     flood = ~safe & category.contains("DDoS")
@@ -102,6 +114,7 @@ def scan_verdict(top: DataFrame) -> DataFrame:
         F.when(novel, "Novel Threat!").when(safe, "Protected (QML)").otherwise("Active")
         .alias("novel_status"),
         flood.alias("traffic_alert"), probe.alias("probe_alert"), novel.alias("novel_alert"),
+        *findings,
     )
 
 
@@ -138,6 +151,38 @@ def oldest(flows: DataFrame, order: list[Column], n: int = 50) -> DataFrame:
     return flows.orderBy(*order).limit(n)
 
 
+def pop_oldest(
+    flows: DataFrame, order: list[str], n: int = 50
+) -> tuple[DataFrame, DataFrame]:
+    """(the first n rows of an order that tells all rows apart, the rest): taking from a queue."""
+    popped = materialize(oldest(flows, [F.col(c) for c in order], n), "popped")
+    taken = F.broadcast(popped.select(*order))
+    return popped, flows.join(taken, order, "left_anti")
+
+
+def consumer_models(alerts: DataFrame, keep: list[str]) -> DataFrame:
+    """Model cards, one row per model of an alert: name, role, status and score in consumer words."""
+    models = F.array(*[
+        F.struct(F.lit(name).alias("model"), status.alias("status"), score.cast("double").alias("score"))
+        for name, status, score in (
+            ("isolation_forest", F.when(F.col("models.isolation_forest.is_anomaly"), "ANOMALY").otherwise("NORMAL"),
+             F.col("models.isolation_forest.anomaly_score")),
+            ("deep_autoencoder", F.when(F.col("models.deep_autoencoder.is_anomaly"), "ANOMALY").otherwise("NORMAL"),
+             F.col("models.deep_autoencoder.normalized_score")),
+            ("random_forest", F.col("models.random_forest.predicted_class"), F.col("models.random_forest.confidence")),
+            ("quantum_kernel_svm", F.col("models.quantum_kernel_svm.prediction"),
+             F.col("models.quantum_kernel_svm.confidence")),
+        )
+    ])
+    cards = alerts.select(*keep, F.explode(models).alias("m"))
+    named = X.consumer_model(F.col("m.model"))
+    return cards.select(
+        *keep, F.col("m.model").alias("model"), named["name"].alias("name"), named["role"].alias("role"),
+        X.consumer_model_status(F.coalesce("m.status", F.lit("NORMAL"))).alias("status"),
+        F.coalesce("m.score", F.lit(0.0)).alias("score"),
+    )
+
+
 def consumer_wording(alerts: DataFrame, keep: list[str]) -> DataFrame:
     risk = F.col("risk_score")
     return alerts.select(
@@ -154,6 +199,23 @@ def consumer_wording(alerts: DataFrame, keep: list[str]) -> DataFrame:
 # --- cooldown ----------------------------------------------------------------------------------
 
 
+def cooled_down(
+    alerts: DataFrame, time_us: str, gap_us: int, order: list[str], slice_us: int | None = None
+) -> DataFrame:
+    """The alert rows that are notified: eligible ones, at most one per severity and category within
+    `gap_us`. Of several alerts of a key at one time the first by `order` stands for all."""
+    keyed = notifiable(alerts).withColumn(
+        "cooldown_key", F.concat_ws("_", "severity", "attack_category")
+    ).where(F.col(time_us).isNotNull())
+    # combined before the shuffle, so a hot key arrives as one row per task and time
+    first = keyed.groupBy("cooldown_key", time_us).agg(
+        F.min_by(F.struct(*[c for c in keyed.columns if c not in ("cooldown_key", time_us)]),
+                 F.struct(*order)).alias("row")
+    )
+    kept = cooldown(first, "cooldown_key", time_us, gap_us, slice_us)
+    return first.join(kept, ["cooldown_key", time_us]).select("cooldown_key", time_us, "row.*")
+
+
 def walk(times: np.ndarray, last: int | None, gap: int) -> np.ndarray:
     """Indices emitted from sorted times: each at least `gap` after the one emitted before it."""
     picked = []

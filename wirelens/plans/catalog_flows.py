@@ -440,9 +440,11 @@ def inject_override(spark, d):
     )
 
 
-@query(None)
+@query(f"""{Q.ALL_FLOWS} SELECT flow_key, flow_id, '2024-03-05 06:07:08' AS timestamp FROM flows""")
 def stamp_now(spark, d):
-    return derive.stamp_now(V.flows(spark, d).select("flow_key", "flow_id"))
+    """Rows stamped with a time; here a given one instead of the clock's."""
+    at = F.lit("2024-03-05 06:07:08").cast("timestamp")
+    return derive.stamp_now(V.flows(spark, d).select("flow_key", "flow_id"), at=at)
 
 
 # --- splits and samples ------------------------------------------------------------------------

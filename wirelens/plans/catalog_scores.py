@@ -894,6 +894,52 @@ def scan_verdict(spark, d):
     return A.scan_verdict(A.top_alert(_alerts(spark, d), ["flow_key"], keep))
 
 
+@query(f"""{Q.ALL_FUSED}, {_Z}, named AS (SELECT *, {_FRIENDLY_SQL} AS name FROM deviations),
+top AS ({_TOP}), told AS (
+  SELECT rank, {_SENTENCE} AS sentence FROM named WHERE rank <= 3 AND flow_key IN (SELECT flow_key FROM top))
+SELECT (SELECT CASE WHEN risk_score < 40 THEN 'SAFE' ELSE 'ATTACK' END FROM top) AS status,
+  coalesce(string_agg(sentence, ' | ' ORDER BY rank), {Q.text(K.NO_FINDINGS)}) AS findings FROM told""")
+def scan_findings(spark, d):
+    """The verdict of a scan with the first three sentences on its highest alert."""
+    rows = fusion.alerts(V.scores(spark, d), [], ["flow_key"], _FEATURES, _baseline(spark, d))
+    keep = ["risk_score", "attack_category", "is_novel_anomaly", "explainability"]
+    verdict = A.scan_verdict(A.top_alert(rows, ["flow_key"], keep))
+    return verdict.select("status", F.array_join("findings", " | ").alias("findings"))
+
+
+@query(f"""{Q.ALL_FUSED}
+SELECT 'FLOW-' || printf('%04d', source_port - 1024) AS flow_id, destination_port, risk_score FROM fused""")
+def alert_table_numbers(spark, d):
+    """Alerts without a flow id get one from a row number, four digits at least."""
+    rows = V.scores(spark, d).withColumn("position", F.col("source_port") - 1024)
+    table = A.alert_table(fusion.alerts(rows, ["destination_port"], ["position"]), "position")
+    return table.select("flow_id", "destination_port", "risk_score")
+
+
+def _card(model: str, name: str, role: str, status: str, score: str) -> str:
+    return (f"SELECT flow_key, '{model}' AS model, '{name}' AS name, {Q.text(role)} AS role, {status} AS status, "
+            f"{score} AS score FROM fused")
+
+
+_CLASS_CARD = ("CASE WHEN upper({0}) LIKE '%ANOMAL%' OR upper({0}) LIKE '%ATTACK%' THEN 'Unusual' "
+               "WHEN upper({0}) NOT IN ('NORMAL', 'BENIGN') THEN {0} ELSE 'Safe' END")
+
+
+@query(f"{Q.ALL_FUSED} " + " UNION ALL ".join([
+    _card("isolation_forest", "Behavior Checker", "Finds abnormal traffic spikes",
+          "CASE WHEN if_flag THEN 'Unusual' ELSE 'Safe' END", Q.rd("if_score", 3)),
+    _card("deep_autoencoder", "Neural Pattern Scan", "Learns normal habits & spots anomalies",
+          "CASE WHEN ae_flag THEN 'Unusual' ELSE 'Safe' END", Q.rd("ae_score", 3)),
+    _card("random_forest", "Known Threat Matcher", "Checks known attack patterns",
+          _CLASS_CARD.format("rf_class"), Q.rd("rf_confidence", 3)),
+    _card("quantum_kernel_svm", "Quantum AI Guard", "Next-gen smart protection",
+          _CLASS_CARD.format("q_label"), Q.rd("q_confidence", 3)),
+]))
+def consumer_models(spark, d):
+    """Model cards of every alert."""
+    return A.consumer_models(_alerts(spark, d), ["flow_key"])
+
+
 METADATA = ["flow_id", "source_ip", "destination_ip", "destination_port"]
 
 
@@ -1024,3 +1070,41 @@ def alert_cooldown(spark, d):
         "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")
     )
     return A.cooldown(alerts, "event_type", "at_us", COOLDOWN_US)
+
+
+_GAP_DAYS = 30
+
+
+@query(f"""{Q.ALL_TIERED.replace('WITH ', 'WITH RECURSIVE ', 1)},
+keyed AS (
+  SELECT severity || '_' || attack_category AS cooldown_key,
+    epoch_us(strptime(split_part(flow_key, '|', 9), '%Y%m%d')) AS at_us, * FROM tiered
+  WHERE severity IN ('MEDIUM', 'HIGH', 'CRITICAL') OR is_novel_anomaly),
+firsts AS (SELECT cooldown_key, at_us, min(flow_key) AS flow_key FROM keyed GROUP BY ALL),
+kept(cooldown_key, at_us) AS (
+  SELECT cooldown_key, min(at_us) FROM firsts GROUP BY cooldown_key
+  UNION ALL
+  SELECT k.cooldown_key, (SELECT min(f.at_us) FROM firsts f
+    WHERE f.cooldown_key = k.cooldown_key AND f.at_us >= k.at_us + {_GAP_DAYS * 86_400_000_000}) AS next
+  FROM kept k WHERE k.at_us IS NOT NULL)
+SELECT cooldown_key, f.flow_key, {_ICON_SQL} || ' Flow monitor: ' || CASE WHEN is_novel_anomaly
+    THEN 'Potential Novel Anomaly Detected!' ELSE attack_category || ' Detected!' END AS title,
+  CASE WHEN is_novel_anomaly THEN 'Zero-Day network telemetry pattern from ' || source_ip
+    || ' (Risk: ' || {Q.fixed('risk_score', 0)} || '/100). Click to inspect.'
+  ELSE 'Suspicious activity targeted at port ' || destination_port || ' from ' || source_ip
+    || ' (Risk: ' || {Q.fixed('risk_score', 0)} || '/100).' END AS message
+FROM kept JOIN firsts f USING (cooldown_key, at_us) JOIN keyed t USING (cooldown_key, at_us, flow_key)""")
+def notify_cooldown(spark, d):
+    """Eligible alerts, one per severity and category within 30 days of flow dates, with title and message."""
+    day = F.to_date(F.get(F.split("flow_key", r"\|"), F.lit(8)), "yyyyMMdd")
+    rows = _tiered(spark, d).withColumn("at", F.unix_micros(day.cast("timestamp")))
+    kept = A.cooled_down(rows, "at", _GAP_DAYS * 86_400_000_000, ["flow_key"])
+    return A.notifications(kept, ["cooldown_key", "flow_key"])
+
+
+@query("""SELECT event_id, user_id, event_type FROM events
+QUALIFY row_number() OVER (ORDER BY ts, event_id) > 50""")
+def queue_rest(spark, d):
+    """What is left of a queue of records in order of arrival after 50 were taken."""
+    rows = V.table(spark, d, "events").select("ts", "event_id", "user_id", "event_type")
+    return A.pop_oldest(rows, ["ts", "event_id"], 50)[1].drop("ts")
