@@ -32,9 +32,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact linear-interpolated percentiles: one row (feature, share, value) for each pair.
 
-    A sketch brackets every wanted order statistic; the second pass counts distinct values inside
-    the brackets only (all others collapse into one bin between brackets), so what is ranked is
-    about rows/accuracy values per column. More than `window_rows` of them are ranked in slices.
+    A sketch brackets every wanted order statistic. Values inside the brackets, about rows/accuracy per
+    column, are grouped; all others are only counted, per gap between brackets. More than `window_rows` of them are ranked in slices.
     Null and NaN are left out; a column without values gives null.
     """
     wanted = sorted(set(shares))
@@ -63,29 +62,31 @@ def exact_percentiles(
             return [-infinity] * (len(marks) - 1) + [infinity]
         return sketch[f"marks{i}"]
 
-    limits = [edges_of(i) for i in range(len(columns))]
-    table = F.array(*[F.array(*[F.lit(e) for e in row]) for row in limits])
-    after = F.array(*[
-        F.array(*[F.lit(math.nextafter(e, infinity)) for e in row]) for row in limits
-    ])
-    value = F.col("value")
-    edges = [F.get(F.get(table, F.col("position")), F.lit(k)) for k in range(len(marks))]
-    inside = value.between(edges[0], edges[-1]) & (edges[-1] == infinity)
-    for low, high in brackets:
-        inside = inside | value.between(edges[low], edges[high])
     # outside every bracket a bin is named by the next number after the largest edge below it
-    steps = [
-        F.get(F.get(after, F.col("position")), F.lit(k)) for k in range(len(marks))
-    ]
-    below = F.lit(float("-inf"))
-    for edge, step in zip(edges, steps, strict=True):
-        below = F.when(value > edge, step).otherwise(below)
+    cells, bins, names = [], [], []
+    for i, c in enumerate(columns):
+        value, edges = F.col(c), edges_of(i)
+        if edges[-1] == infinity:
+            inside = value.isNotNull()
+        else:
+            inside = F.lit(False)
+            for low, high in brackets:
+                inside = inside | value.between(edges[low], edges[high])
+            for at, (low, high) in enumerate(zip([-infinity, *edges], [*edges, infinity], strict=True)):
+                above = F.lit(True) if at == 0 else value > low
+                bins.append(F.count_if(above & (value <= high) & ~inside).alias(f"b{len(bins)}"))
+                names.append((i, -infinity if at == 0 else math.nextafter(low, infinity)))
+        cells.append(F.when(inside, F.struct(F.lit(i).alias("position"), value.alias("value"))))
+    # only cells inside a bracket become rows; the others are counted in place
     binned = (
-        clean.select(F.posexplode(F.array(*columns)).alias("position", "value"))
-        .where(value.isNotNull())
-        .groupBy("position", F.when(inside, value).otherwise(below).alias("value"))
-        .agg(F.count(F.lit(1)).alias("rows"))
+        clean.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+        .groupBy("cell.position", "cell.value").agg(F.count(F.lit(1)).alias("rows"))
     )
+    if bins:
+        outside = clean.agg(*bins).first()
+        counted = [(i, v, n) for (i, v), n in zip(names, outside, strict=True) if n]
+        binned = binned.unionByName(df.sparkSession.createDataFrame(
+            counted, "position int, value double, rows long"))
     binned = materialize(binned, "bins")
     if binned.count() <= window_rows:
         order = Window.partitionBy("position").orderBy("value")
