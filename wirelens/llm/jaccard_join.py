@@ -31,7 +31,7 @@ from wirelens.workspace import materialize
 from .common import components, slices
 from .suffix_tree import tokens
 
-PIECE = 16 << 20
+PIECE = 4 << 20
 
 
 @dataclass(frozen=True)
