@@ -98,7 +98,8 @@ def _score_counts(df: DataFrame, true: Column, score: Column, by: list[str]) ->
 
 
 def ranking_areas(
-    df: DataFrame, true: Column, score: Column, by: list[str] | None = None, slices: int = 64
+    df: DataFrame, true: Column, score: Column, by: list[str] | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """ROC and precision-recall areas (trapezoid, ties averaged); 0 for a single class.
 

@@ -15,6 +15,20 @@ from wirelens.operators.state import small
 from wirelens.workspace import materialize
 
 HEX_DIGITS = 3
+ROWS_PER_SLICE = 500_000
+
+
+def slices_for(rows: int) -> int:
+    """How many slices of an order keep each at about ROWS_PER_SLICE rows."""
+    return max(1, math.ceil(rows / ROWS_PER_SLICE))
+
+
+def digits_for(rows: int) -> int:
+    """How many hex digits of a hash keep the rows of a prefix at about ROWS_PER_SLICE."""
+    digits = 1
+    while 16**digits < slices_for(rows):
+        digits += 1
+    return digits
 
 
 def row_hash(*parts, seed: int = 0) -> Column:
@@ -182,9 +196,11 @@ def hash_cuts(
 
 
 def hash_positions(
-    df: DataFrame, hashed: str, position: str = "position", digits: int = HEX_DIGITS
+    df: DataFrame, hashed: str, position: str = "position", digits: int | None = None
 ) -> DataFrame:
-    """Number all rows 0..n-1 in hash order; each task ranks one hash prefix only."""
+    """Number all rows 0..n-1 in hash order; each task ranks hash prefixes, whose length follows from
+    the row count."""
+    digits = digits or digits_for(df.count())
     bucketed = df.withColumn("_bucket", _hash_bucket(hashed, digits))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     # at most 16**digits rows: one per prefix
@@ -219,7 +235,7 @@ def running_sums(
     sums: list[str],
     by: list[str] | None = None,
     descending: bool = False,
-    slices: int = 64,
+    slices: int | None = None,
 ) -> DataFrame:
     """Cumulative sums of `sums` in the order of `key` within `by`, for rows with distinct keys.
 
@@ -227,8 +243,9 @@ def running_sums(
     one `by` group holds) has many rows; slice totals are added up first and handed to the slices.
     """
     by = by or []
+    slices = slices or slices_for(df.count())
     shares = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(key, shares, 10_000).alias("e")).first()["e"]
+    found = df.agg(F.percentile_approx(key, shares, 10_000).alias("e")).first()["e"] if shares else []
     edges = sorted(set(found or []))
 
     def slice_of(low: int, high: int) -> Column:
