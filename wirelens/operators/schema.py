@@ -104,10 +104,13 @@ def label_text(column: str) -> Column:
     return F.trim(F.col(f"`{column}`").cast("string"))
 
 
-def class_dictionary(df: DataFrame, label: str) -> DataFrame:
-    """State table (idx, name, is_benign): classes in code-point order."""
+def class_dictionary(df: DataFrame, label: str, most: int = 10_000) -> DataFrame:
+    """State table (idx, name, is_benign): classes in code-point order. A column with more than `most`
+    different values is no label column and fails, before its values are gathered."""
     names = df.select(label_text(label).alias("name")).where(F.col("name").isNotNull()).distinct()
-    sorted_names = names.agg(F.array_sort(F.collect_list("name")).alias("names"))
+    sorted_names = names.limit(most + 1).agg(F.array_sort(F.collect_list("name")).alias("names")).select(
+        F.when(F.size("names") <= most, F.col("names")).otherwise(
+            F.raise_error(F.lit(f"{label}: more than {most} classes"))).alias("names"))
     benign = F.coalesce(
         *[F.when(F.array_contains("names", n), F.lit(n)) for n in K.BENIGN_NAMES],
         F.get("names", F.lit(0)),
