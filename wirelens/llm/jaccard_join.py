@@ -309,7 +309,9 @@ def exact_links(docs: DataFrame, stars: DataFrame, sizes: DataFrame, bands: Band
     plan = members.unionByName(hubs).select("doc", "star", "block", F.col("doc").alias("group_id"), F.lit(False).alias("visitor"))
     links = materialize(tile_links(docs, plan, settings), "links")
 
-    # second round: what is still apart in some star
+    # second round: what is still apart in some star that was not compared whole
+    whole = first.groupBy("star").agg(F.count("*").alias("rows")).join(blocks.where("blocks = 1"), "star")
+    whole = whole.join(stars.groupBy("star").agg(F.count("*").alias("all")), "star").where("rows = all").select("star")
     roots = components(links)
     labelled = stars.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
         "doc", "star", F.coalesce("root", "doc").alias("group_id"))
@@ -317,6 +319,7 @@ def exact_links(docs: DataFrame, stars: DataFrame, sizes: DataFrame, bands: Band
     apart = labelled.groupBy("star", "group_id").agg(F.count("*").alias("rows"))
     apart = apart.groupBy("star").agg(
         F.max_by("group_id", F.struct("rows", "group_id")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    apart = materialize(apart.join(materialize(whole, "whole"), "star", "left_anti"), "apart")
     active = materialize(labelled.join(apart.select("star", "main"), "star").join(sizes, "doc"), "active")
     if not active.head(1):
         return links
