@@ -28,10 +28,6 @@ def lower_ascii(value: Column) -> Column:
     return F.translate(value, UPPER, UPPER.lower())
 
 
-def words_sql(text: str) -> str:
-    return f"filter(split({text}, r'[{BLANKS}]+'), w -> w != '')"
-
-
 def let_sql(name: str, value: str, body: str) -> str:
     """Evaluate `value` once and use it as `name` in `body`: an expression that a lambda refers to
     would otherwise be evaluated for every element."""
