@@ -253,17 +253,15 @@ def test_transducer_tables(spark):
 def brute_template(text):
     out = []
     raw = re.split(r"[\x20\x09\x0B-\x0D]+", (text or "").replace("\n", " \n"))
-    cores = []
-    for i, w in enumerate(raw):
-        core = w.strip(decontaminate.EDGES)
-        if core:
-            cores.append((core, i == 0 or w.startswith("\n") or raw[i - 1][-1:] in (".", "!", "?", ":", "")))
-    for i, (c, first) in enumerate(cores):
+    cores = [w.strip(decontaminate.EDGES) for w in raw]
+    for i, (w, c) in enumerate(zip(raw, cores, strict=True)):
+        if not c:
+            continue
         if "0" <= c[0] <= "9":
             t = "<num>"
-        elif i and "0" <= cores[i - 1][0][0] <= "9" and c.lower() in decontaminate.UNITS:
+        elif i and "0" <= cores[i - 1][:1] <= "9" and c.lower() in decontaminate.UNITS:
             t = "<unit>"
-        elif not first and c[0] != c[0].lower():
+        elif i and not w.startswith("\n") and raw[i - 1][-1:] not in (".", "!", "?", ":", "") and c[0] != c[0].lower():
             t = "<name>"
         else:
             t = c.lower()

@@ -47,22 +47,27 @@ DEFAULT = Settings()
 
 
 def tokens_sql(text: str) -> str:
-    """SQL for array<struct<t template token, v value>> of a text."""
+    """SQL for array<struct<t template token, v value>> of a text.
+
+    A word of lower-case letters stands for itself, unless it is a unit behind a number; only other words are
+    trimmed and classed. A capital is a name unless its word opens a sentence or line. Adjacent names are one.
+    """
     quote = EDGES.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
     units = ", ".join(f"'{u}'" for u in UNITS)
     raw = rf"split(replace(coalesce(cast({text} as string), ''), '\n', ' \n'), r'[\x20\x09\x0B-\x0D]+')"
-    cores = (
-        f"filter(transform(raw, (w, i) -> struct(trim(BOTH '{quote}' FROM w) AS c, i = 0 OR startswith(w, '\\n') OR "
-        "right(get(raw, i - 1), 1) IN ('.', '!', '?', ':', '') AS first)), x -> x.c <> '')"
-    )
-    number = "ascii({0}) BETWEEN 48 AND 57"
+    behind_number = f"ascii(trim(BOTH '{quote}' FROM get(raw, i - 1))) BETWEEN 48 AND 57"
+    opens = "(i = 0 OR startswith(w, '\\n') OR right(get(raw, i - 1), 1) IN ('.', '!', '?', ':', ''))"
+    other = let_sql("c", f"trim(BOTH '{quote}' FROM w)", (
+        "struct(CASE WHEN ascii(c) BETWEEN 48 AND 57 THEN '<num>' "
+        f"WHEN lower(c) IN ({units}) AND i > 0 AND {behind_number} THEN '<unit>' "
+        f"WHEN left(c, 1) <> lower(left(c, 1)) AND NOT {opens} THEN '<name>' ELSE lower(c) END AS t, c AS v)"))
     typed = (
-        f"transform(cores, (x, i) -> struct(CASE WHEN {number.format('x.c')} THEN '<num>' "
-        f"WHEN i > 0 AND {number.format('get(cores, i - 1).c')} AND lower(x.c) IN ({units}) THEN '<unit>' "
-        "WHEN NOT x.first AND left(x.c, 1) <> lower(left(x.c, 1)) THEN '<name>' ELSE lower(x.c) END AS t, x.c AS v))"
+        r"filter(transform(raw, (w, i) -> CASE WHEN w rlike r'^\p{Ll}+$' THEN "
+        f"struct(CASE WHEN w IN ({units}) AND i > 0 AND {behind_number} THEN '<unit>' ELSE w END AS t, w AS v) "
+        f"ELSE {other} END), x -> x.v <> '')"
     )
     merged = let_sql("typed", typed, "filter(typed, (x, i) -> x.t <> '<name>' OR i = 0 OR get(typed, i - 1).t <> '<name>')")
-    return let_sql("raw", raw, let_sql("cores", cores, merged))
+    return let_sql("raw", raw, merged)
 
 
 def _windows_sql(tokens: str, widths: list[int], chosen: str) -> str:

@@ -59,7 +59,46 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _templates_sql(name: str, key: str, source: str) -> str:
+    """CTEs ending in `name` (k, pos, t, v, n) and `name`_w (k, pos, tw, literals): template tokens and windows of 8."""
+    edges = "'" + decontaminate.EDGES.replace("'", "''").replace("\n", "") + "' || chr(10)"
+    units = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+    return f"""{name}_r AS (SELECT k, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT DISTINCT {key} AS k,
+        string_split_regex(replace(coalesce(text, ''), chr(10), ' ' || chr(10)), '[\\x20\\x09\\x0B-\\x0D]+') AS ws
+        FROM {source} WHERE {key} IS NOT NULL)),
+{name}_c AS (SELECT k, i, w, trim(w, {edges}) AS c, lag(w) OVER (PARTITION BY k ORDER BY i) AS p FROM {name}_r),
+{name}_t AS (SELECT k, i, c AS v, CASE WHEN c[1] BETWEEN '0' AND '9' THEN '<num>'
+        WHEN lower(c) IN ({units}) AND trim(p, {edges})[1] BETWEEN '0' AND '9' THEN '<unit>'
+        WHEN c[1] <> lower(c[1]) AND NOT (i = 0 OR starts_with(w, chr(10)) OR right(p, 1) IN ('.', '!', '?', ':', ''))
+            THEN '<name>' ELSE lower(c) END AS t FROM {name}_c WHERE c <> ''),
+{name}_m AS (SELECT *, lag(t) OVER (PARTITION BY k ORDER BY i) AS q FROM {name}_t),
+{name} AS (SELECT k, t, v, row_number() OVER (PARTITION BY k ORDER BY i) AS pos, count(*) OVER (PARTITION BY k) AS n
+    FROM {name}_m WHERE NOT coalesce(t = '<name>' AND q = '<name>', false)),
+{name}_w AS (SELECT k, pos, n, array_to_string(ts, ' ') AS tw,
+        len(list_filter(ts, lambda z: z NOT IN ('<num>', '<unit>', '<name>'))) AS literals
+    FROM (SELECT k, pos, n, list(t) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ts
+        FROM {name}) WHERE len(ts) = 8)"""
+
+
+# the windows of 8 alone: no item of the given benchmark has fewer tokens
+@query(f"""WITH {_templates_sql('d', 'doc_id', 'documents')}, {_templates_sql('b', 'item_id', 'benchmark')},
+met AS (SELECT d_w.k AS doc_id, b_w.k AS item_id, d_w.pos - b_w.pos AS diagonal, b_w.pos AS item_p, b_w.n AS item_tokens
+    FROM d_w JOIN b_w USING (tw) WHERE b_w.literals >= 4),
+hit AS (SELECT DISTINCT doc_id, item_id, diagonal, item_tokens, unnest(range(item_p, item_p + 8)) AS pos FROM met),
+runs AS (SELECT doc_id, item_id, diagonal, item_tokens, count(*) AS matched_tokens FROM hit GROUP BY ALL),
+pairs AS (SELECT doc_id, item_id, diagonal, b.t AS kind, b.v AS old, count(DISTINCT d.v) AS n, max((d.v <> b.v)::INT) AS changed
+    FROM hit JOIN b ON b.k = item_id AND b.pos = hit.pos JOIN d ON d.k = doc_id AND d.pos = hit.pos + diagonal
+    WHERE b.t IN ('<num>', '<unit>', '<name>') GROUP BY ALL),
+slots AS (SELECT doc_id, item_id, diagonal, count(*) AS n_slots, sum(changed) AS changed_slots,
+    count(*) FILTER (n = 1) AS consistent_slots FROM pairs GROUP BY ALL),
+judged AS (SELECT doc_id, item_id, matched_tokens, item_tokens, coalesce(n_slots, 0) AS n_slots,
+    coalesce(changed_slots, 0) AS changed_slots, coalesce(consistent_slots, 0) AS consistent_slots
+    FROM runs LEFT JOIN slots USING (doc_id, item_id, diagonal)
+    WHERE matched_tokens >= least(13, ceil(0.8 * item_tokens)) AND coalesce(consistent_slots >= 0.9 * n_slots, true))
+SELECT doc_id, item_id, matched_tokens::BIGINT AS matched_tokens, item_tokens::BIGINT AS item_tokens, n_slots::BIGINT AS n_slots,
+    changed_slots::BIGINT AS changed_slots, consistent_slots::BIGINT AS consistent_slots FROM judged
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id
+    ORDER BY matched_tokens DESC, consistent_slots DESC, n_slots DESC, changed_slots, item_tokens DESC) = 1""")
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,7 +124,7 @@ m AS (SELECT d.r, doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     coalesce(word_chars / n_words < 2 OR word_chars / n_words > 15 OR n_symbols / n_words > 0.25
         OR n_stop / n_words < 0.02, false)
-        OR coalesce(n_dup_lines / n_lines > 0.3 OR n_words / n_lines > 5000, false) AS other_failed FROM m)
+        OR coalesce(n_dup_lines / n_lines > 0.5 OR n_words / n_lines > 5000, false) AS other_failed FROM m)
 """.replace("{stops}", ", ".join(f"'{w}'" for w in quality.STOP_WORDS))
 
 
@@ -164,7 +203,23 @@ def op6_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM s WHERE len(ws) >= 3),
+g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM w
+        WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL
+    UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM s WHERE len(ws) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(g) AS n FROM s LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+z AS (SELECT doc_id, g, n FROM g JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS m, any_value(a.n) AS ni, any_value(b.n) AS nj
+    FROM z a JOIN z b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY ALL),
+e AS (SELECT i, j FROM p WHERE 100 * m >= 90 * (ni + nj - m)),
+reach AS (SELECT doc_id AS d, doc_id AS m FROM n UNION SELECT e.j, reach.m FROM reach JOIN e ON e.i = reach.d),
+c AS (SELECT d AS doc_id, min(m) AS component_id FROM reach GROUP BY d),
+same AS (SELECT i AS doc_id, min(j) AS other FROM p WHERE m = ni AND m = nj GROUP BY i)
+SELECT doc_id, n AS n_shingles, component_id, least(doc_id, coalesce(other, doc_id)) AS class_id
+FROM n JOIN c USING (doc_id) LEFT JOIN same USING (doc_id)""")
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", "n_shingles", "component_id", "class_id")
