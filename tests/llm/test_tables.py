@@ -250,6 +250,22 @@ def test_transducer_tables(spark):
     assert not transducer.round_trip(docs.limit(0), path).head(1)
 
 
+def test_merges_equal_the_library(spark, sf_dir):
+    library = pytest.importorskip("sentencepiece")
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    model, draw = library.SentencePieceProcessor(model_file=path), random.Random(6)
+    pool = [" ", "  ", "\n", "\t", "é", "\U0001f600", "\u2581", "the", "document", "a", "in", "\u6f22\u5b57", "\x00", "e\u0301"]
+    texts = [t or "" for t in ODD] + ["".join(draw.choices(pool, k=draw.randint(1, 30))) for _ in range(2000)]
+    texts += [" " * n for n in (1, 2, 3, 5, 17, 1000)] + ["ab" * 5000, "the" + " " * 33 + "document"]
+    machine = transducer.load(path)
+    for text in texts:
+        assert machine.encode(text).tolist() == model.encode(text), text[:80]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {r.doc_id: model.encode(r.text or "") for r in docs.select("doc_id", "text").collect()}
+    got = transducer.round_trip(docs, path, with_ids=True).collect()
+    assert len(got) == len(want) and all(r.ids == want[r.doc_id] and r.round_trip for r in got)
+
+
 def brute_template(text):
     out = []
     raw = re.split(r"[\x20\x09\x0B-\x0D]+", (text or "").replace("\n", " \n"))

@@ -3,15 +3,18 @@
 The normaliser (a space before the text, spaces as U+2581), the pieces and the byte fallback are compiled into
 one transducer: a trie of states whose final arcs write a piece at the cost of its negated score and return to
 the start; a character without a piece writes its UTF-8 bytes at the fallback cost. Composed with a text it
-is a lattice over the text's positions, whose tropical-semiring shortest path gives the pieces.
+is a lattice over the text's positions. A unigram model's pieces are its tropical-semiring shortest path. The
+scores of a BPE model are ranks of merges, which do not add up: there the path starts at the arcs of single
+characters, and of all neighbouring arcs those whose joint piece ranks best become one, until none can.
 
-No piece holds U+2581 behind another character, so the shortest path of a text is that of its space-led
+No piece holds U+2581 behind another character, so the path of a text is that of its space-led
 segments, one behind the other; workers hold the paths of segments in a bounded cache.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,12 +32,17 @@ FALLBACK = 10.0  # what a fallback costs beyond the dearest piece
 
 
 class Transducer:
-    """Compiled from (piece, score, kind) rows; kind is normal, byte or another one that no text matches."""
+    """Compiled from (piece, score, kind) rows; kind is normal, byte or another one that no text matches.
+
+    With `merges` the scores are ranks of merges (BPE), else they are summed up along a path (unigram).
+    """
 
     room, longest = 300_000, 64  # segments held, and how long they may be
 
-    def __init__(self, pieces: list[tuple[str, float, str]], dummy_prefix: bool = True):
+    def __init__(self, pieces: list[tuple[str, float, str]], dummy_prefix: bool = True, merges: bool = False):
         self.dummy_prefix = dummy_prefix
+        self.path = self.merged if merges else self.shortest
+        self.ranks: dict[str, tuple[float, int]] = {}
         self.start: dict = {}
         self.byte_id = {}
         self.costs = np.zeros(len(pieces))
@@ -54,6 +62,7 @@ class Transducer:
                 state = state.setdefault(c, {})
             if "" not in state or cost < state[""][0]:
                 state[""] = (cost, i)
+            self.ranks[piece] = state[""]
             self.costs[i], self.output[i] = cost, piece.replace(SPACE, " ").encode()
         if len(self.byte_id) != 256:
             raise ValueError("byte fallback needs all 256 byte pieces")
@@ -90,8 +99,32 @@ class Transducer:
             j = i
         return ids[::-1]
 
+    def merged(self, segment: str) -> list[int]:
+        """Piece numbers after all merges: always the neighbours whose joint piece has the best score, of
+        equal ones the leftmost. The work is that of a heap of at most three entries a character."""
+        segment, n, ranks = segment.replace(" ", SPACE), len(segment), self.ranks
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # of the arc that starts here; 0 where none does
+        pairs = [(found[0], i, i + 1, i + 2) for i in range(n - 1) if (found := ranks.get(segment[i:i + 2]))]
+        heapq.heapify(pairs)
+        while pairs:
+            _, i, j, k = heapq.heappop(pairs)
+            if end[i] != j or end[j] != k:  # one of the two has been merged since
+                continue
+            end[i], end[j], before[k] = k, 0, i
+            left = before[i]
+            if left >= 0 and (found := ranks.get(segment[left:k])):
+                heapq.heappush(pairs, (found[0], left, i, k))
+            if k < n and (found := ranks.get(segment[i:end[k]])):
+                heapq.heappush(pairs, (found[0], i, k, end[k]))
+        ids, i = [], 0
+        while i < n:
+            found = ranks.get(segment[i:end[i]])
+            ids += [found[1]] if found else [self.byte_id[b] for b in segment[i].encode()]
+            i = end[i]
+        return ids
+
     def _path(self, segment: str) -> bytes:
-        ids = np.array(self.shortest(segment), np.int32).tobytes()
+        ids = np.array(self.path(segment), np.int32).tobytes()
         if len(segment) <= self.longest:
             if len(self.held) >= self.room:
                 self.held.clear()
@@ -119,7 +152,16 @@ def normalised(text: str) -> str:
 def load(path: str) -> Transducer:
     """The transducer of a model file with the identity normaliser and byte fallback, on every worker."""
     import sentencepiece
-
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as file:
+        stored = sentencepiece_model_pb2.ModelProto.FromString(file.read())
+    kinds, spec, rows = type(stored).SentencePiece, stored.trainer_spec, stored.pieces
+    if spec.model_type not in (spec.UNIGRAM, spec.BPE):
+        raise ValueError("the model is neither a unigram nor a BPE one")
+    merges = spec.model_type == spec.BPE
+    if merges and any(r.type in (kinds.USER_DEFINED, kinds.UNUSED) for r in rows):
+        raise ValueError("user-defined and unused pieces of a BPE model have segmentation rules of their own")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     probe = "  ﬁ  ①"  # any other normaliser would rewrite these
     prefixed = model.normalize(probe) if hasattr(model, "normalize") else SPACE + probe.replace(" ", SPACE)
@@ -133,14 +175,14 @@ def load(path: str) -> Transducer:
         return "other" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else "normal"
 
     pieces = [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())]
-    return Transducer(pieces, prefixed == SPACE + plain)
+    return Transducer(pieces, prefixed == SPACE + plain, merges)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ids array<int> of the cheapest path.
+    """One row per input row: id, ids array<int> of the model's path.
 
     Null and empty texts have no pieces; very long texts are encoded whole; repeated rows and equal texts alike;
-    ties are settled as in `Transducer.shortest`; an empty table gives no rows; other columns are ignored.
+    ties are settled as in `Transducer.shortest` and `Transducer.merged`; an empty table gives no rows; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
