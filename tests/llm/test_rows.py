@@ -85,6 +85,21 @@ def test_added_spans():
     assert pii.redact("") == ""
 
 
+def test_added_spans_are_whole():
+    long = "eyJhbGciOiJIUzI1NiJ9." + "a1B2_c3-" * 50
+    for text, kind, value in (
+            (f"token={long} x", "secret", long), (f"token: '{long}' x", "secret", long), (f'password = "{long}"', "secret", long),
+            ("aPi_KeY=QUJDRE5GRzE= x", "secret", "QUJDRE5GRzE="), ("tOkEn=ab12cd34ef", "secret", "ab12cd34ef"),
+            ("IBAN DE89370400440532013000", "account", "DE89370400440532013000"),
+            ("iBan is DE89 3704 0044 0532 0130 00 was used", "account", "DE89 3704 0044 0532 0130 00"),
+            ("SSN 123-45-6789 x", "account", "123-45-6789"), ("account number is 12345678", "account", "12345678"),
+            ("\u0130 Account No. 12345678 \u0130", "account", "12345678"), ("passport  C01X00T478", "account", "C01X00T478")):
+        assert [text[a:b] for a, b, k in pii.spans(text) if k == kind] == [value], text
+        assert value not in pii.redact(text)
+    for text in ("account has 3 items and 12345678", "account is open", "IBAN of the account", "account 2024", "account is 12345"):
+        assert [s for s in pii.spans(text) if s[2] == "account"] == [], text
+
+
 def test_pii_tables(spark):
     docs = odd_docs(spark)
     assert pii.find(docs).count() == len(ODD) + 2

@@ -39,9 +39,15 @@ RUN = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 ACCOUNT = re.compile(
-    r"(?:[ ]?(?:no|nr|num|number)\b\.?[ ]?[:=#]?|[ ]?[:=#])[ ]?("
+    r"(?:[ ]?(?i:no|nr|num|number)\b\.?[ ]?[:=#]?|[ ]?[:=#])[ ]?(?!(?i:is)[ ])("
     r"[A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
-SECRET = re.compile(r"[ ]?[:=][ ]?(?:\"([^\"\s]{8,200})\"|'([^'\s]{8,200})'|([A-Za-z0-9+/_.~-]{8,200}))")
+# behind blanks or "is": an IBAN, groups of digits or one word with digits
+STATED = re.compile(
+    r"(?:[ \t]*+(?i:no|nr|num|number)\b\.?)?(?:[ \t]*+[:=#])?(?:[ \t]++(?i:is)\b)?(?:[ \t]*+[:=#])?[ \t]++(?:"
+    r"([A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30})|([0-9](?:[ -]?[0-9]){5,}+)(?![A-Za-z0-9])|([A-Za-z0-9]{6,}+))")
+WORD_END = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
+STATED_PLAIN = re.compile(r"[A-Za-z0-9]{6,}+")
+SECRET = re.compile(r"[ ]?[:=][ ]?(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)'|([A-Za-z0-9+/_.~-]{8,}+={0,2}))")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -49,7 +55,7 @@ def _automaton() -> ahocorasick.Automaton:
     anchors = {"@": "at", "+": "plus"} | {d: "digit" for d in DIGITS} | {s: "scheme" for s in SCHEMES}
     for cues, kind in ((ACCOUNT_CUES, "account"), (SECRET_CUES, "secret")):
         for cue in cues:
-            anchors |= {form: kind for form in (cue, cue.upper(), cue.capitalize())}
+            anchors[cue] = kind
     for anchor, kind in anchors.items():
         found.add_word(anchor, (kind, len(anchor)))
     found.make_automaton()
@@ -79,6 +85,27 @@ def _octet(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
+def _ascii_lower(text: str) -> str:
+    """A to Z in lower case and nothing else changed, so positions stay."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def _stated(text: str, at: int) -> tuple[int, int] | None:
+    """(start, end) of an account number that follows its cue without a colon and passes its validation."""
+    value = STATED.match(text, at)
+    if not value:
+        return None
+    if value[1]:
+        start = value.start(1)
+        for end in sorted((m.start() for m in WORD_END.finditer(text, start, value.end(1) + 1)), reverse=True):
+            if end <= value.end(1) and iban(re.sub(r"[ -]", "", text[start:end])):
+                return start, end
+        value = STATED_PLAIN.match(text, start)
+        return value.span() if value and sum(c in DIGITS for c in value[0]) >= 6 else None
+    group = 2 if value[2] else 3
+    return value.span(group) if sum(c in DIGITS for c in value[group]) >= 6 else None
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """All (start, end, kind), ends exclusive, in code points, ordered by start, then kind.
 
@@ -87,7 +114,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     """
     out: list[tuple[int, int, str]] = []
     mail_end = dotted_end = number_end = phone_end = url_end = secret_end = account_end = 0
-    for last, (kind, size) in ANCHORS.iter(text):
+    for last, (kind, size) in ANCHORS.iter(_ascii_lower(text)):
         at = last + 1 - size
         if kind == "digit":
             if at >= number_end:
@@ -131,7 +158,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                     secret_end = value.end(group)
                     out.append((*value.span(group), "secret"))
         else:
-            value = ACCOUNT.match(text, at + size) if at >= account_end else None
+            if at < account_end:
+                continue
+            value, found = ACCOUNT.match(text, at + size), False
             if value:
                 bare = re.sub(r"[ -]", "", value[1])
                 # the value ends with its last token that holds a digit
@@ -139,6 +168,11 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 if iban(bare) or sum(c in DIGITS for c in bare) >= 6:
                     account_end = value.end(1) if iban(bare) else end
                     out.append((value.start(1), account_end, "account"))
+                    found = True
+            stated = None if found else _stated(text, at + size)
+            if stated:
+                account_end = stated[1]
+                out.append((*stated, "account"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
