@@ -33,8 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    return decontaminate.without(docs, decontaminate.matches(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold a passage of a benchmark item go, with other values or in other case too."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = decontaminate.matches(docs, benchmark).select("doc_id")
+    return decontaminate.without(docs, found.unionByName(decontaminate.copied(docs, benchmark).select("doc_id")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

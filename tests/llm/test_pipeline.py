@@ -80,6 +80,20 @@ def test_pipeline(spark, sf_dir_of):
         assert r.ids_sha256 == hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
 
 
+def test_copies_in_other_case_go(spark, sf_dir_of):
+    pad, sums = "some clean words stand here. ", "3 4 5 6 7 8 9 10 11 12 13 14 15 16 17"
+    texts = [pad + ITEM.upper(), pad + ITEM.lower() + " " + pad, pad + ITEM.title(), pad + sums + " " + pad, pad + "Two small Birds!", pad,
+             pad + " ".join(ITEM.split()[:12]).upper(), None, ""]
+    path = sf_dir_of([(i, t, "en", "s", 0) for i, t in enumerate(texts)],
+                     [(0, ITEM), (1, sums), (2, "two small birds"), (3, None), (4, "?!"), (None, pad)])
+    docs, items = (spark.read.parquet(f"{path}/{name}.parquet") for name in ("documents", "benchmark"))
+    want = {(0, 0), (1, 0), (2, 0), (3, 1), (4, 2)}
+    for settings in (decontaminate.DEFAULT, decontaminate.Settings(broadcast_rows=0)):
+        assert {tuple(r) for r in decontaminate.copied(docs, items, settings).collect()} == want
+    assert not decontaminate.copied(docs, items.limit(0)).head(1)
+    assert {r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, path).collect()} == {5, 6, 7, 8}
+
+
 def test_stages_on_odd_tables(spark, sf_dir_of):
     path = sf_dir_of([(0, None, None, None, None), (None, None, None, None, None), (1, "", "x", "y", 0)], [(0, None)])
     odd = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "1 AS n_words", "'x' AS row", "0 AS star")

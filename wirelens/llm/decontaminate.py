@@ -114,6 +114,43 @@ def _bitmap_sql(windows: DataFrame, count: int, settings: Settings) -> str:
     return f"getbit(get(array({longs}), cast(shiftright(x.h & {mask}L, 6) AS int)), cast(x.h & 63L AS int)) = 1"
 
 
+def words_sql(text: str) -> str:
+    """SQL for array<string> of a text's trimmed words in lower case, of no type."""
+    quote = EDGES.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    raw = rf"split(coalesce(cast({text} as string), ''), r'[\x20\x09-\x0D]+')"
+    return (rf"filter(transform({raw}, w -> if(w rlike r'^\p{{Ll}}+$', w, lower(trim(BOTH '{quote}' FROM w)))), w -> w <> '')")
+
+
+def copied(docs: DataFrame, benchmark: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """One row (document, item) where `passage` words of the item stand in a row, or a shorter item stands whole,
+    whatever the case and however many of the words are numbers or names: doc_id, item_id.
+
+    Every item with a word is looked for, also one of a word or two. Odd rows are treated as in `matches`.
+    """
+    def windows(w: str) -> str:
+        return f"transform(sequence(1, size(t) - {w} + 1), i -> struct(xxhash64(slice(hs, i, {w})) AS h, i AS p))"
+
+    def hashed(text: str, body: str) -> str:
+        return let_sql("t", words_sql(text), let_sql("hs", "transform(t, z -> xxhash64(z))", body))
+
+    w = f"least({settings.passage}, size(t))"
+    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id"), F.expr("explode(" + hashed("text", (
+        f"if(size(t) = 0, null, transform({windows(w)}, x -> struct(x.h AS h, slice(t, x.p, {w}) AS t)))")) + ") AS x"))
+    items = materialize(rows.select("item_id", "x.h", "x.t").distinct(), "copies_wanted")
+    facts = items.agg(F.count("*").alias("n"), F.collect_set(F.size("t")).alias("widths")).head()
+    chosen = _bitmap_sql(items, facts.n, settings)
+    empty = "cast(array() AS array<struct<h: bigint, t: array<string>>>)"
+    parts = [f"if(size(t) >= {w}, transform(filter({windows(w)}, x -> {chosen}), x -> struct(x.h AS h, slice(t, x.p, {w}) AS t)), {empty})"
+             for w in sorted(facts.widths) or [settings.passage]]
+    every = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+    found = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.expr(f"explode({hashed(text_col, every)})").alias("x")).select("doc_id", "x.h", "x.t")
+    if facts.n <= settings.broadcast_rows:
+        items = F.broadcast(items)
+    return found.join(items, ["h", "t"]).select(F.col("doc_id").alias(id_col), "item_id").distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """One row per leaked (document, item): doc_id, item_id, matched_tokens, item_tokens, n_slots, changed_slots,
