@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelens.workspace import scratch_path
+
 from . import (
     chat_format,
+    collocations,
     decontaminate,
     fill_middle,
     host_reputation,
@@ -16,6 +19,7 @@ from . import (
     suffix_tree,
     token_counts,
     transducer,
+    warc,
     weighted_tree,
 )
 from .common import table
@@ -252,6 +256,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+d AS (SELECT page_id, strlen(p)::BIGINT AS payload_bytes, sha256(p) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first <> page_id THEN first END AS refers_to FROM f""")
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write(pages, path)
+    back = warc.read(spark, path, pages.schema["page_id"].dataType.simpleString(), with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("""
+WITH p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, len, array_to_string(ws[i:i + len - 1], ' ') AS phrase, count(*) AS a
+    FROM i, (SELECT unnest(range(1, 6)) AS len) WHERE i + len - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM g WHERE len = 1 GROUP BY lang),
+f AS (SELECT * FROM g WHERE a >= 100),
+k AS (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, len)) AS k FROM f WHERE len >= 2),
+s AS (SELECT k.lang, k.phrase, k.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * k.a * n) // (l.a::HUGEINT * r.a) AS score
+    FROM k JOIN n USING (lang) JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+    JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+c AS (SELECT DISTINCT f.lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, f.a AS longer FROM (
+    SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE len >= 3) f, (SELECT unnest(range(2, 5)) AS size),
+    (SELECT unnest(range(1, 5)) AS i) WHERE size < f.len AND i + size - 1 <= f.len),
+d AS (SELECT * FROM b WHERE NOT EXISTS (FROM c WHERE c.lang = b.lang AND c.phrase = b.phrase AND 100 * longer >= 100 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a,
+    l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM d QUALIFY rank <= 2000""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 _CUTS = "'[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+'"
 
 
