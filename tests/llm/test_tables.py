@@ -1,15 +1,12 @@
 """Operators that gather over a table, against brute force."""
 
-import math
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
-from wirelens.llm import decontaminate, jaccard_join, queries, suffix_tree, transducer
+from wirelens.llm import decontaminate, jaccard_join, queries, transducer
 
 from test_rows import ODD, odd_docs
 
@@ -89,116 +86,6 @@ def test_parts_never_lose_a_pair():
         assert set(value[owner == 0].tolist()) & set(value[owner == 1].tolist())
 
 
-def test_tokens_are_words_and_ends():
-    texts = ["A bÉ c", "", " \t", "x\x0by Z", "ÀB"]
-    distinct, codes, first = suffix_tree.tokens(pa.array(texts))
-    want = [x for t in texts for x in [*words(t), "\n"]]
-    assert distinct.take(pa.array(codes)).to_pylist() == want
-    assert first.tolist() == [0, 4, 5, 6, 9]
-
-
-def training(spark, n=400):
-    draw = random.Random(2)
-    chain = {w: draw.choices("abcdefgh", k=3) for w in "abcdefgh"}
-    rows = []
-    for i in range(n):
-        text = [draw.choice("abcdefgh")]
-        while draw.random() < 0.96:
-            text.append(draw.choice(chain[text[-1]]) if draw.random() < 0.9 else f"r{draw.randrange(4000)}")
-            text[-1] = text[-1] if text[-1] in chain else text[-1]
-            if text[-1] not in chain:
-                text.append(draw.choice("abcdefgh"))
-        rows.append((i, " ".join(text).upper() if i % 5 == 0 else " ".join(text), 0))
-    rows += [(n + i, t, 0) for i, t in enumerate(ODD)] + [(None, "a b", 0), (3, "a b", 0), (3, "a b", 0)]
-    return spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), rows
-
-
-def brute_tree(train, tree):
-    """log10 of a next word by plain dictionaries, from the retained contexts of a fitted tree."""
-    s = tree.settings
-    sequences = [["^", *words(t), "\n"] for t in train]
-    one, two, three = Counter(), Counter(), Counter()
-    for q in sequences:
-        one.update(q[1:])
-        two.update(zip(q, q[1:]))
-        three.update(zip(q, q[1:], q[2:]))
-    total = sum(one.values())
-    least = s.symbol_share * total
-    names = [*tree.words.to_pylist(), "^"]
-    kept = {names[i] for i in np.flatnonzero(tree.kept)}
-    kept2 = {(names[tree.pairs[j] >> suffix_tree.BITS], names[tree.pairs[j] & suffix_tree.MASK]) for j in np.flatnonzero(tree.pair_kept)}
-    explicit = {p for p, n in two.items() if n >= max(2, least)}
-    one["^"] = len(sequences)
-
-    def p0(w):
-        return ((one[w] if w != "^" else 0) + s.added) / (total + s.added * (len(one) - 1 + 1))
-
-    def p1(c, w, force=False):
-        if c not in kept and not force:
-            return p0(w)
-        entries = {x: n for (a, x), n in two.items() if a == c and (a, x) in explicit}
-        rest = 1 - sum(n - s.discount for n in entries.values()) / one[c]
-        return ((entries[w] - s.discount) / one[c] if w in entries else 0) + rest * p0(w)
-
-    def p(history, w):
-        if len(history) > 1 and tuple(history[-2:]) in kept2:
-            c = tuple(history[-2:])
-            entries = {x: n for (a, b, x), n in three.items() if (a, b) == c and n >= max(2, least)}
-            rest = 1 - sum(n - s.discount for n in entries.values()) / two[c]
-            return ((entries[w] - s.discount) / two[c] if w in entries else 0) + rest * p1(c[1], w)
-        return p1(history[-1], w)
-
-    return p, p0, one, total
-
-
-def test_suffix_tree(spark):
-    docs, rows = training(spark)
-    settings = suffix_tree.Settings(symbol_share=2e-4, context_share=1e-3)
-    got = suffix_tree.fit_and_score(docs, settings=settings).collect()
-    assert len(got) == len(rows)
-    out = {i for i, _, _ in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0}
-    train = [t for i, t, _ in rows if i not in out]
-    tree, _ = suffix_tree.fit(spark.createDataFrame([(t or "",) for t in train], "text string"), settings)
-    assert tree.states()[0] > 3 and tree.states()[1] > 0
-    p, p0, one, total = brute_tree(train, tree)
-    texts = {}
-    for i, t, _ in rows:
-        texts.setdefault(i, []).append(t)
-    for r in got:
-        if r.doc_id == 3:
-            continue
-        text = [*words(texts[r.doc_id][0]), "\n"]
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (r.doc_id in out, len(text), total)
-        assert r.n_known == sum(one[w] > 0 for w in text)
-        assert math.isclose(r.base_score, sum(math.log10(p0(w)) for w in text), rel_tol=1e-9, abs_tol=1e-9)
-        history = ["^", *text]
-        want = sum(math.log10(p(history[max(0, k - 1):k + 1], w)) for k, w in enumerate(text))
-        assert math.isclose(r.score, want, rel_tol=1e-9, abs_tol=1e-9)
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_suffix_tree_sums_to_one(spark):
-    docs, _ = training(spark, 200)
-    tree, counts = suffix_tree.fit(docs.selectExpr("coalesce(text, '') AS text"), suffix_tree.Settings(symbol_share=1e-3, context_share=1e-2))
-    vocabulary = [r.word for r in counts.collect() if r.word != "\n"]
-    for context in ("a", "a b", "c d"):
-        _, _, first, _, _, score = suffix_tree.score_batch(tree, pa.array([f"{context} {w}" for w in vocabulary]))
-        distinct, codes, first, ids, root, score = suffix_tree.score_batch(tree, pa.array([f"{context} {w}" for w in vocabulary]))
-        at = first + len(context.split())
-        n = {r.word: r.n for r in counts.collect()}
-        rare = np.array([0.0 if ids[k] >= 0 else math.log10((n[w] + 0.1) / tree.denominator) for k, w in zip(at, vocabulary)])
-        assert 0.9 < (10 ** (score[at] + rare)).sum() <= 1 + 1e-9
-
-
-def test_suffix_tree_empty(spark):
-    docs = odd_docs(spark)
-    assert not suffix_tree.fit_and_score(docs.limit(0)).head(1)
-    one = docs.where("doc_id = 0")
-    r = suffix_tree.fit_and_score(one).head()
-    assert (r.n_tokens, r.held_out) == (1, zlib.crc32(b"0") % 10 == 0)
-
-
 def brute_path(machine, text):
     """The cheapest of all segmentations; of equal ones that with the longest last piece, and so on."""
     pieces = {bytes(o).decode().replace(" ", "▁"): (c, i) for i, (o, c) in enumerate(zip(machine.output, machine.costs)) if not machine.is_byte[i] and o}
@@ -317,3 +204,19 @@ def test_decontamination(spark):
     assert left.columns == docs.columns and left.count() == len(rows) - 5
     assert not decontaminate.matches(docs.limit(0), items).head(1)
     assert not decontaminate.matches(docs, items.limit(0)).head(1)
+
+
+def test_literal_copies_and_short_items(spark):
+    sums, pad = "3 + 4 * 12 = 51 and 7 - 2 = 5", "some clean words stand here in front of it. "
+    texts = [pad + sums, pad + "Who wrote Hamlet ? " + pad, pad + "the. " + pad, "the words of the day", pad + ITEM.upper(), pad + ITEM[:40],
+             "Somebody asked who wrote Hamlet ? once", "line one\nWho wrote Hamlet?\nline three", None, "who wrote Hamlet", pad + "x " * 300_000 + sums]
+    docs = spark.createDataFrame([(f"d{i}", t, "x") for i, t in enumerate(texts)], "doc_id string, text string, kind string")
+    items = spark.createDataFrame([(1, sums), (2, "Who wrote Hamlet ?"), (3, "the"), (4, ITEM), (5, "?"), (6, None)], "item_id long, text string")
+    for settings in (decontaminate.DEFAULT, decontaminate.Settings(broadcast_rows=0)):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items, settings).collect()}
+        assert {k for k, r in got.items() if r.copied} == {
+            ("d0", 1), ("d10", 1), ("d1", 2), ("d7", 2), ("d9", 2), ("d2", 3), ("d4", 4)}
+        assert set(got) == {k for k, r in got.items() if r.copied}
+    words = len([w for w in sums.split() if w.strip(decontaminate.EDGES)])
+    assert (got["d0", 1].matched_tokens, got["d0", 1].item_tokens, got["d0", 1].n_slots) == (words, words, 0)
+    assert not decontaminate.leaks(docs.limit(0), items).head(1) and not decontaminate.leaks(docs, items.limit(0)).head(1)

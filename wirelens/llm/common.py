@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,49 @@ def slices(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = 8 <<
         yield batch.slice(start)
 
 
+def bitmaps(rows: DataFrame, bits: int) -> dict[int, np.ndarray]:
+    """Rows (of, key) -> per value of `of` 2 ** bits packed bits, set at the first bits of the keys. The driver gets pieces
+    of 4 KB, 2 ** bits / 8 bytes a value at most."""
+    slot = F.expr(f"shiftrightunsigned(key, {64 - bits}) + 1")  # numbers from 1 fill the buckets from 1
+    found = rows.select("of", slot.alias("slot")).groupBy("of", F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    out: dict[int, np.ndarray] = {}
+    for r in found:
+        held = out.setdefault(r.of, np.zeros(max(4096, 1 << (bits - 3)), np.uint8))
+        held[4096 * (r.bucket - 1):4096 * r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)
+    return {of: held[:max(1, 1 << bits - 3)] for of, held in out.items()}
+
+
+def bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """Rows (key) -> 2 ** bits packed bits, see `bitmaps`."""
+    return bitmaps(rows.select(F.lit(0).alias("of"), "key"), bits).get(0, np.zeros(1 << (bits - 3), np.uint8))
+
+
+def in_bitmap(packed: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bits of unsigned keys are set."""
+    slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, most: int = 10_000, spread: list[str] | None = None
+           ) -> DataFrame:
+    """Left join with a written table of one row per key: the left columns and `found`, a struct of the right ones.
+
+    `weight` counts, per key, the left rows that hold it (or a share of them alike for all). Keys with more than
+    1 / most of the sum are fewer than `most`, so they are broadcast; the others are joined by key, where rows
+    that need no more lookup get keys of their own, from a hash of `spread` (all left columns if None).
+    """
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0))).head()[0]
+    fields = F.struct(*[c for c in right.columns if c != key])
+    hot = right.where(F.col(weight) * most > total).select(F.col(key), fields.alias("hot_"))
+    cold = right.where(F.col(weight) * most <= total).select(F.col(key).alias("key_"), F.lit(True).alias("cold_key_"), fields.alias("cold_"))
+    kind = left.schema[key].dataType
+    own = F.xxhash64(*(spread or left.columns)).cast(kind)
+    asked = left.join(F.broadcast(hot), key, "left").withColumn("cold_key_", F.col("hot_").isNull() & F.col(key).isNotNull())
+    asked = asked.withColumn("key_", F.when(F.col("cold_key_"), F.col(key)).otherwise(own))
+    return asked.join(cold, ["key_", "cold_key_"], "left").select(*left.columns, F.coalesce("hot_", "cold_").alias("found"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 

@@ -1,73 +1,86 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Contexts are the last one or two words. A context is a candidate if its share of all training tokens reaches
-`context_share`, and is retained if its next-word distribution differs from that of its suffix (divergence test).
-Next words with at least `symbol_share` of all tokens behind a context are held explicitly; absolute discounting
-gives the rest of the mass to the suffix, down to the smoothed word distribution. A word is scored in the
-longest retained suffix of its history.
-
-Word counts are exact and complete: they are grouped by Spark and joined back by word for all words beneath
-`symbol_share`. Only what lies above a share is broadcast: at most 1 / symbol_share words, pairs and triples.
+Contexts are the last one to `depth` words (the start of a text counts as one). Every context with at least
+`least_context` occurrences, a number that does not change with the corpus, is a candidate; it is retained if
+its next-word distribution differs from that of its suffix (divergence test) or a longer retained context ends
+in it. Next words seen twice or more behind a candidate are explicit; absolute discounting gives the rest of
+the mass to the suffix, down to the smoothed word distribution. A word is scored in the longest retained suffix
+of its history.
+
+Words, contexts and next words are Spark tables, keyed by 64-bit hashes of their words (two of them collide
+with a chance of about n * n / 2 ** 65; word counts are kept by the word itself). Tasks hold the most frequent
+states, up to a fixed number, and bitmaps of fixed size that say which others may exist. Tokens that these
+decide are scored in place; the others become lookups that are joined with the tables. A lookup outside the
+shared states asks for a rare key, so no key of that join is hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.workspace import materialize
 
-from .common import slices
+from .common import bitmap, in_bitmap, lookup, slices
 
 END = "\n"  # the token behind a text's last word; no word holds a line end
-BITS = 21
-MASK = (1 << BITS) - 1
-PIECE = 16 << 20
+START = "\r"  # the context in front of a text's first word
+PIECE = 2 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    symbol_share: float = 5e-7  # at most 2 million explicit words, pairs and triples
-    context_share: float = 2e-5  # at most 50,000 contexts of each length
+    depth: int = 3  # words in the longest context
+    least_context: int = 10  # occurrences of a context that may be retained
+    least_next: int = 2  # occurrences of a next word that is held explicitly
     least_divergence: float = 0.02  # nats
     discount: float = 0.5
     added: float = 0.1  # to every word count
+    bits: int = 27  # of a bitmap: 16 MB
+    shared_words: int = 1 << 17
+    shared_contexts: int = 1 << 18
+    shared_next: int = 1 << 20
+    room: int = 400_000  # distinct keys that a task counts before it passes them on
 
 
-@dataclass
-class Tree:
-    """Arrays by word number, by pair number (pairs: sorted keys context << 21 | word) and by triple number."""
+# ---- hashes: the same in tasks and in Spark's xxhash64 -----------------------------------------------
 
-    words: pa.Array
-    total: int
-    distinct: int
-    settings: Settings
-    log_root: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    context: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # candidates; the last is the text's start
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    log_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    log_pair: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pair_context: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    pair_kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    pair_log_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    log_triple: np.ndarray = field(default_factory=lambda: np.zeros(0))
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SEED = 42
 
-    @property
-    def denominator(self) -> float:
-        return self.total + self.settings.added * (self.distinct + 1)
 
-    def states(self) -> tuple[int, int]:
-        """The number of retained contexts of one and of two words."""
-        return int(self.kept.sum()), int(self.pair_kept.sum())
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of one 8-byte number, by its public definition."""
+    h = seed + _P5 + np.uint64(8)
+    h = _turn(h ^ (_turn(x * _P2, 31) * _P1), 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def chained(left: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a word behind a context: xxhash64(context, word)."""
+    return _hash_long(word, _hash_long(left, np.full(1, _SEED, np.uint64)))
+
+
+def word_key(word: bytes | str) -> int:
+    """xxhash64(word), as Spark's signed number."""
+    value = xxhash.xxh64_intdigest(word, seed=_SEED)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -91,246 +104,393 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)]), codes, np.append(0, ends[:-1] + 1)[:n]
 
 
-def _numbers(distinct: pa.Array, codes: np.ndarray, words: pa.Array) -> np.ndarray:
-    """The tree's word numbers of tokens, -1 for words beneath the share."""
-    found = pc.index_in(distinct, value_set=words.cast(distinct.type))
-    return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+@dataclass
+class Block:
+    """Keys of a block of tokens: `word`, and per context length (from 1) `context` and `following` = context + word.
+
+    A context of k words exists from the k-th token of a text on (`place` counts from 0, the start is a word)."""
+
+    distinct: pa.Array
+    codes: np.ndarray
+    first: np.ndarray
+    keys: np.ndarray  # of the distinct words
+    place: np.ndarray
+    word: np.ndarray
+    context: list[np.ndarray]
+    following: list[np.ndarray]
+
+
+def block(texts: pa.Array, depth: int) -> Block:
+    distinct, codes, first = tokens(texts)
+    keys = np.array([xxhash.xxh64_intdigest(w, seed=_SEED) for w in distinct.cast(pa.large_binary()).to_pylist()], np.uint64)
+    word = keys[codes]
+    place = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+    context, following = [], []
+    last = word
+    for k in range(depth):
+        here = np.empty_like(word)
+        here[1:] = last[:-1]
+        if k == 0:
+            here[first] = np.uint64(xxhash.xxh64_intdigest(START, seed=_SEED))
+        context.append(here)
+        last = chained(here, word)
+        following.append(last)
+    return Block(distinct, codes, first, keys, place, word, context, following)
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Positions of wanted keys in sorted keys, -1 where missing."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
+# ---- counts -----------------------------------------------------------------------------------------
 
 
-def _pair_numbers(tree: Tree, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context of every token, number of the pair context + token or -1)."""
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
-    context[first] = len(tree.words)
-    pair = np.full(len(ids), -1, np.int64)
-    usable = np.flatnonzero((ids >= 0) & (context >= 0))
-    usable = usable[tree.context[context[usable]]]
-    pair[usable] = _find(tree.pairs, context[usable] << BITS | ids[usable])
-    return context, pair
+def word_counts(texts: DataFrame) -> DataFrame:
+    """Rows (word, n): every token of every text of the one-column table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0, PIECE):
+            distinct, codes, _ = tokens(batch.column(0))
+            n = np.bincount(codes, minlength=len(distinct))
+            yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(n)], names=["word", "n"])
+
+    return texts.mapInArrow(run, "word string, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class _Sums:
-    """Counts of integer keys, merged as they come."""
+    """Counts of pairs (context, word), merged by their key until `room` is full."""
 
-    def __init__(self, room: int = 4_000_000):
+    def __init__(self, room: int):
         self.room, self.held, self.size = room, [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(keys, return_counts=True)
-        self.held.append((keys, n))
-        self.size += len(keys)
+    def add(self, key: np.ndarray, context: np.ndarray, word: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, at, n = np.unique(key, return_index=True, return_counts=True)
+        self.held.append((key, context[at], word[at], n))
+        self.size += len(key)
         if self.size > self.room:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            keys = np.concatenate([k for k, _ in self.held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], np.concatenate([n for _, n in self.held])[order]
-            new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(np.add.reduceat(n, new))], names=["key", "n"])
+            key, context, word, n = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            _, at, of = np.unique(key, return_index=True, return_inverse=True)
+            sums = np.bincount(of, weights=n).astype(np.int64)
+            context, word = context[at], word[at]
+            order = np.argsort(context)  # equal contexts together compress better in the shuffle
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(context[order].view(np.int64)), pa.array(word[order].view(np.int64)), pa.array(sums[order])],
+                names=["ctx", "word", "n"])
         self.held, self.size = [], 0
 
 
-def _counted(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """Rows (key, n) over all texts; keys are combined in a task before they are shuffled."""
+def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: np.ndarray, s: Settings) -> DataFrame:
+    """Rows (ctx, word, n >= least_next) behind contexts of this length; the bitmaps hold the candidate contexts
+    and what is explicit one word shorter (nothing else can be explicit here)."""
+    known = texts.sparkSession.sparkContext.broadcast((contexts, explicit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums()
+        contexts, explicit = known.value
+        sums = _Sums(s.room)
         for batch in slices(batches, 0, PIECE):
-            yield from sums.add(keys_of(batch.column(0)))
+            b = block(batch.column(0), length)
+            shorter = b.following[length - 2] if length > 1 else b.word
+            at = np.flatnonzero(b.place >= length - 1)
+            at = at[in_bitmap(contexts, b.context[length - 1][at], s.bits)]
+            at = at[in_bitmap(explicit, shorter[at], s.bits)]
+            yield from sums.add(b.following[length - 1][at], b.context[length - 1][at], b.word[at])
         yield from sums.flush()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(run, "ctx long, word long, n long")
+    return counted.groupBy("ctx", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least_next)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """Rows (word, n): every token of every text of the one-column table."""
+# ---- the tree ---------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, PIECE):
-            distinct, codes, _ = tokens(batch.column(0))
-            n = np.bincount(codes, minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(n)], names=["word", "n"])
-
-    return texts.mapInArrow(run, "word string, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
+@dataclass
+class Tree:
+    """Tables words (word, key, n), contexts (key, n, suffix, length, log_rest) and following (key, n, ctx, word, log_p)."""
 
-def _above(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, counts) of the keys with at least `least`: as many as the share allows."""
-    rows = counted.where(F.col("n") >= F.lit(max(2.0, least))).toArrow()
-    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    settings: Settings
+    total: int
+    distinct: int
+    words: DataFrame
+    contexts: DataFrame
+    following: DataFrame
 
+    @property
+    def denominator(self) -> float:
+        return self.total + self.settings.added * (self.distinct + 1)
 
-def _sum_by(groups: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(groups, weights=values, minlength=size) if len(groups) else np.zeros(size)
+    @property
+    def unseen(self) -> float:
+        return float(np.log10(self.settings.added / self.denominator))
+
+
+def _diverging(rows: DataFrame, s: Settings) -> DataFrame:
+    """Of fitted rows (ctx, n, n_ctx, parent): the contexts whose next words differ from those of their suffix."""
+    share = F.col("n") / F.col("n_ctx")
+    sums = rows.groupBy("ctx", "n_ctx").agg(
+        F.count("*").alias("entries"), F.sum(share).alias("mass"), F.sum("parent").alias("parents"),
+        F.sum(share * F.ln(share / F.col("parent"))).alias("gain"))
+    rest = F.greatest(1 - F.col("mass"), F.lit(1e-12))
+    gain = F.col("gain") + rest * F.ln(rest / F.greatest(1 - F.col("parents"), F.lit(1e-12)))
+    # likelihood ratio beyond its mean plus three deviations under "no difference"
+    return sums.withColumn("gain", gain).where(
+        (F.col("gain") >= s.least_divergence)
+        & (2 * F.col("n_ctx") * F.col("gain") >= F.col("entries") + 3 * F.sqrt(2 * F.col("entries")))).select("ctx")
+
+
+def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
+    """The tree of a table with one text column. One pass counts words, one more each length of contexts."""
+    s = settings
+    counts = word_counts(texts)
+    words = materialize(counts.select("word", F.xxhash64("word").alias("key"), "n"), "words")
+    whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct"),
+                      F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("texts")).head()
+    tree = Tree(s, whole.total, whole.distinct, words, words, words)
+    # probabilities one word shorter, by key; first those of words alone
+    shorter = words.select("key", "n", ((F.col("n") + s.added) / tree.denominator).alias("p"))
+    candidates = words.where((F.col("n") >= s.least_context) & (F.col("word") != END)).select(
+        F.col("key").alias("ctx"), F.lit(0).cast("long").alias("suffix"), F.col("n").alias("n_ctx"))
+    if whole.texts >= s.least_context:
+        start = texts.sparkSession.createDataFrame([(word_key(START), 0, whole.texts)], "ctx long, suffix long, n_ctx long")
+        candidates = candidates.unionByName(start)
+    contexts, fitted, diverging = [], [], []
+    for length in range(1, s.depth + 1):
+        seen = bitmap(candidates.select(F.col("ctx").alias("key")), s.bits)
+        explicit = bitmap(shorter.where(F.col("n") >= s.least_next).select("key"), s.bits)
+        raw = materialize(next_counts(texts, length, seen, explicit, s), f"next-{length}")
+        sums = raw.groupBy("ctx").agg(F.count("*").alias("entries"), F.sum("n").alias("explicit"))
+        left = 1 - (F.col("explicit") - s.discount * F.col("entries")) / F.col("n_ctx")
+        info = materialize(candidates.join(sums, "ctx").withColumn("rest", F.greatest(left, F.lit(1e-12))), f"contexts-{length}")
+        rows = lookup(raw, info, "ctx", "entries").select("ctx", "word", "n", "found.*").where("n_ctx IS NOT NULL")
+        below = F.col("word") if length == 1 else F.xxhash64("suffix", "word")
+        rows = rows.withColumn("below", below).join(
+            shorter.select(F.col("key").alias("below"), F.col("p").alias("parent")), "below")
+        p = (F.col("n") - s.discount) / F.col("n_ctx") + F.col("rest") * F.col("parent")
+        rows = materialize(rows.select(
+            F.xxhash64("ctx", "word").alias("key"), "ctx", "word", "n", "n_ctx", "below", "parent", p.alias("p")), f"fitted-{length}")
+        contexts.append(info)
+        fitted.append(rows)
+        diverging.append(materialize(_diverging(rows, s), f"diverging-{length}"))
+        shorter = rows.select("key", "n", "p")
+        # the context that ends in this word; its suffix is the same without the first word
+        candidates = rows.where((F.col("n") >= s.least_context) & (F.col("word") != word_key(END))).select(
+            F.col("key").alias("ctx"), F.col("below").alias("suffix"), F.col("n").alias("n_ctx"))
+    kept: list[DataFrame] = []
+    for length in range(s.depth, 0, -1):
+        wanted = diverging[length - 1]
+        if kept:  # every suffix of a retained context is retained
+            wanted = wanted.unionByName(kept[-1].select(F.col("suffix").alias("ctx"))).distinct()
+        kept.append(materialize(contexts[length - 1].join(wanted, "ctx", "left_semi"), f"kept-{length}"))
+    tree.contexts = reduce(DataFrame.unionByName, [
+        k.select(F.col("ctx").alias("key"), F.col("n_ctx").alias("n"), "suffix", F.lit(s.depth - i).alias("length"),
+                 F.log10("rest").alias("log_rest")) for i, k in enumerate(kept)])
+    tree.following = reduce(DataFrame.unionByName, [r.select("key", "n", "ctx", "word", F.log10("p").alias("log_p")) for r in fitted])
+    return tree
+
+
+# ---- scores -----------------------------------------------------------------------------------------
+
+
+class Shared:
+    """The most frequent rows of a table (key, n, value): sorted keys, found through their first bits."""
+
+    def __init__(self, rows: DataFrame, value: str, room: int):
+        bucket = F.floor(F.log2("n") * 8).cast("int")
+        sizes = sorted(((r.bucket, r["count"]) for r in rows.groupBy(bucket.alias("bucket")).count().collect()), reverse=True)
+        least, held = None, 0
+        for b, size in sizes:  # whole steps of frequency, as many as the room takes
+            held += size
+            if held > room:
+                break
+            least = b
+        chosen = rows.where(bucket >= least) if least is not None else rows.limit(0)
+        found = chosen.select("key", F.col(value).alias("value")).toArrow()
+        keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], found.column("value").to_numpy().astype(np.float64)[order]
+        self.bits = max(1, int(np.ceil(np.log2(len(keys) + 1))))
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.first = np.append(np.searchsorted(self.keys, edges), len(keys)).astype(np.int32)
+        self.longest = int(np.diff(self.first).max(initial=0))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The values of keys, nan where a key is not shared."""
+        out = np.full(len(wanted), np.nan)
+        part = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, stop = self.first[part], self.first[part + 1]
+        todo = np.flatnonzero(at < stop)
+        for step in range(self.longest):
+            place = at[todo] + step
+            hit = self.keys[place] == wanted[todo]
+            out[todo[hit]] = self.values[place[hit]]
+            todo = todo[~hit & (place + 1 < stop[todo])]
+        return out
 
 
-def _retained(group: np.ndarray, n: np.ndarray, parent: np.ndarray, count: np.ndarray, s: Settings
-              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For entries (group, n, probability in the suffix) of contexts with counts: (kept, rest mass, probability)."""
-    size, share = len(count), n / count[group]
-    mass, parents = _sum_by(group, share, size), _sum_by(group, parent, size)
-    rest = np.clip(1 - mass, 1e-12, 1)
-    gain = _sum_by(group, share * np.log(share / parent), size) + rest * np.log(rest / np.clip(1 - parents, 1e-12, 1))
-    entries = _sum_by(group, np.ones(len(group)), size)
-    # likelihood ratio beyond its mean plus three deviations under "no difference"
-    kept = (gain >= s.least_divergence) & (2 * count * gain >= entries + 3 * np.sqrt(2 * entries)) & (entries > 0)
-    left = 1 - _sum_by(group, (n - s.discount) / count[group], size)
-    return kept, left, (n - s.discount) / count[group] + left[group] * parent
-
-
-def fit(texts: DataFrame, settings: Settings = Settings()) -> tuple[Tree, DataFrame]:
-    """(tree, word counts) of a table with one text column. Three passes: words, pairs, triples."""
-    counts = materialize(word_counts(texts), "words")
-    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).head()
-    tree = Tree(pa.array([], pa.string()), whole.total, whole.distinct, settings)
-    least = settings.symbol_share * tree.total
-    rows = counts.where(F.col("n") >= F.lit(max(1.0, least))).select("word", "n").toArrow().combine_chunks()
-    rows = rows.sort_by([("n", "descending"), ("word", "ascending")])
-    n = rows.column("n").to_numpy()
-    tree.words = rows.column("word").combine_chunks() if len(rows) else pa.array([], pa.string())
-    root = (n + settings.added) / tree.denominator
-    tree.log_root = np.log10(root)
-    end = pc.index(tree.words, END).as_py()
-    texts_n = counts.where(F.col("word") == END).head()
-    count = np.append(n, texts_n.n if texts_n else 0).astype(float)
-    tree.context = count >= max(2.0, settings.context_share * tree.total)
-    if end >= 0:
-        tree.context[end] = False
-    size = len(count)
-    tree.kept, tree.log_rest = np.zeros(size, bool), np.zeros(size)
-    if not tree.total:
-        return tree, counts
-
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(tree)
-
-    def pair_keys(batch: pa.Array) -> np.ndarray:
-        tree = held.value
-        distinct, codes, first = tokens(batch)
-        ids = _numbers(distinct, codes, tree.words)
-        context = np.empty_like(ids)
-        context[1:] = ids[:-1]
-        context[first] = len(tree.words)
-        use = np.flatnonzero((ids >= 0) & (context >= 0))
-        use = use[tree.context[context[use]]]
-        return context[use] << BITS | ids[use]
-
-    tree.pairs, n_pair = _above(_counted(texts, pair_keys), least)
-    left, word = tree.pairs >> BITS, tree.pairs & MASK
-    kept, rest, p = _retained(left, n_pair, root[word], np.maximum(count, 1), settings)
-    tree.pair_context = (n_pair >= settings.context_share * tree.total) & (word != end)
-    pairs_held = spark.sparkContext.broadcast(tree)
-
-    def triple_keys(batch: pa.Array) -> np.ndarray:
-        tree = pairs_held.value
-        distinct, codes, first = tokens(batch)
-        ids = _numbers(distinct, codes, tree.words)
-        _, pair = _pair_numbers(tree, ids, first)
-        before = np.append(-1, pair[:-1])
-        before[first] = -1
-        use = np.flatnonzero((ids >= 0) & (before >= 0))
-        use = use[tree.pair_context[before[use]]]
-        return before[use] << BITS | ids[use]
-
-    tree.triples, n_triple = _above(_counted(texts, triple_keys), least)
-    pair, word2 = tree.triples >> BITS, tree.triples & MASK
-    middle = word[pair] if len(pair) else pair
-    known = _find(tree.pairs, middle << BITS | word2)
-    parent = np.where(known >= 0, p[known] if len(p) else 0.0, np.where(tree.context[middle], rest[middle], 1.0) * root[word2])
-    pair_kept, pair_rest, p2 = _retained(pair, n_triple, parent, n_pair.astype(float), settings)
-    tree.pair_kept = pair_kept & tree.pair_context
-    kept[word[tree.pair_kept]] = True  # every suffix of a retained context is retained
-    tree.kept = kept & tree.context
-    tree.log_rest = np.log10(np.maximum(rest, 1e-12))
-    tree.log_pair, tree.log_triple = np.log10(p), np.log10(p2)
-    tree.pair_log_rest = np.log10(np.maximum(pair_rest, 1e-12))
-    return tree, counts
-
-
-def score_batch(tree: Tree, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, codes, first tokens, word numbers, log10 by words alone, log10 in the tree); words beneath
-    the share count 0 in the last but one, and what their contexts leave over in the last."""
-    distinct, codes, first = tokens(texts)
-    ids = _numbers(distinct, codes, tree.words)
-    root = np.where(ids >= 0, tree.log_root[ids] if len(tree.log_root) else 0.0, 0.0)
-    context, pair = _pair_numbers(tree, ids, first)
-    in_one = (context >= 0) & tree.kept[context]
-    score = root.copy()
-    at = np.flatnonzero(in_one)
-    score[at] += tree.log_rest[context[at]]
-    at = at[pair[at] >= 0]
-    score[at] = tree.log_pair[pair[at]]
-    before = np.append(-1, pair[:-1])
-    before[first] = -1
-    if len(tree.pairs):
-        at = np.flatnonzero(before >= 0)
-        at = at[tree.pair_kept[before[at]]]
-        triple = np.where(ids[at] >= 0, _find(tree.triples, before[at] << BITS | np.maximum(ids[at], 0)), -1)
-        score[at] += tree.pair_log_rest[before[at]]
-        score[at[triple >= 0]] = tree.log_triple[triple[triple >= 0]]
-    return distinct, codes, first, ids, root, score
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass
+class Shortcut:
+    """What every task holds; all of it of bounded size."""
+
+    words: Shared
+    contexts: Shared
+    following: Shared
+    some_contexts: np.ndarray
+    some_following: np.ndarray
+
+
+def shortcut(tree: Tree) -> Shortcut:
+    s = tree.settings
+    root = tree.words.select("key", "n", F.log10((F.col("n") + s.added) / tree.denominator).alias("log_root"))
+    return Shortcut(
+        Shared(root, "log_root", s.shared_words), Shared(tree.contexts, "log_rest", s.shared_contexts),
+        Shared(tree.following, "log_p", s.shared_next), bitmap(tree.contexts, s.bits), bitmap(tree.following, s.bits))
+
+
+def walk(b: Block, known: Shortcut, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token: log10 found so far, the context length at which a lookup is needed (0: none; -1: the word alone is
+    still to be added), and log10 of the word alone (nan: not shared)."""
+    root = known.words.find(b.keys)[b.codes]
+    score, ask = np.zeros(len(b.codes)), np.full(len(b.codes), -1, np.int8)
+    open_ = np.arange(len(b.codes))
+    for length in range(s.depth, 0, -1):
+        at = open_[b.place[open_] >= length - 1]
+        at = at[in_bitmap(known.some_contexts, b.context[length - 1][at], s.bits)]
+        rest = known.contexts.find(b.context[length - 1][at])
+        ask[at[np.isnan(rest)]] = length
+        at, rest = at[~np.isnan(rest)], rest[~np.isnan(rest)]
+        maybe = in_bitmap(known.some_following, b.following[length - 1][at], s.bits)
+        score[at[~maybe]] += rest[~maybe]
+        at = at[maybe]
+        p = known.following.find(b.following[length - 1][at])
+        ask[at[np.isnan(p)]] = length
+        at, p = at[~np.isnan(p)], p[~np.isnan(p)]
+        score[at] += p
+        ask[at] = 0
+        open_ = open_[ask[open_] == -1]
+    return score, ask, root
+
+
+_REQUEST = pa.struct([("times", pa.int64()), ("score", pa.float64()), ("word", pa.int64()), ("root", pa.float64()),
+                      ("contexts", pa.list_(pa.int64())), ("following", pa.list_(pa.int64()))])
+_RARE = pa.struct([("word", pa.int64()), ("base", pa.int64()), ("score", pa.int64())])
+
+
+def _requests(b: Block, of: np.ndarray, n: int, score: np.ndarray, ask: np.ndarray, root: np.ndarray, depth: int) -> pa.Array:
+    """Per text, its distinct undecided tokens with the keys to look up, shortest context first."""
+    at = np.flatnonzero(ask > 0)
+    # tokens of a text that ask for the same keys behind the same score: the longest key and the length say it all
+    longest = np.choose(ask[at] - 1, [f[at] for f in b.following])
+    order = np.lexsort((score[at], ask[at], longest, of[at]))
+    at, longest = at[order], longest[order]
+    new = np.ones(len(at), bool)
+    new[1:] = ((of[at[1:]] != of[at[:-1]]) | (longest[1:] != longest[:-1]) | (ask[at[1:]] != ask[at[:-1]])
+               | (score[at[1:]] != score[at[:-1]]))
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(at)))
+    at = at[first]
+    lengths = ask[at].astype(np.int64)
+    inner = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    step = np.arange(inner[-1]) - np.repeat(inner[:-1], lengths)
+    owner = np.repeat(at, lengths)
+    lists = []
+    for keys in (b.context, b.following):
+        flat = np.choose(step, [k[owner] for k in keys]) if len(owner) else np.zeros(0, np.uint64)
+        lists.append(pa.ListArray.from_arrays(pa.array(inner), pa.array(flat.view(np.int64))))
+    rows = pa.StructArray.from_arrays([
+        pa.array(times.astype(np.int64)), pa.array(score[at]), pa.array(b.word[at].view(np.int64)),
+        pa.array(root[at], mask=np.isnan(root[at])), *lists], names=[f.name for f in _REQUEST])
+    offsets = np.searchsorted(of[at], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), rows).cast(pa.list_(_REQUEST))
+
+
+def _rare(b: Block, of: np.ndarray, n: int, ask: np.ndarray, root: np.ndarray) -> pa.Array:
+    """Per text, its distinct words that are not shared: occurrences, and those whose score ends in the word alone."""
+    at = np.flatnonzero(np.isnan(root))
+    key, inverse = np.unique(of[at] * len(b.distinct) + b.codes[at], return_inverse=True)
+    base = np.bincount(inverse, minlength=len(key)).astype(np.int64)
+    alone = np.bincount(inverse, weights=ask[at] == -1, minlength=len(key)).astype(np.int64)
+    rows = pa.StructArray.from_arrays(
+        [pa.array(b.keys[key % len(b.distinct)].view(np.int64)), pa.array(base), pa.array(alone)], names=[f.name for f in _RARE])
+    offsets = np.searchsorted(key, np.arange(n + 1) * len(b.distinct)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), rows).cast(pa.list_(_RARE))
+
+
+def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens, n_known, base_score, score (log10).
 
-    Null and empty texts are scored as the end token alone; repeated rows are scored each; an empty
-    table gives no rows, an empty training table makes every token unseen; other columns are ignored.
-    One pass scores what is broadcast and lists the remaining words per text; these are joined with the
-    complete word counts by word (a hot word may be split by adaptive execution) and summed per text.
+    Null and empty texts are scored as the end token alone; repeated rows are scored each; words of equal counts
+    are treated alike; an empty table gives no rows, an empty training table makes every token unseen; other
+    columns are ignored. Texts of any length are scored whole: a task works on 2 MB of texts, or one text, at a time.
     """
-    held = docs.sparkSession.sparkContext.broadcast(tree)
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+    s, spark = tree.settings, docs.sparkSession
+    held = spark.sparkContext.broadcast(shortcut(tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = held.value
+        known = held.value
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 1, PIECE):
-            distinct, codes, first, ids, root, total = score_batch(tree, batch.column(1))
-            n = batch.num_rows
-            length = np.diff(np.append(first, len(codes)))
-            rare = np.flatnonzero(ids < 0)
-            of = np.repeat(np.arange(n), length)[rare]
-            keys, times = np.unique(of * len(distinct) + codes[rare], return_counts=True)
-            offsets = np.searchsorted(keys, np.arange(n + 1) * len(distinct)).astype(np.int32)
-            words = distinct.take(pa.array(keys % len(distinct))).cast(pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
-                [words, pa.array(times.astype(np.int64))], names=["word", "n"])).cast(rare_type)
+            b, n = block(batch.column(1), s.depth), batch.num_rows
+            found, ask, root = walk(b, known, s)
+            length = np.diff(np.append(b.first, len(b.codes)))
+            of = np.repeat(np.arange(n), length)
+            own = np.nan_to_num(root)
+            here = np.where(ask <= 0, found, 0.0) + np.where(ask == -1, own, 0.0)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + n)), batch.column(0), pa.array(length),
-                pa.array(np.add.reduceat((ids >= 0).astype(np.int64), first)), pa.array(np.add.reduceat(root, first)),
-                pa.array(np.add.reduceat(total, first)), lists,
-            ], names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare"])
+                pa.array(np.add.reduceat((~np.isnan(root)).astype(np.int64), b.first)),
+                pa.array(np.add.reduceat(own, b.first)), pa.array(np.add.reduceat(here, b.first)),
+                _rare(b, of, n, ask, root), _requests(b, of, n, found, ask, root, s.depth),
+            ], names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare", "requests"])
             row += n
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     scored = materialize(docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(run, (
         f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<struct<word: string, n: long>>")), "scored")
-    least = max(1.0, tree.settings.symbol_share * tree.total)
-    rare = scored.select("row", F.inline("rare").alias("word", "times")).join(
-        counts.where(F.col("n") < F.lit(least)), "word", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + F.lit(tree.settings.added)) / F.lit(tree.denominator))
-    rest = rare.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"),
-                                   F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare").join(rest, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        "rare array<struct<word: long, base: long, score: long>>, requests array<struct<times: long, score: double, word: long, "
+        "root: double, contexts: array<long>, following: array<long>>>")), "scored")
+    root = tree.words.select("key", F.log10((F.col("n") + s.added) / F.lit(tree.denominator)).alias("value"))
+    # words that are not shared
+    rare = scored.select("row", F.inline("rare").alias("key", "base", "times")).join(root, "key", "left").select(
+        "row", (F.col("base") * F.coalesce("value", F.lit(tree.unseen))).alias("base"),
+        (F.col("times") * F.coalesce("value", F.lit(tree.unseen))).alias("score"),
+        F.when(F.col("value").isNotNull(), F.col("base")).otherwise(0).alias("known"))
+    more = rare.unionByName(_looked_up(scored, tree, root)).groupBy("row").agg(
+        F.sum("base").alias("more_base"), F.sum("score").alias("more_score"), F.sum("known").alias("more_known"))
+    zero = F.lit(0.0)
+    return scored.drop("rare", "requests").join(more, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("base_score") + F.coalesce("more_base", zero)).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
+
+
+def _looked_up(scored: DataFrame, tree: Tree, root: DataFrame) -> DataFrame:
+    """Rows (row, base, score, known) of the tokens that tasks could not decide: their keys joined with the tables."""
+    asked = scored.select("row", F.posexplode("requests").alias("pos", "r"))
+    wanted = F.concat(
+        F.expr("transform(r.contexts, (x, i) -> struct('c' AS kind, cast(i AS int) AS length, x AS key))"),
+        F.expr("transform(r.following, (x, i) -> struct('f' AS kind, cast(i AS int) AS length, x AS key))"),
+        F.expr("if(r.root IS NULL, array(struct('w' AS kind, 0 AS length, r.word AS key)), array())"))
+    keys = asked.select("row", "pos", F.col("r.times").alias("times"), F.col("r.score").alias("score"), F.col("r.root").alias("root"),
+                        F.inline(wanted))
+    values = reduce(DataFrame.unionByName, [
+        tree.contexts.select(F.lit("c").alias("kind"), "key", F.col("log_rest").alias("value")),
+        tree.following.select(F.lit("f").alias("kind"), "key", F.col("log_p").alias("value")),
+        root.select(F.lit("w").alias("kind"), "key", "value")])
+    met = keys.join(values, ["kind", "key"], "left")
+
+    def value(kind: str, length: int) -> Column:
+        return F.max(F.when((F.col("kind") == kind) & (F.col("length") == length), F.col("value")))
+
+    depth = tree.settings.depth
+    whole = met.groupBy("row", "pos").agg(
+        F.first("times").alias("times"), F.first("score").alias("score"), F.first("root").alias("root"), value("w", 0).alias("w0"),
+        *[value(kind, i).alias(f"{kind}{i}") for kind in "cf" for i in range(depth)])
+    best = F.coalesce("root", "w0", F.lit(tree.unseen))
+    for i in range(depth):  # an unretained context has no value and leaves the score to its suffix
+        rest = F.col(f"c{i}")
+        best = F.when(rest.isNull(), best).otherwise(F.coalesce(F.col(f"f{i}"), rest + best))
+    return whole.select("row", F.lit(0.0).alias("base"), (F.col("times") * (F.col("score") + best)).alias("score"),
+                        F.lit(0).cast("long").alias("known"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -341,6 +501,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Train on the rows that are not held out and score all rows; see `score`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tree, counts = fit(docs.where(~held_out(id_col)).select(text.alias("text")), settings)
-    return score(docs, tree, counts, id_col, text_col).withColumns(
+    tree = fit(docs.where(~held_out(id_col)).select(text.alias("text")), settings)
+    return score(docs, tree, id_col, text_col).withColumns(
         {"held_out": held_out(id_col), "train_tokens": F.lit(tree.total).cast("long")})
