@@ -56,8 +56,8 @@ def batch_summary(alerts: DataFrame) -> DataFrame:
     )
 
 
-def monitor_aggregates() -> list[Column]:
-    """Running counters of tiered scoring; mergeable, so they serve batch and stream alike."""
+def monitor_counts() -> list[Column]:
+    """Counters of tiered scoring; they add up over parts of the rows."""
     cleared = F.count_if(F.col("tier_used") == "TIER_1_FAST_SCREENING")
     total = F.count(F.lit(1))
     return [
@@ -66,14 +66,23 @@ def monitor_aggregates() -> list[Column]:
         (total - cleared).alias("tier2_deep_evaluated"),
         F.count_if(F.col("status") != K.STATUS_NORMAL).alias("threats_detected"),
         F.count_if("is_novel_anomaly").alias("novel_anomalies"),
-        F.round(F.coalesce(F.try_divide(cleared, total), F.lit(0.0)) * 100.0, 1).alias(
-            "cleared_percent"
-        ),
     ]
 
 
+COUNTERS = ["flows_analyzed", "tier1_fast_cleared", "tier2_deep_evaluated", "threats_detected", "novel_anomalies"]
+
+
+def merged_counters(parts: DataFrame) -> DataFrame:
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
+
+
+def with_cleared_percent(counters: DataFrame) -> DataFrame:
+    share = F.coalesce(F.try_divide("tier1_fast_cleared", "flows_analyzed"), F.lit(0.0))
+    return counters.withColumn("cleared_percent", F.round(share * 100.0, 1))
+
+
 def monitor_statistics(tiered: DataFrame) -> DataFrame:
-    return tiered.agg(*monitor_aggregates())
+    return with_cleared_percent(tiered.agg(*monitor_counts()))
 
 
 def top_alert(alerts: DataFrame, key: list[str], keep: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wirelens import constants as K
 from wirelens.functions import scores as S
+from wirelens.operators import alerts as A
 from wirelens.operators import fusion, schema
 from wirelens.operators.autoencoder import fit_autoencoder
 from wirelens.operators.classify import fit_classifier
@@ -22,6 +23,7 @@ from wirelens.sources import views as V
 from wirelens.streaming import alerts as SA
 from wirelens.streaming import flows as SF
 from wirelens.streaming import runs
+from wirelens.streaming.snapshots import Snapshots
 from wirelens.workspace import materialize, scratch_path
 
 _KEY = ["event_id"]
@@ -119,23 +121,36 @@ def train_all(spark, d):
 
 @query(CF.FLOW_FEATURES_SQL)
 def stream_sessions(spark, d):
-    """Flows of a packet stream, completed by the flush of flows still open at its end."""
+    """Flows of a packet stream: those it emitted and, from its state, those still open at its end."""
     packets = V.packets_from(V.stream(spark, d, "events"))
-    emitted = runs.drain(SF.stream_flows(packets, V.SESSION_GAP_US), "sessions")
-    everything = SF.flush_open_flows(
-        emitted, V.packets(spark, d), V.SESSION_GAP_US, V.SESSION_SLICE_US
+    emitted, state = runs.drain_with_state(
+        SF.stream_flows(packets, V.SESSION_GAP_US, bucket_us=V.SESSION_BUCKET_US), "sessions", conf=SF.STATE_STORE
     )
-    return CF.rounded_flows(everything)
+    rest = SF.open_flows(spark, state, V.SESSION_GAP_US, V.SESSION_BUCKET_US)
+    return CF.rounded_flows(emitted.unionByName(rest))
+
+
+def _kept_of_stream(spark, alerts, name, key, gap_us, order):
+    """All rows that a stream of alerts keeps: those it emitted and those that were pending at its end."""
+    kept, state = runs.drain_with_state(SA.stream_kept(alerts, key, "ts", gap_us, order), name, conf=SF.STATE_STORE)
+    return kept.unionByName(SA.pending_kept(spark, state, alerts.schema, gap_us))
 
 
 @query(CS.COOLDOWN_SQL)
 def stream_cooldown(spark, d):
-    alerts = V.stream(spark, d, "events").select(
-        "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")
-    )
-    return runs.drain(
-        SA.stream_cooldown(alerts, "event_type", "at_us", CS.COOLDOWN_US), "cooldown"
-    )
+    ts = F.col("ts").cast("timestamp")
+    alerts = V.stream(spark, d, "events").select("event_type", ts.alias("ts"), F.unix_micros(ts).alias("at_us"))
+    kept = _kept_of_stream(spark, alerts, "cooldown", "event_type", CS.COOLDOWN_US, "at_us")
+    return kept.select("event_type", "at_us")
+
+
+@query(CS.NOTIFY_SQL)
+def stream_notify(spark, d):
+    """Whole alerts that pass the cooldown of a stream, with title and message."""
+    rows = _tiered_stream(spark, d).withColumn("ts", CS.flow_day().cast("timestamp"))
+    alerts = SA.cooldown_keyed(rows)
+    kept = _kept_of_stream(spark, alerts, "notify", "cooldown_key", CS.NOTIFY_GAP_US, "flow_key")
+    return A.notifications(kept, ["cooldown_key", "flow_key"])
 
 
 def _tiered_stream(spark, d):
@@ -151,21 +166,17 @@ def stream_tiered(spark, d):
 @query(CS.STATISTICS_SQL)
 def stream_stats(spark, d):
     path = scratch_path(spark, "statistics")
-    stream = SA.stream_statistics(_tiered_stream(spark, d))
-    runs.drain_each(stream, "statistics", SA.snapshot_writer(path), "complete")
-    return spark.read.schema(stream.schema).parquet(path)
+    runs.drain_each(_tiered_stream(spark, d), "statistics", SA.counters_writer(spark, path))
+    return A.with_cleared_percent(Snapshots(spark, path, SA.COUNTERS).read())
 
 
 @query(CS.HISTORY_SQL)
 def stream_history(spark, d):
-    path = scratch_path(spark, "history")
-    stream = _tiered_stream(spark, d).select("flow_key", "risk_score", "status")
-    runs.drain_each(
-        stream, "history", SA.history_writer(path, [F.col("flow_key").desc()], 20)
-    )
-    everything = spark.read.parquet(path)
-    newest = everything.agg(F.max("batch").alias("b")).scalar()
-    return everything.where(F.col("batch") == newest).drop("batch")
+    path, schema = scratch_path(spark, "history"), "flow_key string, risk_score double, status string, day date"
+    rows = _tiered_stream(spark, d).select("flow_key", F.col("risk_score").cast("double").alias("risk_score"), "status",
+                                           CS.flow_day().alias("day"))
+    runs.drain_each(rows, "history", SA.history_writer(spark, path, schema, CS.newest()))
+    return Snapshots(spark, path, schema).read().drop("day")
 
 
 @query(CF.REPLAY_SQL)

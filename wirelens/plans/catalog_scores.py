@@ -990,26 +990,41 @@ def notify_text(spark, d):
     return A.notifications(_tiered(spark, d), ["flow_key"])
 
 
+_DAY_SQL = "strptime(split_part(flow_key, '|', 9), '%Y%m%d')"
+
+
+def flow_day():
+    """The day of a flow, the time by which histories and queues are ordered; ties go by key."""
+    return F.to_date(F.get(F.split("flow_key", r"\|"), F.lit(8)), "yyyyMMdd")
+
+
+def newest():
+    return [F.col("day").desc(), F.col("flow_key").desc()]
+
+
 HISTORY_SQL = f"""{Q.ALL_TIERED} SELECT flow_key, risk_score, status FROM tiered
-WHERE risk_score >= 60 ORDER BY flow_key DESC LIMIT 20"""
+WHERE risk_score >= 60 ORDER BY {_DAY_SQL} DESC, flow_key DESC LIMIT 20"""
 
 
 @query(HISTORY_SQL)
 def alert_history(spark, d):
-    rows = _tiered(spark, d).select("flow_key", "risk_score", "status")
-    return A.alert_history(rows, [F.col("flow_key").desc()], 20)
+    """The last 20 alerts of high risk, in the order of time."""
+    rows = _tiered(spark, d).select("flow_key", "risk_score", "status", flow_day().alias("day"))
+    return A.alert_history(rows, newest(), 20).drop("day")
 
 
-@query(f"""{Q.ALL_TIERED} SELECT flow_key, status FROM tiered ORDER BY flow_key DESC LIMIT 500""")
+@query(f"""{Q.ALL_TIERED} SELECT flow_key, status FROM tiered ORDER BY {_DAY_SQL} DESC, flow_key DESC LIMIT 500""")
 def completed_buffer(spark, d):
-    """The last 500 completed flows."""
-    return A.latest(_tiered(spark, d).select("flow_key", "status"), [F.col("flow_key").desc()], 500)
+    """The last 500 completed flows, in the order of time."""
+    rows = _tiered(spark, d).select("flow_key", "status", flow_day().alias("day"))
+    return A.latest(rows, newest(), 500).drop("day")
 
 
-@query(f"""{Q.ALL_TIERED} SELECT flow_key, status FROM tiered ORDER BY flow_key LIMIT 50""")
+@query(f"""{Q.ALL_TIERED} SELECT flow_key, status FROM tiered ORDER BY {_DAY_SQL}, flow_key LIMIT 50""")
 def oldest_flows(spark, d):
     """First in, first out: the next 50 flows to process."""
-    return A.oldest(_tiered(spark, d).select("flow_key", "status"), [F.col("flow_key")], 50)
+    rows = _tiered(spark, d).select("flow_key", "status", flow_day().alias("day"))
+    return A.oldest(rows, [F.col("day"), F.col("flow_key")], 50).drop("day")
 
 
 _ATTACK_SQL = "CASE upper(rf_class) " + " ".join(
@@ -1073,9 +1088,8 @@ def alert_cooldown(spark, d):
 
 
 _GAP_DAYS = 30
-
-
-@query(f"""{Q.ALL_TIERED.replace('WITH ', 'WITH RECURSIVE ', 1)},
+NOTIFY_GAP_US = _GAP_DAYS * 86_400_000_000
+NOTIFY_SQL = (f"""{Q.ALL_TIERED.replace('WITH ', 'WITH RECURSIVE ', 1)},
 keyed AS (
   SELECT severity || '_' || attack_category AS cooldown_key,
     epoch_us(strptime(split_part(flow_key, '|', 9), '%Y%m%d')) AS at_us, * FROM tiered
@@ -1094,11 +1108,13 @@ SELECT cooldown_key, f.flow_key, {_ICON_SQL} || ' Flow monitor: ' || CASE WHEN i
   ELSE 'Suspicious activity targeted at port ' || destination_port || ' from ' || source_ip
     || ' (Risk: ' || {Q.fixed('risk_score', 0)} || '/100).' END AS message
 FROM kept JOIN firsts f USING (cooldown_key, at_us) JOIN keyed t USING (cooldown_key, at_us, flow_key)""")
+
+
+@query(NOTIFY_SQL)
 def notify_cooldown(spark, d):
     """Eligible alerts, one per severity and category within 30 days of flow dates, with title and message."""
-    day = F.to_date(F.get(F.split("flow_key", r"\|"), F.lit(8)), "yyyyMMdd")
-    rows = _tiered(spark, d).withColumn("at", F.unix_micros(day.cast("timestamp")))
-    kept = A.cooled_down(rows, "at", _GAP_DAYS * 86_400_000_000, ["flow_key"])
+    rows = _tiered(spark, d).withColumn("at", F.unix_micros(flow_day().cast("timestamp")))
+    kept = A.cooled_down(rows, "at", NOTIFY_GAP_US, ["flow_key"])
     return A.notifications(kept, ["cooldown_key", "flow_key"])
 
 

@@ -14,6 +14,8 @@ from wirelens.workspace import spread
 SESSION_GAP_US = 6 * 3600 * MICROS
 # slices of two days keep some 4 packets of a user together in the test table
 SESSION_SLICE_US = 48 * 3600 * MICROS
+# and buckets of the stream some 40
+SESSION_BUCKET_US = 20 * 24 * 3600 * MICROS
 
 FLAG_BY_EVENT = {
     "signup": "SYN", "view": "ACK", "click": "PSH", "error": "RST", "purchase": "FIN",

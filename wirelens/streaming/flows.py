@@ -1,8 +1,12 @@
 """Streaming sessions of packets, and the flush of flows still open when the stream stops.
 
-The state of a five-tuple is small whatever the length of its flow: running numbers of the open
-session, plus the packets that are not yet older than the watermark. Only those may still be
-preceded by a packet that comes late, so everything older is folded into the running numbers.
+Two stateful steps. The first keeps the packets of a five-tuple and time bucket in a list that is only appended to;
+when the watermark has passed the bucket, its packets become runs (see `operators.flows`) and the list is cleared.
+A flood on one five-tuple is spread over its buckets. The second keeps the runs of a five-tuple that may still
+grow, one row per open session, and emits a session once every bucket that could continue it has been read.
+
+What is open after a stop is read from the state in the query's checkpoint: packets of open buckets and runs of
+open sessions merge to the remaining flows. No packet is read again.
 """
 
 from __future__ import annotations
@@ -11,156 +15,216 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from wirelens import constants as K
 from wirelens.operators import flows as B
 
-_FLAGS = [f"_{name.lower()}" for name in K.FLAG_NAMES]
-_SIDES = ["f", "b", "a"]
-_EXTREMES = [f"_{kind}_{side}" for side in _SIDES for kind in ("max", "min")]
-_SUMS = ["_nf", "_nb", "_lf", "_lb", *_FLAGS]
-_MOMENTS = ["_length_n", "_length_mean", "_length_m2", "_iat_n", "_iat_mean", "_iat_m2"]
-_RUNNING = ["_start", "_end", *_SUMS, *_EXTREMES, *_MOMENTS, "_iat_max", "_iat_min"]
-_STATE = (
-    "running array<double>, at array<long>, length array<long>, forward array<boolean>, "
-    "flags array<long>"
-)
-_OUTPUT = (
-    "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, _start long, "
-    "_end long, _nf long, _nb long, _lf long, _lb long, "
-    + ", ".join(f"{n} int" for n in _FLAGS) + ", "
-    + ", ".join(f"{n} double" for n in [*_EXTREMES, "_length_std", "_iat_mean", "_iat_std",
-                                        "_iat_max", "_iat_min"])
-)
-
-
-def _moments(x: np.ndarray) -> tuple[float, float, float]:
-    if not len(x):
-        return 0.0, 0.0, 0.0
-    mean = x.mean()
-    return float(len(x)), float(mean), float(((x - mean) ** 2).sum())
-
-
-def _merged(a: tuple, b: tuple) -> tuple[float, float, float]:
-    n = a[0] + b[0]
-    if not n:
-        return 0.0, 0.0, 0.0
-    gap = b[1] - a[1]
-    return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
-
-
-def _extend(running: dict | None, at, length, forward, flags) -> dict:
-    """Running numbers of a session after more of its packets, given in time order."""
-    gaps = np.diff(at if running is None else np.append(running["_end"], at)).astype(float)
-    out = dict(running) if running else {"_start": float(at[0])}
-    out["_end"] = float(at[-1])
-    sums = [forward.sum(), (~forward).sum(), length[forward].sum(), length[~forward].sum(),
-            *flags.sum(axis=0)]
-    for name, value in zip(_SUMS, sums, strict=True):
-        out[name] = out.get(name, 0.0) + float(value)
-    for side, part in zip(_SIDES, (length[forward], length[~forward], length), strict=True):
-        for kind, pick in (("max", np.max), ("min", np.min)):
-            name = f"_{kind}_{side}"
-            # nan: no packet of this direction yet
-            seen = [v for v in (out.get(name, np.nan), pick(part) if len(part) else np.nan)
-                    if v == v]
-            out[name] = float(pick(seen)) if seen else np.nan
-    for name, values in (("length", length.astype(float)), ("iat", gaps)):
-        parts = [f"_{name}_{p}" for p in ("n", "mean", "m2")]
-        before = tuple(out.get(p, 0.0) for p in parts)
-        out.update(zip(parts, _merged(before, _moments(values)), strict=True))
-    for name, pick in (("_iat_max", np.max), ("_iat_min", np.min)):
-        seen = [v for v in (out.get(name, np.nan), *([pick(gaps)] if len(gaps) else [])) if v == v]
-        out[name] = float(pick(seen)) if seen else np.nan
-    return out
-
-
-def _finished(key: tuple, running: dict) -> dict:
-    row = dict(zip(B.FIVE_TUPLE, key, strict=True))
-    row.update({n: running[n] for n in ["_start", "_end", *_SUMS, "_iat_mean"]})
-    row.update({n: np.nan_to_num(running[n]) for n in [*_EXTREMES, "_iat_max", "_iat_min"]})
-    for name in ("length", "iat"):
-        n = running[f"_{name}_n"]
-        row[f"_{name}_std"] = (running[f"_{name}_m2"] / n) ** 0.5 if n else 0.0
-    return row
-
-
-def stream_flows(packets: DataFrame, gap_us: int = 3 * B.MICROS, delay: str = "10 seconds"):
-    """Completed flows, emitted once the watermark has passed their idle time."""
+#: Setting that stateful steps need: the store that holds lists, maps and timers.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+# stateful steps want column names that do not begin with an underscore
+_FLAGS, _FIELDS = [n[1:] for n in B.FLAG_SUMS], [n[1:] for n in B.RUN]
+_PLAIN = dict(zip(B.RUN, _FIELDS, strict=True))
+_OWN = dict(zip(_FIELDS, B.RUN, strict=True))
+_KEY = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int"
+_RUN = ", ".join(f"{n} long" for n in _FIELDS)
+_RUN_TYPE = T.StructType([T.StructField(n, T.LongType()) for n in _FIELDS])
+_PACKET_TYPE = T.StructType([
+    T.StructField("at", T.LongType()), T.StructField("length", T.LongType()), T.StructField("forward", T.BooleanType()),
+    *[T.StructField(n, T.LongType()) for n in _FLAGS]])
+_LOW = (1 << B.GAP_BITS) - 1
+
+
+def _gap_columns(gaps: np.ndarray) -> dict[str, np.ndarray]:
+    high, low = gaps >> B.GAP_BITS, gaps & _LOW
+    return {"_g_n": np.ones_like(gaps), "_g_sum": gaps, "_g_hh": high * high, "_g_hl": high * low, "_g_ll": low * low}
+
+
+def packet_runs(packets: pd.DataFrame, gap_us: int) -> pd.DataFrame:
+    """Packets of one key (columns of the first state) -> its runs (columns RUN), as `operators.flows.runs` gives them."""
+    packets = packets.sort_values("at", kind="stable")
+    at, length = packets["at"].to_numpy(np.int64), packets["length"].to_numpy(np.int64)
+    forward = packets["forward"].to_numpy(bool)
+    idle = np.diff(at)
+    run = np.append(0, np.cumsum(idle > gap_us))
+    rows = {
+        "_n": np.ones(len(at), np.int64), "_nf": forward.astype(np.int64), "_nb": (~forward).astype(np.int64),
+        "_lf": np.where(forward, length, 0), "_lb": np.where(forward, 0, length), "_l2": length * length,
+        **{n: packets[f].to_numpy(np.int64) for n, f in zip(B.FLAG_SUMS, _FLAGS, strict=True)},
+    }
+    inside = np.append(False, idle <= gap_us)
+    gaps = np.where(inside, np.append(0, idle), 0)
+    rows |= {n: np.where(inside, v, 0) for n, v in _gap_columns(gaps).items()}
+    frame = pd.DataFrame(rows).groupby(run, sort=True).sum()
+    frame["_start"], frame["_end"] = pd.Series(at).groupby(run).min(), pd.Series(at).groupby(run).max()
+    of_side = {"f": forward, "b": ~forward, "a": np.ones(len(at), bool)}
+    for side, chosen in of_side.items():
+        values = pd.Series(length[chosen]).groupby(run[chosen])
+        frame[f"_max_{side}"], frame[f"_min_{side}"] = values.max(), values.min()
+    values = pd.Series(gaps[inside]).groupby(run[inside])
+    frame["_g_max"], frame["_g_min"] = values.max(), values.min()
+    return frame[B.RUN].astype("Int64")
+
+
+def merge_runs(found: pd.DataFrame, gap_us: int) -> pd.DataFrame:
+    """Runs of one key -> its sessions, as runs again."""
+    found = found.sort_values(["_start", "_end"], kind="stable").reset_index(drop=True).astype("Int64")
+    start, end = found["_start"].to_numpy(np.int64), found["_end"].to_numpy(np.int64)
+    joint = np.append(gap_us + 1, start[1:] - end[:-1])
+    inside = joint <= gap_us
+    for name, values in _gap_columns(np.where(inside, joint, 0)).items():
+        found[name] = found[name] + np.where(inside, values, 0)
+    bridge = pd.Series(np.where(inside, joint, 0), dtype="Int64").where(inside, pd.NA)
+    found["_g_max"] = pd.concat([found["_g_max"], bridge], axis=1).max(axis=1)
+    found["_g_min"] = pd.concat([found["_g_min"], bridge], axis=1).min(axis=1)
+    groups = found.groupby(np.cumsum(~inside), sort=True)
+    parts = [groups[["_start", *B.MINIMA]].min(), groups[["_end", *B.MAXIMA]].max(), groups[B.SUMS].sum()]
+    return pd.concat(parts, axis=1)[B.RUN].astype("Int64")
+
+
+def _frame(rows: Iterator[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=names)
+
+
+class PacketBuckets(StatefulProcessor):
+    """Key: five-tuple and bucket. Emits the bucket's runs when the watermark has passed it."""
+
+    def __init__(self, gap_us: int, bucket_us: int):
+        self.gap_us, self.bucket_us = gap_us, bucket_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.packets = handle.getListState("packets", _PACKET_TYPE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = _PACKET_TYPE.names
+        fresh = not self.packets.exists()
+        for frame in rows:
+            self.packets.appendList([
+                tuple(None if v is pd.NA else v for v in row)
+                for row in zip(*(frame[n].tolist() for n in names), strict=True)])
+        if fresh:
+            self.handle.registerTimer(-(-((key[-1] + 1) * self.bucket_us) // 1000))
+        yield pd.DataFrame(columns=_names(_BUCKET_OUT))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = packet_runs(_frame(self.packets.get(), _PACKET_TYPE.names), self.gap_us)
+        self.packets.clear()
+        # one more millisecond: rows at the watermark itself count as late
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs() + 1, unit="ms")
+        for i, (name, value) in enumerate(zip(B.FIVE_TUPLE, key, strict=False)):
+            found.insert(i, name, value)
+        yield found.rename(columns=_PLAIN).assign(passed=at)[_names(_BUCKET_OUT)]
+
+    def close(self) -> None:
+        pass
+
+
+class OpenSessions(StatefulProcessor):
+    """Key: five-tuple. Holds the runs of open sessions; emits a session when no unread bucket can continue it."""
+
+    def __init__(self, gap_us: int, bucket_us: int):
+        self.gap_us, self.bucket_us = gap_us, bucket_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.runs = handle.getListState("runs", _RUN_TYPE)
+
+    def _closes(self, end) -> np.ndarray:
+        """The time in milliseconds at which the bucket that holds end + gap has been read."""
+        last = (np.asarray(end, np.int64) + self.gap_us) // self.bucket_us + 1
+        return -(-(last * self.bucket_us) // 1000) + 2
+
+    def _wait(self, runs: pd.DataFrame) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(self._closes(runs["_end"]).min()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        more = pd.concat([frame[_FIELDS] for frame in rows]).rename(columns=_OWN).astype("Int64")
+        held = _frame(self.runs.get(), B.RUN).astype("Int64") if self.runs.exists() else None
+        self._keep(merge_runs(more if held is None else pd.concat([held, more]), self.gap_us))
+        yield pd.DataFrame(columns=_names(_SESSION_OUT))
+
+    def _keep(self, runs: pd.DataFrame) -> None:
+        self.runs.put([tuple(None if v is pd.NA else int(v) for v in row) for row in runs.itertuples(index=False)])
+        self._wait(runs)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        runs = _frame(self.runs.get(), B.RUN).astype("Int64")
+        done = self._closes(runs["_end"]) <= timerValues.getCurrentWatermarkInMs()
+        if done.all():
+            self.runs.clear()
+        else:
+            self._keep(runs[~done])
+        found = runs[done].copy()
+        for i, (name, value) in enumerate(zip(B.FIVE_TUPLE, key, strict=True)):
+            found.insert(i, name, value)
+        yield found.rename(columns=_PLAIN)[_names(_SESSION_OUT)]
+
+    def close(self) -> None:
+        pass
+
+
+_BUCKET_OUT = f"{_KEY}, {_RUN}, passed timestamp"
+_SESSION_OUT = f"{_KEY}, {_RUN}"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def stream_flows(packets: DataFrame, gap_us: int = 3 * B.MICROS, delay: str = "10 seconds", bucket_us: int | None = None
+                 ) -> DataFrame:
+    """Completed flows, emitted once the watermark has passed every bucket that could continue them.
+
+    Packets older than the watermark are dropped. Run it with the settings in STATE_STORE."""
+    bucket_us = bucket_us or 20 * gap_us
     flags = [F.coalesce(F.try_element_at("flags", F.lit(n)), F.lit(0)).cast("long").alias(column)
              for n, column in zip(K.FLAG_NAMES, _FLAGS, strict=True)]
+    at = F.unix_micros("ts")
     rows = packets.withWatermark("ts", delay).select(
-        *B.FIVE_TUPLE, "ts", F.unix_micros("ts").alias("at"),
-        F.col("length").cast("long").alias("length"), "is_forward", *flags,
-    )
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        running = None
-        at, length = np.empty(0, np.int64), np.empty(0, np.int64)
-        forward, marks = np.empty(0, bool), np.empty((0, len(_FLAGS)), np.int64)
-        if state.exists:
-            held = state.get
-            if held[0]:
-                running = dict(zip(_RUNNING, held[0], strict=True))
-            at, length = np.array(held[1], np.int64), np.array(held[2], np.int64)
-            forward = np.array(held[3], bool)
-            marks = np.array(held[4], np.int64).reshape(-1, len(_FLAGS))
-        for frame in frames:
-            at = np.append(at, frame["at"].to_numpy(np.int64))
-            length = np.append(length, frame["length"].to_numpy(np.int64))
-            forward = np.append(forward, frame["is_forward"].to_numpy(bool))
-            marks = np.vstack([marks, frame[_FLAGS].to_numpy(np.int64)])
-        order = np.argsort(at, kind="stable")
-        at, length, forward, marks = at[order], length[order], forward[order], marks[order]
-
-        watermark_ms = max(state.getCurrentWatermarkMs(), 0)
-        watermark = watermark_ms * 1000
-        settled = int(np.searchsorted(at, watermark, "right"))
-        done = []
-        if settled:
-            # session borders among the settled packets
-            first = running["_end"] if running else at[0]
-            opens = np.diff(np.append(first, at[:settled])) > gap_us
-            borders = [0, *np.flatnonzero(opens).tolist(), settled]
-            for low, high in zip(borders, borders[1:], strict=False):
-                if low == high:
-                    continue
-                if running is not None and at[low] - running["_end"] > gap_us:
-                    done.append(_finished(key, running))
-                    running = None
-                part = slice(low, high)
-                running = _extend(running, at[part], length[part], forward[part], marks[part])
-            at, length = at[settled:], length[settled:]
-            forward, marks = forward[settled:], marks[settled:]
-        if running is not None and watermark >= running["_end"] + gap_us:
-            done.append(_finished(key, running))
-            running = None
-        if running is None and not len(at):
-            state.remove()
-        else:
-            state.update((
-                [float(running[n]) for n in _RUNNING] if running else [],
-                at.tolist(), length.tolist(), forward.tolist(), marks.ravel().tolist(),
-            ))
-            wake = [running["_end"] + gap_us] if running else []
-            wake += [at[0]] if len(at) else []
-            state.setTimeoutTimestamp(max(int(min(wake)) // 1000, watermark_ms) + 1)
-        if done:
-            yield pd.DataFrame(done)[[c.split()[0] for c in _OUTPUT.split(", ")]]
-
-    grouped = rows.groupBy(*B.FIVE_TUPLE).applyInPandasWithState(
-        advance, _OUTPUT, _STATE, "append", "EventTimeTimeout"
+        *B.FIVE_TUPLE, F.floor(at / F.lit(bucket_us)).cast("long").alias("bucket"), "ts", at.alias("at"),
+        F.coalesce(F.col("length"), F.lit(0)).cast("long").alias("length"), F.coalesce("is_forward", F.lit(False)).alias("forward"),
+        *flags,
     )
-    return grouped.select(
-        F.col("_start").alias("start_us"), *B.flow_metadata(),
-        *[expr.alias(name) for name, expr in B.packet_features().items()],
+    found = rows.groupBy(*B.FIVE_TUPLE, "bucket").transformWithStateInPandas(
+        PacketBuckets(gap_us, bucket_us), _BUCKET_OUT, "Append", "EventTime", eventTimeColumnName="passed")
+    sessions = found.groupBy(*B.FIVE_TUPLE).transformWithStateInPandas(
+        OpenSessions(gap_us, bucket_us), _SESSION_OUT, "Append", "EventTime")
+    return B.flow_rows(sessions.withColumnsRenamed(_OWN))
+
+
+def state_rows(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """The state of a stopped query: rows (key, list_element) of a list, (key, value) of a value."""
+    steps = spark.read.format("state-metadata").load(checkpoint)
+    step = steps.where(F.col("operatorProperties").contains(f'"{variable}"')).select("operatorId").head()
+    if step is None:
+        raise ValueError(f"no step of {checkpoint} holds {variable}")
+    return (
+        spark.read.format("statestore").option("operatorId", step.operatorId).option("stateVarName", variable)
+        .option("flattenCollectionTypes", True).load(checkpoint)
     )
 
 
-def flush_open_flows(emitted: DataFrame, packets: DataFrame, gap_us: int, slice_us: int):
-    """All flows after a stop: the emitted ones and, from the packets, those never emitted."""
-    everything = B.flow_table(packets, gap_us, slice_us)
-    done = emitted.select("flow_id", "start_us")
-    return emitted.unionByName(everything.join(done, ["flow_id", "start_us"], "left_anti"))
+def open_flows(spark: SparkSession, checkpoint: str, gap_us: int = 3 * B.MICROS, bucket_us: int | None = None) -> DataFrame:
+    """The flows that a stopped stream had not emitted, from the state in its checkpoint."""
+    bucket_us = bucket_us or 20 * gap_us
+    held = state_rows(spark, checkpoint, "packets")
+    flags = F.create_map(*[x for n, c in zip(K.FLAG_NAMES, _FLAGS, strict=True)
+                           for x in (F.lit(n), F.col(f"list_element.{c}").cast("int"))])
+    packets = held.select(
+        *[F.col(f"key.{c}").alias(c) for c in B.FIVE_TUPLE], F.timestamp_micros("list_element.at").alias("ts"),
+        F.col("list_element.length").alias("length"), F.col("list_element.forward").alias("is_forward"), flags.alias("flags"))
+    unread = B.runs(packets, gap_us, bucket_us).drop("_inner")
+    runs = state_rows(spark, checkpoint, "runs").select(*[F.col(f"key.{c}").alias(c) for c in B.FIVE_TUPLE], "list_element.*")
+    runs = runs.withColumnsRenamed(_OWN)
+    # runs of both tables may touch, so none is known to stand apart
+    both = unread.unionByName(runs.select(*unread.columns)).withColumn("_inner", F.lit(None).cast("long"))
+    return B.flow_rows(B.merged(both, gap_us))
