@@ -38,16 +38,20 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 RUN = re.compile(r"[0-9]+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-ACCOUNT = re.compile(
-    r"(?:[ ]?(?i:no|nr|num|number)\b\.?[ ]?[:=#]?|[ ]?[:=#])[ ]?(?!(?i:is)[ ])("
-    r"[A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
+# between a cue and its value: a number word or a sign
+STATES = re.compile(r"(?:[ ]?(?i:no|nr|num|number)\b\.?[ ]?[:=#]?|[ ]?[:=#])[ ]?(?!(?i:is)[ ])")
+GROUP = re.compile(r"[A-Za-z0-9]+")
 # behind blanks or "is": an IBAN, groups of digits or one word with digits
 STATED = re.compile(
     r"(?:[ \t]*+(?i:no|nr|num|number)\b\.?)?(?:[ \t]*+[:=#])?(?:[ \t]++(?i:is)\b)?(?:[ \t]*+[:=#])?[ \t]++(?:"
     r"([A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30})|([0-9](?:[ -]?[0-9]){5,}+)(?![A-Za-z0-9])|([A-Za-z0-9]{6,}+))")
 WORD_END = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
 STATED_PLAIN = re.compile(r"[A-Za-z0-9]{6,}+")
-SECRET = re.compile(r"[ ]?[:=][ ]?(?:\"([^\"\s]{8,}+)\"|'([^'\s]{8,}+)'|([A-Za-z0-9+/_.~-]{8,}+={0,2}))")
+# a quoted value of any characters but the quote and line ends, else all up to a blank, quote or angle bracket
+SECRET = re.compile(r"[ ]?[:=][ ]?(?:\"([^\"\n]{8,}+)\"|'([^'\n]{8,}+)'|[\"']?([^\s\"'<>]{8,}+))")
+CLOSING = ".,;:!?)]}"
+# user data of a scheme, then its host
+USER = re.compile(r"[^\s/?#@]++@" + DOMAIN.pattern)
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -90,6 +94,35 @@ def _ascii_lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+def _account(text: str, at: int) -> tuple[int, int] | None:
+    """(start, end) of the account number at a place: the longest IBAN, else the groups with digits that follow each other,
+    parted by a blank or hyphen, if they hold six digits or more. Capitals in front of the first belong to it."""
+    end, size, whole = at, 0, 0
+    while size <= 34 and (group := GROUP.match(text, end)):
+        end, size = group.end(), size + len(group[0])
+        if 15 <= size <= 34 and iban(re.sub(r"[ -]", "", text[at:end])):
+            whole = end
+        if text[end:end + 1] not in (" ", "-"):
+            break
+        end += 1
+    if whole:
+        return at, whole
+    start, end, stop, digits = at, at, at, 0
+    while group := GROUP.match(text, end):
+        held = sum(c in DIGITS for c in group[0])
+        if not held and (digits or end > at):
+            break
+        if held:
+            if not digits and not text[at:end].isupper():
+                start = end
+            digits, stop = digits + held, group.end()
+        end = group.end()
+        if text[end:end + 1] not in (" ", "-"):
+            break
+        end += 1
+    return (start, stop) if digits >= 6 else None
+
+
 def _stated(text: str, at: int) -> tuple[int, int] | None:
     """(start, end) of an account number that follows its cue without a colon and passes its validation."""
     value = STATED.match(text, at)
@@ -146,7 +179,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             start = at
             while start > url_end and text[start - 1] in LABEL:
                 start -= 1
-            user = re.compile(r"[^\s/?#@]{1,256}@" + DOMAIN.pattern).match(text, at + 3)
+            user = USER.match(text, at + 3)
             if start < at and user:
                 url_end = user.end()
                 out.append((start, url_end, "url"))
@@ -154,22 +187,18 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             value = SECRET.match(text, at + size) if at >= secret_end else None
             if value:
                 group = next(i for i in (1, 2, 3) if value[i] is not None)
-                if any(c in DIGITS for c in value[group]):
-                    secret_end = value.end(group)
-                    out.append((*value.span(group), "secret"))
+                start, end = value.span(group)
+                if group == 3:  # marks that close a sentence or bracket are not part of it
+                    end -= len(value[3]) - len(value[3].rstrip(CLOSING))
+                if end - start >= 8 and any(c in DIGITS for c in text[start:end]):
+                    secret_end = end
+                    out.append((start, end, "secret"))
         else:
             if at < account_end:
                 continue
-            value, found = ACCOUNT.match(text, at + size), False
-            if value:
-                bare = re.sub(r"[ -]", "", value[1])
-                # the value ends with its last token that holds a digit
-                end = value.start(1) + max((i + 1 for i, c in enumerate(value[1]) if c in DIGITS), default=0)
-                if iban(bare) or sum(c in DIGITS for c in bare) >= 6:
-                    account_end = value.end(1) if iban(bare) else end
-                    out.append((value.start(1), account_end, "account"))
-                    found = True
-            stated = None if found else _stated(text, at + size)
+            states = STATES.match(text, at + size)
+            stated = _account(text, states.end()) if states else None
+            stated = stated or _stated(text, at + size)
             if stated:
                 account_end = stated[1]
                 out.append((*stated, "account"))
@@ -207,7 +236,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with personal data masked in the text; null texts stay null."""
+    """The same rows and columns with personal data masked in the text. Null and empty texts stay as they are; repeated
+    rows are masked alike; very long texts are read whole; an empty table stays empty; other columns are untouched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
