@@ -88,11 +88,10 @@ def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array, template: Templ
 def _formatted(batch: pa.Table, template: Template) -> Iterator[pa.RecordBatch]:
     """Whole conversations, sorted by conversation and turn -> one row per conversation."""
     conv_column = batch.column("conv").combine_chunks()
-    known = pc.fill_null(conv_column, 0).to_numpy(zero_copy_only=False)
-    null = conv_column.is_null().to_numpy(zero_copy_only=False)
+    known = pc.fill_null(conv_column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
     roles, texts = batch.column("role").combine_chunks(), batch.column("text").combine_chunks()
     out, turn_at, text_at = assemble(known, roles, texts, template)
-    new = np.flatnonzero(np.append(True, (known[1:] != known[:-1]) | (null[1:] != null[:-1])))
+    new = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
     offsets = np.append(turn_at[new], turn_at[-1]).astype(np.int64)
     whole = pa.LargeStringArray.from_buffers(len(new), pa.py_buffer(offsets), pa.py_buffer(out))
     learned = pc.is_in(roles, pa.array(template.learned)).to_numpy(zero_copy_only=False)
@@ -106,18 +105,18 @@ def _formatted(batch: pa.Table, template: Template) -> Iterator[pa.RecordBatch]:
     ], names=["conv_id", "formatted", "loss_start", "loss_end"])
 
 
-SCHEMA = "conv_id long, formatted string, loss_start array<long>, loss_end array<long>"
+SCHEMA = "conv_id {kind}, formatted string, loss_start array<long>, loss_end array<long>"
 
 
 def chat_format(turns: DataFrame, template: Template = LLAMA, buffer: int = 32 << 20) -> DataFrame:
     """conversations (conv_id, turn, role, text) -> conv_id, formatted text, byte spans under the loss mask.
 
     Turns are ordered by turn (null first), ties by role and text; repeated rows stay repeated turns;
-    null texts and roles are empty; turns without a conv_id form one conversation; an empty table gives no
-    rows; other columns are ignored. A task holds about `buffer` bytes and one conversation at a time.
+    null texts and roles are empty; turns without a conv_id form one conversation; a conv_id may be of any type that has
+    an order; an empty table gives no rows; other columns are ignored. A task holds about `buffer` bytes and one conversation at a time.
     """
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"),
+        F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
@@ -146,7 +145,7 @@ def chat_format(turns: DataFrame, template: Template = LLAMA, buffer: int = 32 <
         if held:
             yield from _formatted(pa.Table.from_batches(held), template)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA.format(kind=turns.schema["conv_id"].dataType.simpleString()))
 
 
 def parse(formatted: str, template: Template = LLAMA) -> list[tuple[str, str]]:
@@ -179,8 +178,9 @@ def read_back(formatted: DataFrame, template: Template = LLAMA) -> DataFrame:
                 [batch.column(0), *(pa.array(list(c)) for c in zip(*rows, strict=True))],
                 names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
+    kind = formatted.schema["conv_id"].dataType.simpleString()
     return formatted.mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sha(text: str) -> str:
