@@ -79,9 +79,11 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 
     The key alone decides shard and grown_shard (of one more shard); a null key counts as the empty
     text; repeated keys share a shard. Size is the text's UTF-8 bytes plus 16 (null text: 16, with the
-    crc32 of the empty text). Slots number a shard's rows without a gap in the order of the key's
-    hash, then key, size and crc32. They are counted in two steps: rows per shard and hash prefix,
-    whose length follows from the row count, then within each prefix, so no task holds a whole shard.
+    crc32 of the empty text; very long texts are read whole). Slots number a shard's rows without a gap in the order of
+    the key's hash, then key, size and crc32. They are counted in two steps: rows per shard and hash prefix,
+    whose length follows from the row count, then within each prefix, so no task holds a whole shard. The rows of a
+    key that has more than `rows_per_task` of them (or no key at all) come behind the others of its prefix, numbered
+    task by task. An empty table gives no rows; other columns are ignored.
     """
     key = key_text(id_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -93,12 +95,16 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         "*", f"cast({shard_sql('_key', topology(shards))} AS int) AS shard",
         f"cast({shard_sql('_key', topology(shards + 1))} AS int) AS grown_shard",
     )
-    placed = materialize(placed.drop("_key"), "placed")
+    placed = materialize(placed.drop("_key").withColumn("_task", F.spark_partition_id()), "placed")
     digits, room = 1, 16 * shards * rows_per_task
     total = placed.count()
     while room < total:
         digits, room = digits + 1, room * 16
-    placed = placed.withColumn("_part", F.substring("_hash", 1, digits))
+    # few keys by arithmetic: each holds more than a task's rows, and more than a ten thousandth of all
+    hot = placed.groupBy("_hash").count().where(F.col("count") > max(rows_per_task, total // 10_000)).select("_hash", F.lit(True).alias("_hot"))
+    placed = placed.join(F.broadcast(materialize(hot, "hot_keys")), "_hash", "left")
+    behind = F.when(F.col("_hot"), F.col("_task") + 1).otherwise(0)
+    placed = placed.withColumn("_part", F.struct(F.substring("_hash", 1, digits).alias("prefix"), behind.alias("behind")))
     groups = placed.groupBy("shard", "_part").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("shard", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
