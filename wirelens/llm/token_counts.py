@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier one is a broadcast table of the token counts of frequent pre-tokens, at most `table_size` entries
-taken from a bounded sample. What it lacks is encoded by the library, batch by batch, into a cache of the
-worker. No pre-token is shuffled, and the sample has no bearing on the counts.
+chosen by their occurrences in all texts. What it lacks is encoded by the library, batch by batch, into a cache
+of the worker. Only the tasks' summaries of frequent pre-tokens are shuffled, and they have no bearing on the counts.
 
 A pre-token here is a run of blanks with the word that follows it. Byte-level patterns never join
 a character that is no blank to a blank behind it, so a text's count is the sum over its pre-tokens. Texts
@@ -41,9 +41,11 @@ def _lengths(path: str, texts: list[str]) -> list[int]:
 
 
 class WorkerCache(dict):
-    """Counts of pre-tokens already encoded by this worker; emptied when it holds `room` entries."""
+    """Counts of pre-tokens already encoded by this worker; emptied when it holds `room` entries. Pre-tokens of more than
+    `longest` characters (texts without blanks are one) are encoded each time they occur, so the cache is bounded."""
 
     room = 400_000
+    longest = 64
 
 
 _CACHES: dict[str, WorkerCache] = {}
@@ -54,48 +56,49 @@ def count_batch(texts: list[str], frequent: dict[str, int], path: str) -> list[i
     cache = _CACHES.setdefault(path, WorkerCache())
     split = [None if OTHER_BLANKS.search(t) else PIECES.findall(t) for t in texts]
     missing = set().union(*(p for p in split if p)) - frequent.keys() - cache.keys()
+    long = [p for p in missing if len(p) > cache.longest]
+    missing.difference_update(long)
     if len(cache) + len(missing) > cache.room:
         cache.clear()
-        missing = set().union(*(p for p in split if p)) - frequent.keys()
+        missing = {p for p in set().union(*(p for p in split if p)) - frequent.keys() if len(p) <= cache.longest}
     asked = list(missing)
     cache.update(zip(asked, _lengths(path, asked), strict=True))
+    once = dict(zip(long, _lengths(path, long), strict=True))
     whole = iter(_lengths(path, [t for t, p in zip(texts, split, strict=True) if p is None]))
 
     def of(piece: str) -> int:
         n = known(piece)
-        return cache[piece] if n is None else n
+        if n is None:
+            n = cache.get(piece)
+        return once[piece] if n is None else n
 
     known = frequent.get
     return [next(whole) if p is None else sum(map(of, p)) for p in split]
 
 
-def frequent_pieces(docs: DataFrame, text_col: str, path: str, table_size: int = 65_536,
-                    sample_rows: int = 4_000, longest: int = 32) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of about `sample_rows` rows, chosen by a hash of the text.
+def frequent_pieces(docs: DataFrame, text_col: str, path: str, table_size: int = 65_536, longest: int = 32) -> dict[str, int]:
+    """Token counts of the `table_size` most frequent pre-tokens of all texts, the first tier of the lookup.
 
-    Every task sends its `table_size` / 8 most frequent ones at most.
+    Every task keeps a summary of bounded size: when it holds four times the table, rare pre-tokens are
+    let go (every count is lowered by the one that the table's last entry has). What a pre-token loses
+    by this is at most its task's share of 1 / (3 * table_size); counts of tokens do not depend on it.
     """
-    total = docs.count()
-    if not total:
-        return {}
-    rate = min(1.0, sample_rows / total)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    chosen = docs.select(text.alias("text")).where(
-        F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * rate) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 2 << 20):
             for text in batch.column(0).to_pylist():
                 if not OTHER_BLANKS.search(text):
-                    found.update(p for p in PIECES.findall(text) if len(p) <= longest)
+                    found.update(PIECES.findall(text))
             if len(found) > 4 * table_size:
-                found = Counter(dict(found.most_common(table_size)))
-        best = [(p, n) for p, n in found.most_common(table_size // 8) if n > 1]
+                low = sorted(found.values(), reverse=True)[table_size]
+                found = Counter({p: n - low for p, n in found.items() if n > low})
+        best = [(p, n) for p, n in found.most_common(table_size) if n > 1 and len(p) <= longest]
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in best], pa.string()),
                                           "n": pa.array([n for _, n in best], pa.int64())})
 
-    counted = chosen.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counted = docs.select(text.alias("text")).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "piece").limit(table_size).collect()
     pieces = [r.piece for r in rows]
     return dict(zip(pieces, _lengths(path, pieces), strict=True))
@@ -108,7 +111,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     `path` is a byte-level tokenizer file, present on every worker. Null and empty texts count 0;
     repeated rows and equal texts are counted alike; very long texts are taken whole; an empty table
     gives no rows; other columns are ignored. Special tokens written inside a text count as the library's
-    default has it. No shuffle but that of the sample's table.
+    default has it. No shuffle but that of the tasks'
+    summaries of frequent pre-tokens.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_pieces(docs, text_col, path, table_size))
 
