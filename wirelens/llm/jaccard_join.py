@@ -7,6 +7,7 @@
    band and the one below. (Documents with more empty parts also emit the prefix of their sorted set; two of
    them that are linked share an element of it.) No linked pair is lost, and a shared passage alone
    rarely makes a whole part equal.
+   Part hashes are counted first; only those that occur twice are emitted with their documents.
 3. Tiles. Documents with an equal part form the star of the least of them. Stars are cut into tiles of bounded size.
    In a tile, bitmaps of hashed elements bound the overlap of every pair from above; pairs that could reach the
    threshold are intersected exactly, as sorted arrays. Pairs already linked through others are skipped.
@@ -23,15 +24,17 @@ from math import exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelens.workspace import materialize
 
-from .common import components, slices
+from .common import bitmap, components, in_bitmap, lookup, slices
 from .suffix_tree import tokens
 
 PIECE = 4 << 20
+SHARED_BITS = 26  # of the bitmap of part hashes that occur twice: 8 MB
 
 
 @dataclass(frozen=True)
@@ -156,9 +159,14 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, bands: Bands, settings
     return np.concatenate(out), np.concatenate(owner)
 
 
+def _whole(docs: DataFrame, id_col: str) -> bool:
+    """Whether the ids are whole numbers, else they are known by a hash inside the join."""
+    return isinstance(docs.schema[id_col].dataType, T.IntegralType)
+
+
 def _id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    key = F.col(id_col).cast("long") if _whole(docs, id_col) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    return docs.select(key.alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def set_rows(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -177,8 +185,10 @@ def set_rows(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, set_a long, set_b long")
 
 
-def signature_rows(docs: DataFrame, settings: Settings, largest: int) -> DataFrame:
-    """Rows (signature, doc) of (doc, text). Of equal sets in a piece only the least document emits."""
+def signature_rows(docs: DataFrame, settings: Settings, largest: int, only: np.ndarray | None = None) -> DataFrame:
+    """Rows (signature, doc) of (doc, text), where `only` is given those whose bit is set there. Of equal sets in a piece
+    only the least document emits."""
+    held = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(settings, largest)
@@ -192,6 +202,9 @@ def signature_rows(docs: DataFrame, settings: Settings, largest: int) -> DataFra
             sizes = np.diff(offsets)[chosen]
             at = np.repeat(offsets[chosen], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             value, owner = signatures(elements[at], np.concatenate([[0], np.cumsum(sizes)]), bands, settings)
+            if held is not None:
+                use = in_bitmap(held.value, value, SHARED_BITS)
+                value, owner = value[use], owner[use]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(value.view(np.int64)), pa.array(docs[chosen][owner].astype(np.int64))], names=["signature", "doc"])
 
@@ -291,9 +304,10 @@ def tile_links(docs: DataFrame, plan: DataFrame, settings: Settings) -> DataFram
 
 
 def _blocks(stars: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
-    """How many tiles a star needs: rows (star, blocks)."""
-    return stars.join(sizes, "doc").groupBy("star").agg(F.ceil(F.greatest(
-        F.count("*") / settings.tile_rows, F.sum("n") / settings.tile_elements)).cast("int").alias("blocks"))
+    """How many tiles a star needs: rows (star, blocks, held), held the number of its documents."""
+    blocks = F.ceil(F.greatest(F.count("*") / settings.tile_rows, F.sum("n") / settings.tile_elements)).cast("int")
+    counted = stars.join(sizes, "doc").groupBy("star").agg(blocks.alias("blocks"), F.count("*").alias("held"))
+    return materialize(counted, "blocks")
 
 
 def exact_links(docs: DataFrame, stars: DataFrame, sizes: DataFrame, bands: Bands, settings: Settings) -> DataFrame:
@@ -303,7 +317,7 @@ def exact_links(docs: DataFrame, stars: DataFrame, sizes: DataFrame, bands: Band
     first = materialize(first.unionByName(stars.select(F.col("star").alias("doc"), "star")).distinct(), "first")
     blocks = _blocks(first, sizes, settings)
     at = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    placed = first.join(blocks, "star")
+    placed = lookup(first, blocks, "star", "held").select("doc", "star", "found.blocks")
     members = placed.where("doc <> star").select("doc", "star", at.alias("block"))
     hubs = placed.where("doc = star").select("doc", "star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     plan = members.unionByName(hubs).select("doc", "star", "block", F.col("doc").alias("group_id"), F.lit(False).alias("visitor"))
@@ -318,13 +332,15 @@ def exact_links(docs: DataFrame, stars: DataFrame, sizes: DataFrame, bands: Band
     labelled = materialize(labelled, "labelled")
     apart = labelled.groupBy("star", "group_id").agg(F.count("*").alias("rows"))
     apart = apart.groupBy("star").agg(
-        F.max_by("group_id", F.struct("rows", "group_id")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    apart = materialize(apart.join(materialize(whole, "whole"), "star", "left_anti"), "apart")
-    active = materialize(labelled.join(apart.select("star", "main"), "star").join(sizes, "doc"), "active")
+        F.max_by("group_id", F.struct("rows", "group_id")).alias("main"), F.count("*").alias("groups"),
+        F.sum("rows").alias("held")).where("groups > 1")
+    apart = apart.join(materialize(whole, "whole"), "star", "left_anti").select("star", "main", "held")
+    active = lookup(labelled, materialize(apart, "apart"), "star", "held").where("found IS NOT NULL")
+    active = materialize(active.select("doc", "star", "group_id", "found.main").join(sizes, "doc"), "active")
     if not active.head(1):
         return links
     blocks = _blocks(active.select("doc", "star"), sizes, settings)
-    active = active.join(blocks, "star")
+    active = lookup(active, blocks, "star", "held").select("doc", "star", "group_id", "main", "n", "found.blocks")
     single = active.where("blocks = 1").select("doc", "star", F.lit(0).alias("block"), "group_id", F.lit(False).alias("visitor"))
     # larger stars: tiles by size band; what is outside the main group visits all tiles of bands that may hold partners
     edges = ", ".join(str(e) for e in bands.edges.tolist())
@@ -351,21 +367,34 @@ def jaccard_join(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "d
 
     Null and empty texts and texts without words have no shingles, are linked with nothing and are groups
     of their own; rows without an id get null ids; rows that repeat an id are judged row by row; equal texts
-    share a class; very long texts are taken whole; an empty table gives no rows; other columns are ignored.
+    share a class; very long texts are taken whole; an empty table gives no rows; other columns are ignored. Ids may
+    be of any type that has an order; inside, whole numbers stand for themselves and others for a 64-bit hash.
     """
-    texts = _id_text(docs, id_col, text_col)
-    sets = materialize(set_rows(texts, settings), "sets")
+    members = _joined(_id_text(docs, id_col, text_col), settings)
+    if _whole(docs, id_col):
+        return members.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"),
+                              F.col("component").alias("component_id"))
+    return _with_names(members, docs.select(F.col(id_col).alias("name")), id_col)
+
+
+def _joined(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(doc, text) -> rows (doc, n, class, component)."""
     known = F.col("doc").isNotNull() & (F.col("n") > 0)
-    key = ["n", "set_a", "set_b"]
-    classes = sets.where(known).groupBy(*key).agg(F.min("doc").alias("class"))
-    members = sets.where(known).join(classes, key).select("doc", "n", "class").unionByName(
-        sets.where(~known).select("doc", "n", F.col("doc").alias("class")))
-    members = materialize(members, "members")
+    identity = F.when(known, F.concat_ws("-", "n", "set_a", "set_b"))
+    sets = materialize(set_rows(texts, settings).withColumn("set", identity), "sets")
+    classes = sets.where(known).groupBy("set").agg(F.min("doc").alias("class"), F.count("*").alias("held")).where("held > 1")
+    classes = materialize(classes, "classes")
+    members = lookup(sets, classes, "set", "held", spread=["doc", "set_a"])
+    members = materialize(members.select("doc", "n", F.coalesce("found.class", "doc").alias("class"), "found.held"), "members")
     largest = sets.agg(F.max("n").alias("n")).head().n or 1
     bands = Bands(settings, largest)
-    found = signature_rows(texts.where(F.col("doc").isNotNull()), settings, largest)
-    hubs = found.withColumn("star", F.min("doc").over(Window.partitionBy("signature"))).where("doc <> star")
-    edges = materialize(hubs.select("doc", "star").distinct(), "candidates")
+    judged = texts.where(F.col("doc").isNotNull())
+    shared = signature_rows(judged, settings, largest).groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    marks = bitmap(materialize(shared.select(F.col("signature").alias("key")), "shared"), SHARED_BITS)
+    found = materialize(signature_rows(judged, settings, largest, marks), "parts")
+    least = materialize(found.groupBy("signature").agg(F.min("doc").alias("star"), F.count("*").alias("held")).where("held > 1"), "least")
+    hubs = lookup(found, least, "signature", "held").select("doc", "found.star").where("doc <> star")
+    edges = materialize(hubs.distinct(), "candidates")
     class_of = members.where("n > 0").select("doc", "class").distinct()
     edges = edges.join(class_of, "doc").select("star", F.col("class").alias("doc")).join(
         class_of.withColumnRenamed("doc", "star").withColumnRenamed("class", "hub"), "star").select("doc", F.col("hub").alias("star"))
@@ -373,7 +402,22 @@ def jaccard_join(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "d
     stars = materialize(stars.unionByName(stars.select(F.col("star").alias("doc"), "star").distinct()), "stars")
     sizes = members.where("doc = class").select("doc", "n").groupBy("doc").agg(F.max("n").alias("n"))
     links = exact_links(texts, stars, sizes, bands, settings)
-    roots = components(links).withColumnsRenamed({"node": "class"})
-    return members.join(roots, "class", "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"),
-        F.coalesce("root", "class").alias("component_id"))
+    # the root of every class, and how many rows will ask for it
+    held = members.where("doc = class").groupBy("class").agg(F.max(F.coalesce("held", F.lit(1))).alias("held"))
+    roots = materialize(components(links).withColumnRenamed("node", "class").join(held, "class"), "class_roots")
+    return lookup(members.select("doc", "n", "class"), roots, "class", "held").select(
+        "doc", "n", "class", F.coalesce("found.root", "class").alias("component"))
+
+
+def _with_names(members: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
+    """The result with ids of any type in place of their hashes: classes and components go by their least id."""
+    members = materialize(members, "hashed")
+    names = materialize(names.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("held")).select(
+        F.xxhash64("name").alias("doc"), "name", "held"), "names")
+    named = materialize(lookup(members, names, "doc", "held").select("n", "class", "component", F.col("found.name").alias("name")), "named")
+    out = named
+    for column in ("class", "component"):
+        least = named.groupBy(column).agg(F.min("name").alias("least"), F.count("*").alias("held"))
+        out = lookup(out, materialize(least.where(F.col(column).isNotNull()), "least"), column, "held").select(
+            *out.columns, F.col("found.least").alias(f"{column}_id"))
+    return out.select(F.col("name").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
