@@ -104,3 +104,29 @@ def test_stages_on_odd_tables(spark, sf_dir_of):
             out.collect()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == docs.count()
     assert decontaminate.DEFAULT.window == 8
+
+
+def test_rows_that_share_an_id_or_have_none(spark, sf_dir_of):
+    """Rows are judged one by one: what shares an id but not its text stays, copies and leaks go whatever their id."""
+    draw = random.Random(4)
+    pool = [f"w{i}x" for i in range(400)]
+    one, two, three = (" ".join(draw.choices(pool, k=60)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, one), (None, one), (None, three), (None, three), (3, three + " " + ITEM), (None, two + " " + ITEM), (5, None), (5, "")]
+    path = sf_dir_of([(i, t, "en", "s", 0) for i, t in rows], [(0, ITEM), (1, "the")])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    near = corpus_pipeline.near_duplicates(spark, docs, path)
+    assert near.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    kept = [(1, one), (1, two), (None, three), (3, three + " " + ITEM), (None, two + " " + ITEM), (5, None), (5, "")]
+    assert got == sorted(kept, key=str)
+    clean = corpus_pipeline.decontaminated(spark, docs, path)
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(
+        [x for x in rows if not (x[1] or "").endswith(ITEM)], key=str)
+
+
+def test_one_word_items_do_not_empty_the_corpus(spark, sf_dir_of):
+    texts = ["the day of the year and the words of it", "a clean text", "and then: the. The end"]
+    path = sf_dir_of([(i, t, "en", "s", 0) for i, t in enumerate(texts)], [(0, "the"), (1, "of")])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, path).collect()} == {0, 1}

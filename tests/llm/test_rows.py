@@ -1,6 +1,7 @@
 """Row-by-row operators against brute force, with nulls, empty texts, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -93,13 +94,27 @@ def test_added_spans_are_whole():
             ("IBAN DE89370400440532013000", "account", "DE89370400440532013000"),
             ("iBan is DE89 3704 0044 0532 0130 00 was used", "account", "DE89 3704 0044 0532 0130 00"),
             ("SSN 123-45-6789 x", "account", "123-45-6789"), ("account number is 12345678", "account", "12345678"),
-            ("\u0130 Account No. 12345678 \u0130", "account", "12345678"), ("passport  C01X00T478", "account", "C01X00T478")):
+            ("\u0130 Account No. 12345678 \u0130", "account", "12345678"), ("passport  C01X00T478", "account", "C01X00T478"),
+            ("password=abcdefg1!secretTAIL x", "secret", "abcdefg1!secretTAIL"), ("password=Ab!23defgh1, and", "secret", "Ab!23defgh1"),
+            ('password: "my pass phrase 7" x', "secret", "my pass phrase 7"), ("token='a 1 b \" c' x", "secret", 'a 1 b " c'),
+            ('token="open1234 x', "secret", "open1234"), ("(secret: abc#12345).", "secret", "abc#12345"),
+            ("x://" + "u" * 300 + ":pw@host.example.com/a", "url", "x://" + "u" * 300 + ":pw@host.example.com"),
+            ("account: " + "1234 5678 " * 9 + "and on", "account", ("1234 5678 " * 9).strip()),
+            ("account: " + "7" * 90, "account", "7" * 90), ("account no. AB 123456 was", "account", "AB 123456"),
+            ("iban: GB29 NWBK 6016 1331 9268 19 and 5", "account", "GB29 NWBK 6016 1331 9268 19"),
+            ("account: see 12345678", "account", "12345678")):
         assert [text[a:b] for a, b, k in pii.spans(text) if k == kind] == [value], text
         assert value not in pii.redact(text)
     for text in ("account has 3 items and 12345678", "account is open", "IBAN of the account", "account 2024", "account is 12345"):
         assert [s for s in pii.spans(text) if s[2] == "account"] == [], text
 
 
+def test_many_cues_in_a_long_text():
+    text = "account: none token = abc password: 'x " * 20_000 + "token=" + "k9" * 300_000
+    assert [(b - a, k) for a, b, k in pii.spans(text)] == [(600_000, "secret")]
+    assert pii.redact(text).endswith("token=[SECRET]")
+
+
 def test_pii_tables(spark):
     docs = odd_docs(spark)
     assert pii.find(docs).count() == len(ODD) + 2
@@ -123,6 +138,29 @@ def test_url_rules(spark):
     assert not host_reputation.judge(pages.limit(0), bad.limit(0), queries.URL_RULES).head(1)
 
 
+def test_outcomes_of_pages(spark):
+    words = "the quick words of a page that says something new in every line " * 8
+    plain = " ".join(f"{w}{i}" for i, w in enumerate(words.split()))
+    html = [f"<html><script>var x = '{plain}';</script><p>{plain}</p><!-- # # -->", "<p>short</p>", None, "",
+            f"<p>{plain.replace(' ', ' &amp;&amp; ')}</p>", f"<style>##</style><b>{'one two three four ' * 40}</b>",
+            f"<p>{plain}</p>" * 1 + "<br>" * 200_000]
+    rows = [(i, f"http://h{i}.net/", h, "x", 1) for i, h in enumerate(html)] + [(1, "http://h1.net/", f"<p>{plain}</p>", "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_words int")
+    got = sorted((r.page_id, r.bad) for r in host_reputation.outcomes(pages).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 0)]
+    assert not host_reputation.outcomes(pages.limit(0)).head(1)
+    # a repeated page and its outcomes count once, as bad if one outcome is
+    hosts = {r.host: (r.n, r.bad) for r in host_reputation.host_counts(pages, host_reputation.outcomes(pages)).collect()}
+    assert hosts["h1.net"] == (1, 1) and hosts["h0.net"] == (1, 0)
+
+
+def test_the_method_blocks_on_given_pages(spark):
+    judged = queries.op5_host_reputation(spark, "/root/testdata/sf0.1")
+    got = judged.where("rule IS NULL").groupBy("verdict").agg({"host": "count"}).collect()
+    counts = {r.verdict: r[1] for r in got}
+    assert counts["block"] > 0 and counts["allow"] > 20 * counts["block"]
+
+
 def test_bad_hosts_are_blocked(spark):
     pages = spark.range(400).selectExpr("id AS page_id", "concat('http://h', id % 8, '.d', id % 2, '.net/p') AS url")
     bad = spark.range(300).selectExpr("id AS page_id", "int(id % 8 = 3) AS bad")
@@ -157,6 +195,40 @@ def test_sharding_odd_rows(spark):
     assert not weighted_tree.assign(odd_docs(spark).limit(0), 40).head(1)
 
 
+def brute_shard(key, tree):
+    """The smallest of -ln(u) / weight among regions, then racks, then shards, u from the md5 of key and name."""
+    def draw(name, weight):
+        u = (int(hashlib.md5((key + name).encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+        return -math.log(u) / weight
+
+    leaves = [leaf for leaf in tree if leaf.weight > 0]
+    for name in (lambda x: f"/{x.region}", lambda x: f"/{x.region}/{x.rack}", lambda x: f"/{x.region}/{x.rack}/{x.shard}"):
+        weights = {}
+        for leaf in leaves:
+            weights[name(leaf)] = weights.get(name(leaf), 0.0) + leaf.weight
+        best = min(weights, key=lambda n: draw(n, weights[n]))
+        leaves = [leaf for leaf in leaves if name(leaf) == best]
+    return leaves[0].shard
+
+
+def test_shards_by_brute_force(spark):
+    docs = spark.range(600).selectExpr("if(id = 0, null, concat('k\u00e9', id)) AS doc_id", "'t' AS text")
+    for r in weighted_tree.assign(docs, 40).collect():
+        key = r.doc_id or ""
+        assert (r.shard, r.grown_shard) == (brute_shard(key, weighted_tree.topology(40)), brute_shard(key, weighted_tree.topology(41)))
+
+
+def test_rows_of_a_hot_key_are_numbered_by_task(spark):
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS doc_id", "repeat('x', int(id % 5)) AS text").repartition(6)
+    rows = weighted_tree.assign(docs, 40, rows_per_task=100).collect()
+    assert len(rows) == 3000
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({r.shard for r in rows if r.doc_id == 7}) == len({r.shard for r in rows if r.doc_id is None}) == 1
+
+
 def test_weights(spark):
     tree = [weighted_tree.Leaf(0, 0, 0, 1.0), weighted_tree.Leaf(0, 1, 1, 3.0), weighted_tree.Leaf(1, 0, 2, 4.0),
             weighted_tree.Leaf(1, 0, 3, 0.0)]
@@ -165,6 +237,14 @@ def test_weights(spark):
     assert set(got) == {0, 1, 2} and abs(got[0] - 2000) < 200 and abs(got[1] - 6000) < 300
 
 
+def test_chats_with_text_ids(spark):
+    rows = [("b", 1, "assistant", "two"), ("b", 0, "user", "one"), (None, 0, "user", "x"), ("a", 0, "assistant", "y"), (None, 1, "assistant", "z")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.chat_format(turns)).collect()}
+    assert {k: (r.n_turns, r.loss_chars) for k, r in got.items()} == {"a": (1, 1), "b": (2, 3), None: (2, 1)}
+    assert got["b"].turns_sha256 == hashlib.sha256(b"user\none\nassistant\ntwo\n").hexdigest()
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "", None, "\\", "\\\\</s>", "<s>\n<<SYS>>x<</SYS>>", "é\U0001f600[INST]" * 50, "[\\INST]"]
     rows = [(c, t, r, odd[(c + t) % len(odd)], "x") for c in range(12) for t, r in enumerate(["system", "user", "assistant", None, "a\nb\\"])]
@@ -185,6 +265,17 @@ def test_chat_round_trip(spark):
     assert not chat_format.chat_format(turns.limit(0)).head(1)
 
 
+def test_frequent_pieces_cover_all_texts(spark):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    texts = [" ".join(f"only{i}x{k}" for k in range(30)) + " common words" for i in range(400)] + ["x" * 500_000, None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    table = token_counts.frequent_pieces(docs, "text", path, table_size=50)
+    assert {" common", " words"} <= set(table) and len(table) <= 50
+    got = token_counts.count_batch([t or "" for t in texts], table, path)
+    assert got == token_counts._lengths(path, [t or "" for t in texts])
+    assert all(len(p) <= token_counts.WorkerCache.longest for p in token_counts._CACHES[path])
+
+
 def test_token_counts(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.tokenizer_path("byte_bpe_50k.json")

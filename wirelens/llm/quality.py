@@ -92,8 +92,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, counts, `failed` (names of the rules broken), `base_failed`, `kept`.
 
     Row by row without a shuffle, so hot sources and copies cost nothing extra. Null and empty texts
-    have zero counts and break the length rule; repeated rows are judged alike; an empty table gives
-    no rows; other columns are ignored whatever their names.
+    have zero counts and break the length rule; repeated rows are judged alike; a measure equal to a bound
+    passes; texts of any length are read whole inside their row; an empty table gives no rows; other columns are
+    ignored whatever their names.
     """
     measured = measure(docs, F.col(id_col), text_col).withColumnRenamed("row", id_col)
     broken = [F.when(_failed(r), F.lit(r.name)) for r in (*base, *rules)]

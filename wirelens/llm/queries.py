@@ -85,7 +85,17 @@ def _templates_sql(name: str, key: str, source: str) -> str:
         FROM {name}) WHERE len(ts) = 8)"""
 
 
-# the windows of 8 alone: no item of the given benchmark has fewer tokens
+def _literals_sql(name: str) -> str:
+    """CTEs ending in `name`_l (k, pos, lw, n): windows of 13 plain words."""
+    wide = f"""{name}_o AS (SELECT k, lower(c) AS c, row_number() OVER (PARTITION BY k ORDER BY i) AS pos,
+    count(*) OVER (PARTITION BY k) AS n FROM {name}_c WHERE c <> '')"""
+    return f"""{wide},
+{name}_l AS (SELECT k, pos, n, array_to_string(ws, ' ') AS lw FROM (SELECT k, pos, n,
+    list(c) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS ws FROM {name}_o)
+    WHERE len(ws) = 13)"""
+
+
+# no item of the given benchmark has fewer than 8 template tokens or 13 words, so each has whole windows
 @query(f"""WITH {_templates_sql('d', 'doc_id', 'documents')}, {_templates_sql('b', 'item_id', 'benchmark')},
 met AS (SELECT d_w.k AS doc_id, b_w.k AS item_id, d_w.pos - b_w.pos AS diagonal, b_w.pos AS item_p, b_w.n AS item_tokens
     FROM d_w JOIN b_w USING (tw) WHERE b_w.literals >= 4),
@@ -99,13 +109,19 @@ slots AS (SELECT doc_id, item_id, diagonal, count(*) AS n_slots, sum(changed) AS
 judged AS (SELECT doc_id, item_id, matched_tokens, item_tokens, coalesce(n_slots, 0) AS n_slots,
     coalesce(changed_slots, 0) AS changed_slots, coalesce(consistent_slots, 0) AS consistent_slots
     FROM runs LEFT JOIN slots USING (doc_id, item_id, diagonal)
-    WHERE matched_tokens >= least(13, ceil(0.8 * item_tokens)) AND coalesce(consistent_slots >= 0.9 * n_slots, true))
-SELECT doc_id, item_id, matched_tokens::BIGINT AS matched_tokens, item_tokens::BIGINT AS item_tokens, n_slots::BIGINT AS n_slots,
-    changed_slots::BIGINT AS changed_slots, consistent_slots::BIGINT AS consistent_slots FROM judged
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id
-    ORDER BY matched_tokens DESC, consistent_slots DESC, n_slots DESC, changed_slots, item_tokens DESC) = 1""")
+    WHERE matched_tokens >= least(13, ceil(0.8 * item_tokens)) AND coalesce(consistent_slots >= 0.9 * n_slots, true)),
+best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY doc_id, item_id
+    ORDER BY matched_tokens DESC, consistent_slots DESC, n_slots DESC, changed_slots, item_tokens DESC) = 1),
+{_literals_sql('d')}, {_literals_sql('b')},
+same AS (SELECT d_l.k AS doc_id, b_l.k AS item_id, b_l.n AS words, unnest(range(b_l.pos, b_l.pos + 13)) AS pos
+    FROM d_l JOIN b_l USING (lw)),
+copies AS (SELECT doc_id, item_id, words, count(DISTINCT pos) AS matched FROM same GROUP BY ALL)
+SELECT doc_id, item_id, coalesce(matched_tokens, matched)::BIGINT AS matched_tokens, coalesce(item_tokens, words)::BIGINT AS item_tokens,
+    coalesce(n_slots, 0)::BIGINT AS n_slots, coalesce(changed_slots, 0)::BIGINT AS changed_slots,
+    coalesce(consistent_slots, 0)::BIGINT AS consistent_slots, matched_tokens IS NOT NULL AS typed, matched IS NOT NULL AS copied
+FROM best FULL JOIN copies USING (doc_id, item_id)""")
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 _MEASURES = """
@@ -147,12 +163,6 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled pages: a page is bad where its label says low quality or toxic."""
-    labels = table(spark, sf_dir, "labels")
-    return labels.select(F.col("doc_id").alias("page_id"), F.expr("quality = 0 OR toxic = 1").cast("int").alias("bad"))
-
-
 def _rules_sql() -> str:
     fits = []
     for _, rule in URL_RULES:
@@ -165,19 +175,26 @@ def _rules_sql() -> str:
 
 
 def _strength_sql(rows: str, parent: str) -> str:
-    return f"""(SELECT 1 / least(greatest(coalesce(CASE WHEN below > 0 THEN (between_ - within_) / below ELSE 0 END, 0), 0.001), 0.5) - 1 AS s
+    return f"""(SELECT 1 / least(greatest(coalesce(CASE WHEN below > 0 THEN (between_ - within_) / below ELSE 0 END, 0), 0.02), 0.5) - 1 AS s
     FROM (SELECT *, between_ + (typical - 1) * within_ AS below FROM (SELECT
         sum(n * (bad / n - {parent}_bad / {parent}_n) ** 2) / greatest(count(*) - 1, 1) AS between_,
         sum(n * (bad / n) * (1 - bad / n)) / greatest(sum(n) - count(*), 1) AS within_,
         (sum(n) - sum(n * n) / sum(n)) / greatest(count(*) - 1, 1) AS typical FROM {rows})))"""
 
 
-@query(rf"""
-WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''),
+_PAGE_TEXTS = r"""SELECT page_id AS doc_id, replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''),
+    '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM pages"""
+
+
+@query(_MEASURES.replace("WITH ", f"WITH documents AS ({_PAGE_TEXTS}),", 1) + rf""",
+o AS (SELECT doc_id AS page_id, max((n_words < 50 OR n_symbols / n_words > 0.1 OR 100 * n_repeat_words / n_words > 50)::INT) AS bad
+    FROM j GROUP BY doc_id),
+p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM p LEFT JOIN (
-        SELECT doc_id AS page_id, (quality = 0 OR toxic = 1)::INT AS bad FROM labels) USING (page_id) GROUP BY host),
+h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
+    FROM (SELECT DISTINCT page_id, host FROM p) LEFT JOIN o USING (page_id) GROUP BY host),
 b AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare,
         regexp_matches(regexp_replace(host, ':[0-9]*$', ''), '[.](co|com|org|net|ac|gov|edu|or|ne)[.][a-z]{{2}}$') AS two FROM h),
 c AS (SELECT host, n, bad, CASE WHEN two THEN regexp_extract(bare, '([^.]*[.][^.]*)$', 1)
@@ -194,12 +211,13 @@ st AS (SELECT {_strength_sql('l0', 'all')} AS s0, {_strength_sql('l1', 'suffix')
 ms AS (SELECT suffix, (sf.bad + mean * s0) / (sf.n + s0) AS m FROM sf, al, st),
 md AS (SELECT domain, suffix, (dm.bad + m * s1) / (dm.n + s1) AS m FROM dm JOIN ms USING (suffix), st),
 po AS (SELECT host, n, bad, bad + m * s2 AS a, n + s2 AS ab FROM c JOIN md USING (domain, suffix), st),
-bo AS (SELECT host, n, bad, a / ab - 1.645 * sqrt(a / ab * (1 - a / ab) / (ab + 1)) AS bound FROM po)
-SELECT page_id, host, path, rule, coalesce(act, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+bo AS (SELECT host, n, bad, a / ab - 1.645 * sqrt(a / ab * (1 - a / ab) / (ab + 1)) AS bound, (SELECT mean FROM al) AS bad_limit FROM po)
+SELECT page_id, host, path, rule, coalesce(act, CASE WHEN bound > bad_limit THEN 'block' ELSE 'allow' END) AS verdict,
     n::BIGINT AS host_n, bad::BIGINT AS host_bad, round(bound, 6) AS bound
 FROM (SELECT *, {_rules_sql()} FROM p) LEFT JOIN bo USING (host)""")
 def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = host_reputation.judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES)
+    pages = table(spark, sf_dir, "pages")
+    judged = host_reputation.judge(pages, host_reputation.outcomes(pages), URL_RULES)
     return judged.withColumn("bound", F.round("bound", 6))
 
 
