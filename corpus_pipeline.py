@@ -14,33 +14,48 @@ from wirelens.workspace import materialize
 NEAR = jaccard_join.Settings(width=5, num=80, den=100)
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(rows, the column that tells them apart): the id where it does, else a row number, written with the rows."""
+    odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    if not odd.head(1):
+        return docs, "doc_id"
+    return materialize(docs.withColumn("row_of_stage", F.monotonically_increasing_id()), "numbered"), "row_of_stage"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a quality rule go; rows and columns stay as they are."""
+    """Documents that break a quality rule go; rows and columns stay as they are. Null and empty texts break the least
+    length; repeated rows are judged alike; ids are not looked at; texts are read whole; an empty table stays empty."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the least id stays. Rows without an id or
-    without words stay; of rows that repeat an id one stays."""
-    joined = jaccard_join.jaccard_join(docs, NEAR)
-    gone = materialize(joined.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = decontaminate.without(docs, gone)
-    ids = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if ids.head(1):
-        known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = known.unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """Of every group of near duplicates one document stays: that with the least id, a null id last, and of rows that
+    repeat the id one. Every row is a document of its own, so rows that share an id, or have none, stay where their
+    texts differ. Texts without words are no duplicates; an empty table stays empty."""
+    rows, key = told_apart(docs)
+    joined = jaccard_join.jaccard_join(rows, NEAR, key)
+    if key == "doc_id":
+        gone = joined.where("doc_id <> component_id").select("doc_id")
+    else:
+        groups = materialize(joined.select(key, "component_id"), "groups")
+        ranked = groups.join(rows.select(key, "doc_id"), key)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key))
+        kept = ranked.groupBy("component_id").agg(least.alias("least")).select(F.col(f"least.{key}").alias(key))
+        gone = groups.join(kept, key, "left_anti").select(key)
+    return decontaminate.without(rows, gone, key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go, with other values or in other case too."""
-    benchmark = table(spark, sf_dir, "benchmark")
-    found = decontaminate.matches(docs, benchmark).select("doc_id")
-    return decontaminate.without(docs, found.unionByName(decontaminate.copied(docs, benchmark).select("doc_id")))
+    """Documents that hold a passage of a benchmark item go, with other values or in other case too. Rows are judged one
+    by one, also those that share an id or have none; null and empty texts stay; empty tables change nothing."""
+    rows, key = told_apart(docs)
+    found = decontaminate.leaks(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(key)
+    return decontaminate.without(rows, found, key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked in the texts; n_chars follows the masked text."""
+    """Personal data is masked in the texts; n_chars follows the masked text. Rows, ids and other columns stay; null texts
+    stay null with their n_chars; an empty table stays empty."""
     masked = pii.redacted(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -49,7 +64,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text as piece numbers, with the check that they decode to it again."""
+    """Every text as piece numbers, with the check that they decode to it again: one row per input row, whatever its id;
+    null texts are empty; an empty table gives no rows."""
     return transducer.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=True)
 
 
