@@ -5,9 +5,14 @@ phrase becomes active at the first scan by whose start both its shorter ends (al
 first) have reached the threshold, is counted in every scan of the cycle that follows, and is complete after it.
 Scans interleave phrases of all lengths, and the mining ends when every active phrase has completed its cycle.
 
+A word pair is also counted only if its slot in a hash table of all pairs, summed up beforehand, can reach the
+threshold; most pairs of a corpus are rare, and this keeps them out of every shuffle.
+
 Tasks know activity from one table of fixed size per phrase length: the scan at which any phrase of a hash slot
 reached the threshold. Phrases that share a slot may activate others early, which costs counting but changes no
-result: counts are kept by the phrase itself and compared with the threshold at the end.
+result: counts are kept by a 128-bit key of language and words and compared with the threshold at the end. Counted
+phrases carry the keys of their two shorter ends, words also their text, and the texts of the few phrases that
+reach the threshold are spelled from them, length by length.
 """
 
 from __future__ import annotations
@@ -20,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wirelens.workspace import materialize, scratch_path
 
-from .common import slices, text_of
+from . import slot_counts
+from .common import bitmap, bitmaps, in_bitmap, lookup, slices, text_of
 
 PIECE = 4 << 20
 NEVER = 255
@@ -44,12 +50,19 @@ class Settings:
     longest: int = 5  # words
     cover: int = 100  # a candidate goes if a longer one has this percentage of its occurrences
     top: int = 2000  # reported phrases per language
-    shards: int = 4
+    shards: int = 3
     slot_bits: int = 23  # of the activity table per phrase length
+    pair_bits: tuple[int, int] = (20, 28)  # least and most of the table of pairs; about 8 words a slot between them
+    room: int = 1_000_000  # distinct phrases that a task counts before it passes them on
+
+
+#: Two 64-bit numbers per place in a word and byte; the hash of a word is their sum (tabulation hashing).
+_TABLES = [np.array([xxhash.xxh3_64_intdigest(i.to_bytes(2, "little"), seed=seed) for i in range(1 << 14)], np.uint64) for seed in (2, 3)]
+_STEP_A, _STEP_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words:
-    """The words of a block of texts: dictionary, code, language, piece and hash per occurrence."""
+    """The words of a block of texts (`flat`), their language and piece, and the keys of phrases."""
 
     def __init__(self, langs: pa.Array, texts: pa.Array):
         texts = texts.cast(pa.large_binary())
@@ -61,34 +74,43 @@ class Words:
         fresh = np.zeros(len(raw) + 1, bool)
         fresh[at[:-1]] = True
         word = kind == _WORD
-        before, behind = np.append(False, word[:-1]), np.append(word[1:], False)
-        start = np.flatnonzero(word & (~before | fresh[:-1]))
-        end = np.flatnonzero(word & (~behind | fresh[1:])) + 1
-        self.piece = np.cumsum((kind == _BREAK) | fresh[:-1], dtype=np.int32)[start]
-        offsets = np.append(0, np.cumsum(end - start))
-        flat = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])])
-        coded = flat.dictionary_encode()
-        self.words = coded.dictionary.cast(pa.large_string())
-        self.code = coded.indices.to_numpy().astype(np.int64)
+        start = word & fresh[:-1]
+        start[1:] |= word[1:] & ~word[:-1]
+        start = np.flatnonzero(start)
+        end = word & fresh[1:]
+        end[:-1] |= word[:-1] & ~word[1:]
+        if len(word):
+            end[-1] |= word[-1]
+        end = np.flatnonzero(end) + 1
+        breaks = np.flatnonzero((kind == _BREAK) | fresh[:-1])
+        self.piece = np.searchsorted(breaks, start, "right")
+        size = end - start
+        offsets = np.append(0, np.cumsum(size))
+        data = raw[word]
+        self.flat = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data))
         lang = langs.dictionary_encode()
         self.langs = lang.dictionary
-        self.lang = lang.indices.to_numpy().astype(np.int64)[np.searchsorted(at, start, "right") - 1]
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-        lang_hashes = np.array([xxhash.xxh64_intdigest(x or "", seed=1) for x in self.langs.to_pylist()], np.uint64)
-        self.hash = hashes[self.code] if len(hashes) else np.zeros(0, np.uint64)
-        self.lang_hash = lang_hashes[self.lang] if len(lang_hashes) else np.zeros(0, np.uint64)
-        # words of a language, numbered within the block
-        _, self.number = np.unique(self.lang * max(1, len(self.words)) + self.code, return_inverse=True)
-
-    def slots(self, longest: int, bits: int) -> list[np.ndarray]:
-        """Per length from 1, the slot of the phrase at every word (as long as the words go on)."""
-        found, state = [], self.lang_hash.copy()
+        self.lang = lang.indices.to_numpy()[np.searchsorted(at, start, "right") - 1]
+        of_lang = b"".join(xxhash.xxh3_128_digest(x or "", seed=1) for x in self.langs.to_pylist())
+        of_lang = np.frombuffer(of_lang, np.uint64).reshape(-1, 2)
+        self.lang_hashes = [of_lang[self.lang, i] for i in (0, 1)]
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), size)
+        cell = ((place & 63) << 8) + data
+        self.hashes = []
+        for table in _TABLES:
+            values = table[cell]
+            if len(place) and place.max() > 63:  # very long words use the table again, times an odd number
+                values = values * (2 * (place >> 6) + 1).astype(np.uint64)
+            self.hashes.append(np.add.reduceat(values, offsets[:-1]) if len(start) else values)
+
+    def keys(self, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per length from 1, two 64-bit halves of the key of the phrase at every word (as long as the words go on)."""
+        found, a, b = [], *self.lang_hashes
         for length in range(1, longest + 1):
-            n = max(0, len(self.code) - length + 1)
-            state = state[:n] * np.uint64(0x9E3779B97F4A7C15) + self.hash[length - 1:length - 1 + n]
-            mixed = (state ^ (state >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            found.append((mixed >> np.uint64(64 - bits)).astype(np.int32))
+            n = max(0, len(self.flat) - length + 1)
+            a = _scrambled(a[:n] * _STEP_A + self.hashes[0][length - 1:length - 1 + n])
+            b = _scrambled(b[:n] * _STEP_B + self.hashes[1][length - 1:length - 1 + n])
+            found.append((a, b))
         return found
 
     def inside(self, length: int) -> np.ndarray:
@@ -97,73 +119,128 @@ class Words:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.piece[:len(self.piece) - length + 1] == self.piece[length - 1:])
 
-    def counted(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(one place of each distinct phrase, its occurrences) of the phrases that begin at these words."""
-        size = int(self.number.max()) + 1 if len(self.number) else 1
-        key = self.number[at]
-        for more in range(1, length):  # compact numbers, so that products fit 64 bits
-            if more > 1:
-                _, key = np.unique(key, return_inverse=True)
-            key = key * size + self.number[at + more]
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-        return at[first], n
-
     def phrases(self, at: np.ndarray, length: int) -> pa.Array:
-        parts = [self.words.take(pa.array(self.code[at + k])) for k in range(length)]
+        parts = [self.flat.take(pa.array(at + k)) for k in range(length)]
         return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if length > 1 else parts[0]
 
 
-def scan_block(block: Words, scan: int, stamps: list[np.ndarray | None], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Rows (birth, len, lang, phrase, slot, n) of the phrases that this scan counts."""
-    slots = block.slots(s.longest, s.slot_bits)
-    for length in range(1, s.longest + 1):
-        if length == 1:
-            if scan >= s.shards:
-                continue
-            at, births = np.arange(len(block.code)), None
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+@dataclass
+class Activity:
+    """What a task knows of a scan: per length the scan at which a slot reached the threshold, and the slots of pairs that
+    may reach it (packed bits)."""
+
+    scan: int
+    stamps: list[np.ndarray | None]
+    pairs: np.ndarray
+    pair_bits: int
+
+
+def active(block: Words, keys: list[tuple[np.ndarray, np.ndarray]], length: int, known: Activity, s: Settings
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, births) of the phrases of a length that this scan counts."""
+    scan, stamps = known.scan, known.stamps
+    if length == 1:
+        return np.arange(len(block.flat) if scan < s.shards else 0), np.zeros(len(block.flat), np.int32)
+    reached = stamps[length - 2]
+    if reached is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    at = block.inside(length)
+    if length == 2:
+        at = at[in_bitmap(known.pairs, keys[1][0][at], known.pair_bits)]
+    ends = reached[_slots(keys[length - 2][0], s.slot_bits)]
+    born = np.maximum(ends[at], ends[at + 1]).astype(np.int32)
+    use = (born <= scan) & (scan < born + s.shards)
+    return at[use], born[use]
+
+
+_IDENTITY = ["a", "b", "kind", "head", "tail", "lang", "word"]
+_COUNTED = "a long, b long, kind int, head long, tail long, lang string, word string, n long"
+
+
+class _Sums:
+    """Counts of phrases by key, merged until `room` is full: rows of _COUNTED with kind = birth * 8 + length. Words come
+    with their language and text, longer phrases with the keys of their ends."""
+
+    def __init__(self, room: int, words: bool):
+        self.room, self.words, self.held, self.size = room, words, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, kind: np.ndarray, head, tail) -> Iterator[pa.RecordBatch]:
+        """`head` and `tail` are keys, for words Arrow arrays of languages and texts."""
+        _, at, n = np.unique(a, return_index=True, return_counts=True)
+        ends = [x.take(pa.array(at)) if self.words else x[at] for x in (head, tail)]
+        self.held.append((a[at], b[at], kind[at], *ends, n))
+        self.size += len(at)
+        if self.size > self.room:
+            self.merge()
+            if 2 * self.size > self.room:
+                yield from self.flush()
+
+    def merge(self) -> None:
+        a, b, kind, head, tail, n = zip(*self.held, strict=True)
+        a, b, kind, n = (np.concatenate(c) for c in (a, b, kind, n))
+        _, at, of = np.unique(a, return_index=True, return_inverse=True)
+        if self.words:
+            ends = [pa.chunked_array(x).combine_chunks().take(pa.array(at)) for x in (head, tail)]
         else:
-            reached = stamps[length - 2]
-            if reached is None:
-                continue
-            at = block.inside(length)
-            ends = reached[slots[length - 2]]
-            born = np.maximum(ends[at], ends[at + 1]).astype(np.int32)
-            use = (born <= scan) & (scan < born + s.shards)
-            at = at[use]
-        if not len(at):
-            continue
-        first, n = block.counted(at, length)
-        births = np.zeros(len(first), np.int32) if length == 1 else np.maximum(ends[first], ends[first + 1]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(births), pa.array(np.full(len(first), length, np.int32)),
-            block.langs.take(pa.array(block.lang[first])).cast(pa.string()), block.phrases(first, length).cast(pa.string()),
-            pa.array(slots[length - 1][first]), pa.array(n),
-        ], names=["birth", "len", "lang", "phrase", "slot", "n"])
+            ends = [np.concatenate(x)[at] for x in (head, tail)]
+        self.held = [(a[at], b[at], kind[at], *ends, np.bincount(of, weights=n).astype(np.int64))]
+        self.size = len(at)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.merge()
+            a, b, kind, head, tail, n = self.held[0]
+            none, zero = pa.nulls(len(a), pa.string()), pa.array(np.zeros(len(a), np.int64))
+            if self.words:
+                ends = [zero, zero, head.cast(pa.string()), tail.cast(pa.string())]
+            else:
+                ends = [pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)), none, none]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(kind), *ends, pa.array(n)],
+                names=[c.split()[0] for c in _COUNTED.split(", ")])
+        self.held, self.size = [], 0
+
+
+def likely_pairs(texts: DataFrame, bits: int, s: Settings) -> np.ndarray:
+    """Packed bits of the slots whose pairs occur `least` times or more together."""
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        block = Words(batch.column(0), batch.column(1))
+        return block.keys(2)[1][0][block.inside(2)]
+
+    return slot_counts.likely(texts, keys, bits, s.least, s.room, PIECE)
+
+
+def _promising(counts: DataFrame, s: Settings) -> DataFrame:
+    """The rows of counted phrases that may have `least` occurrences in their cycle: in one of its scans such a phrase has
+    at least `least` / `shards`. Most rows fall away before they are shuffled."""
+    some = counts.where(F.col("n") >= -(-s.least // s.shards)).select(F.col("a").alias("key"))
+    known = counts.sparkSession.sparkContext.broadcast(bitmap(some, s.slot_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(in_bitmap(known.value, keys, s.slot_bits)))
+
+    return counts.mapInArrow(run, counts.schema)
 
 
 def _slots_reached(counts: DataFrame, s: Settings) -> list[np.ndarray | None]:
-    """Per length below the longest, the marked slots of phrases that have reached the threshold.
+    """Per length below the longest, a table that marks the slots of phrases that have reached the threshold.
 
     The bitmaps come in pieces of 4 KB: at most 2 ** slot_bits / 8 bytes a length, whatever the counts hold."""
-    reached = counts.groupBy("len", "lang", "phrase", "slot").agg(F.sum("n").alias("n")).where(
-        (F.col("n") >= s.least) & (F.col("len") < s.longest))
-    rows = reached.groupBy("len", F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    found: list[np.ndarray | None] = [None] * (s.longest - 1)
-    for r in rows:
-        if found[r.len - 1] is None:
-            found[r.len - 1] = np.zeros(1 << s.slot_bits, bool)
-        # buckets count from 1 (bucket 0 holds position 0 of non-positive numbers alone)
-        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little").astype(bool)
-        _mark(found[r.len - 1], r.bucket, bits)
-    return found
-
-
-def _mark(table: np.ndarray, bucket: int, bits: np.ndarray) -> None:
-    """Number v > 0 is bit (v - 1) % 32768 of bucket 1 + (v - 1) / 32768; 0 is bit 0 of bucket 0."""
-    where = np.flatnonzero(bits)
-    numbers = where + (bucket - 1) * len(bits) + 1 if bucket > 0 else -where
-    table[numbers] = True
+    reached = _promising(counts.select("a", "b", "kind", "n"), s).groupBy("a", "b", "kind").agg(F.sum("n").alias("n"))
+    reached = reached.where(F.col("n") >= s.least).select((F.col("kind") % 8).alias("of"), F.col("a").alias("key"))
+    marked = bitmaps(reached, s.slot_bits)
+    return [np.unpackbits(marked[size], bitorder="little").astype(bool) if size in marked else None for size in range(1, s.longest)]
 
 
 def phrase_counts(docs: DataFrame, settings: Settings = Settings(), lang_col: str = "lang", text_col: str = "text"
@@ -173,37 +250,70 @@ def phrase_counts(docs: DataFrame, settings: Settings = Settings(), lang_col: st
     path = scratch_path(spark, "shards")
     shard = F.pmod(F.monotonically_increasing_id(), F.lit(s.shards)).cast("int").alias("shard")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    docs.select(lang, text_of(text_col).alias("text"), shard).write.partitionBy("shard").parquet(path)
+    seen = Observation()
+    docs.select(lang, text_of(text_col).alias("text"), shard).observe(
+        seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).write.partitionBy("shard").parquet(path)
+    bits = int(np.clip(np.ceil(np.log2(seen.get["bytes"] / 48 + 1)), *s.pair_bits))  # 6 bytes a word, 8 words a slot
     shards = spark.read.schema("lang string, text string, shard int").parquet(path)
     stamps = [np.full(1 << s.slot_bits, NEVER, np.uint8) for _ in range(s.longest - 1)]
     scans: list[DataFrame] = []
+    pairs = likely_pairs(shards.select("lang", "text"), bits, s)
     while True:
         scan = len(scans)
         if scan >= NEVER:
             raise RuntimeError("more scans than cycles of all lengths take")  # longest * shards of them suffice
-        known = spark.sparkContext.broadcast([x if (x < NEVER).any() else None for x in stamps])
+        known = spark.sparkContext.broadcast(Activity(scan, [x if (x < NEVER).any() else None for x in stamps], pairs, bits))
 
-        def run(batches: Iterator[pa.RecordBatch], known=known, scan=scan) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            words, phrases = _Sums(s.room, True), _Sums(s.room, False)
             for batch in slices(batches, 1, PIECE):
-                yield from scan_block(Words(batch.column(0), batch.column(1)), scan, known.value, s)
-
-        found = shards.where(F.col("shard") == scan % s.shards).select("lang", "text").mapInArrow(
-            run, "birth int, len int, lang string, phrase string, slot int, n long")
-        found = found.groupBy("birth", "len", "lang", "phrase", "slot").agg(F.sum("n").alias("n"))
-        scans.append(materialize(found, "scan"))
+                block = Words(batch.column(0), batch.column(1))
+                keys = block.keys(s.longest)
+                for length in range(1, s.longest + 1):
+                    at, births = active(block, keys, length, known.value, s)
+                    if not len(at):
+                        continue
+                    own = [k[at] for k in keys[length - 1]] + [births * 8 + length]
+                    if length == 1:
+                        yield from words.add(*own, block.langs.take(pa.array(block.lang)), block.flat)
+                    else:
+                        ends = keys[length - 2][0]
+                        yield from phrases.add(*own, ends[at], ends[at + 1])
+            yield from words.flush()
+            yield from phrases.flush()
+
+        found = shards.where(F.col("shard") == scan % s.shards).select("lang", "text").mapInArrow(run, _COUNTED)
+        scans.append(materialize(found.groupBy(*_IDENTITY).agg(F.sum("n").alias("n")), "scan"))
         known.destroy()
         # phrases whose cycle is not over before this scan; the others were compared when they completed
-        recent = _union(scans[-s.shards:]).where(F.col("birth") > scan - s.shards)
+        recent = _union(scans[-s.shards:]).where(F.col("kind") >= 8 * (scan - s.shards + 1))
         for stamp, marked in zip(stamps, _slots_reached(recent, s), strict=True):
             if marked is not None:
                 stamp[marked & (stamp == NEVER)] = scan + 1
-        last = max(int(x[x < NEVER].max(initial=0)) for x in stamps) if stamps else 0
+        last = max((int(x[x < NEVER].max(initial=0)) for x in stamps), default=0)
         if scan + 1 >= s.shards and last <= scan + 1 - s.shards:
             break
     whole = _union(scans)
-    totals = whole.where("len = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = whole.groupBy("len", "lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= s.least)
-    return materialize(counts, "phrases"), materialize(totals, "totals")
+    totals = whole.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    counts = _promising(whole, s).groupBy(*_IDENTITY).agg(F.sum("n").alias("n")).where(F.col("n") >= s.least)
+    counts = materialize(counts.withColumn("len", F.col("kind") % 8), "counts")
+    return materialize(_spelled(counts, s), "phrases"), materialize(totals, "totals")
+
+
+def _spelled(counts: DataFrame, s: Settings) -> DataFrame:
+    """Counted phrases -> (len, lang, phrase, a): a phrase is its head and the last word of its tail. Every end of a
+    phrase with `least` occurrences has as many and is among the counts."""
+    shorter = counts.where("len = 1").select("a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n")
+    found = [shorter.select(F.lit(1).alias("len"), "lang", "phrase", F.col("n").alias("a"))]
+    for length in range(2, s.longest + 1):
+        own = counts.where(F.col("len") == length).select("a", "head", "tail", "n")
+        for end, columns in (("head", ["lang", "phrase"]), ("tail", ["last"])):
+            asked = own.groupBy(end).agg(F.count("*").alias("asked"))
+            ends = shorter.select(F.col("a").alias(end), *columns).join(asked, end)
+            own = lookup(own, materialize(ends, "ends"), end, "asked").select(*own.columns, *[f"found.{c}" for c in columns])
+        shorter = materialize(own.select("a", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "n"), "spelled")
+        found.append(shorter.select(F.lit(length).alias("len"), "lang", "phrase", F.col("n").alias("a")))
+    return _union(found)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
