@@ -113,3 +113,32 @@ def test_balanced_sample(spark):
     sample = splitting.balanced_sample(df, "y", ["id"], 100)
     counts = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     assert counts == {0: 50, 1: 30}
+
+
+@pytest.mark.parametrize("digits,room", [(3, 100_000), (1, 3), (2, 1)])
+def test_cuts_are_refined_until_small(spark, digits, room):
+    rows = [(g, i % 700) for g, n in (("a", 900), ("b", 40), (None, 7)) for i in range(n)]  # keys that repeat
+    df = spark.createDataFrame(rows, "g string, k int").withColumn("h", ranking.row_hash("k", seed=1))
+    size = F.col("size")
+    got = {r.g: r for r in ranking.hash_cuts(df, ["g"], "h", [size / 3, size - 2, F.lit(0)], digits, room).collect()}
+    found = {}
+    for r in df.collect():
+        found.setdefault(r.g, []).append(r.h)
+    for g, hashes in found.items():
+        hashes.sort()
+        ranks = [int(len(hashes) / 3), len(hashes) - 2]
+        assert [got[g].cut_0, got[g].cut_1, got[g].cut_2] == [*(hashes[k - 1] for k in ranks), None]
+
+
+def test_running_sums_do_not_grow_the_plan(spark):
+    df = spark.range(5000).selectExpr("id * 7 % 5003 AS score", "id % 3 AS n")
+    sizes = []
+    for slices in (2, 40):
+        out = ranking.running_sums(df, "score", ["n"], descending=True, slices=slices)
+        rows = sorted(((r.score, r.n, r.cum_n) for r in out.collect()), reverse=True)
+        total = 0
+        for _, n, cum in rows:
+            total += n
+            assert cum == total
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(sizes[0] - sizes[1]) < 400

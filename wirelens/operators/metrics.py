@@ -33,7 +33,11 @@ def confusion_counts(df: DataFrame, true: str, predicted: str) -> DataFrame:
 
 def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
     """(y_true, y_pred, n) over the sorted union of classes, zero where no row falls."""
-    counts = confusion_counts(df, true, predicted)
+    return whole_matrix(confusion_counts(df, true, predicted))
+
+
+def whole_matrix(counts: DataFrame) -> DataFrame:
+    """Confusion counts completed by zeros; as many rows as classes squared."""
     grid = counts.agg(
         F.array_sort(F.array_union(F.collect_set("y_true"), F.collect_set("y_pred"))).alias("c")
     ).select(F.explode("c").alias("y_true"), "c").select("y_true", F.explode("c").alias("y_pred"))
@@ -44,7 +48,10 @@ def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
 
 def class_report(df: DataFrame, true: str, predicted: str) -> DataFrame:
     """Per class: support, precision, recall, f1; 0 where a denominator is 0."""
-    counts = confusion_counts(df, true, predicted)
+    return report_of(confusion_counts(df, true, predicted))
+
+
+def report_of(counts: DataFrame) -> DataFrame:
     cells = counts.select(F.inline(F.array(
         F.struct(F.col("y_true").alias("class"), F.col("n").alias("support"),
                  F.lit(0).cast("long").alias("guessed"),
@@ -69,8 +76,11 @@ def class_report(df: DataFrame, true: str, predicted: str) -> DataFrame:
 
 
 def averaged_report(df: DataFrame, true: str, predicted: str) -> DataFrame:
-    per_class = class_report(df, true, predicted)
-    return per_class.agg(*[
+    return averages_of(confusion_counts(df, true, predicted))
+
+
+def averages_of(counts: DataFrame) -> DataFrame:
+    return report_of(counts).agg(*[
         expr
         for m in ("precision", "recall", "f1")
         for expr in (
@@ -90,24 +100,25 @@ def false_positive_rate(true: Column, predicted: Column) -> Column:
     return F.coalesce(F.try_divide(wrong, F.count_if(~true)), F.lit(0.0))
 
 
-def _score_counts(df: DataFrame, true: Column, score: Column, by: list[str]) -> DataFrame:
-    rows = df.select(*by, true.cast("long").alias("_pos"), score.alias("score"))
+def _score_counts(df: DataFrame, true: Column, score: Column, by: list[str], weight: Column) -> DataFrame:
+    rows = df.select(*by, true.cast("long").alias("_pos"), score.alias("score"), weight.alias("_weight"))
     return rows.groupBy(*by, "score").agg(
-        F.sum("_pos").alias("pos"), F.sum(1 - F.col("_pos")).alias("neg")
+        F.sum(F.col("_pos") * F.col("_weight")).alias("pos"), F.sum((1 - F.col("_pos")) * F.col("_weight")).alias("neg")
     )
 
 
 def ranking_areas(
     df: DataFrame, true: Column, score: Column, by: list[str] | None = None,
-    slices: int | None = None,
+    slices: int | None = None, weight: Column | None = None,
 ) -> DataFrame:
     """ROC and precision-recall areas (trapezoid, ties averaged); 0 for a single class.
 
-    Rows are counted per score, then running sums over score slices give all curve points.
+    Rows (each standing for `weight` ones) are counted per score, then running sums over score slices give all curve
+    points.
     """
     by = by or []
     # the rows are read once: everything below works on one row per distinct score
-    counts = materialize(_score_counts(df, true, score, by), "scores")
+    counts = materialize(_score_counts(df, true, score, by, F.lit(1) if weight is None else weight), "scores")
     curve = running_sums(counts, "score", ["pos", "neg"], by, descending=True, slices=slices)
     c = F.col
     before_pos, before_neg = c("cum_pos") - c("pos"), c("cum_neg") - c("neg")
@@ -166,16 +177,24 @@ def evaluate(
     latency_ms: float = 0.0,
     class_names: list[str] | None = None,
 ) -> DataFrame:
-    """The whole report as one row; `score` grows with the chance of an attack."""
-    attack = F.col(true) != benign_idx
-    guessed = F.col(predicted) != benign_idx
-    first = df.agg(
-        accuracy(true, predicted).alias("accuracy"),
-        false_positive_rate(attack, guessed).alias("false_positive_rate"),
+    """The whole report as one row; `score` grows with the chance of an attack. The rows are read once and counted by
+    class, guess and score; everything else is made of these counts."""
+    cells = df.select(F.col(true).alias("y_true"), F.col(predicted).alias("y_pred"), score.alias("score"))
+    cells = materialize(cells.groupBy("y_true", "y_pred", "score").agg(F.count(F.lit(1)).alias("n")), "cells")
+    counts = cells.groupBy("y_true", "y_pred").agg(F.sum("n").alias("n"))
+    attack, guessed = F.col("y_true") != benign_idx, F.col("y_pred") != benign_idx
+    n, right = F.col("n"), F.col("y_true") == F.col("y_pred")
+
+    def total(rows: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rows, n)), F.lit(0))
+
+    first = counts.agg(
+        F.try_divide(total(right).cast("double"), total(right.isNotNull())).alias("accuracy"),
+        F.coalesce(F.try_divide(total(~attack & guessed), total(~attack)), F.lit(0.0)).alias("false_positive_rate"),
     )
-    averages = averaged_report(df, true, predicted)
-    areas = ranking_areas(df, attack, score)
-    matrix = confusion(df, true, predicted).agg(
+    averages = averages_of(counts)
+    areas = ranking_areas(cells, attack, F.col("score"), weight=n)
+    matrix = whole_matrix(counts).agg(
         F.array_sort(F.collect_list(F.struct("y_true", "y_pred", "n"))).alias("m")
     )
     out = (

@@ -141,52 +141,59 @@ def _hash_bucket(hashed: str, digits: int) -> Column:
 
 
 def hash_cuts(
-    df: DataFrame, group: list[str], hashed: str, cuts: list[Column], digits: int = HEX_DIGITS
+    df: DataFrame, group: list[str], hashed: str, cuts: list[Column], digits: int = HEX_DIGITS, room: int = 100_000
 ) -> DataFrame:
     """Per group, the hash of the row that has rank `cut` for every wanted cut (null if cut < 1).
 
-    `cuts` are expressions over a column `size`, the group's row count. One pass counts hash
-    prefixes, a second one ranks only the rows whose prefix holds a cut.
+    `cuts` are expressions over a column `size`, the group's row count. A radix selection: rows are counted by
+    the first digits of their hash, then only those whose digits hold a cut by more digits, until such a part
+    has `room` rows or fewer; these are ranked. Every step but the first reads a 16 ** digits-th of the rows.
     """
-    bucketed = df.select(*group, F.col(hashed), _hash_bucket(hashed, digits).alias("_bucket"))
-    counts = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    by_bucket = Window.partitionBy(*group).orderBy("_bucket")
-    counts = counts.withColumn(
-        "_upto", F.sum("_rows").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("size", F.sum("_rows").over(Window.partitionBy(*group)))
-    wanted = F.filter(
-        F.array(*[
-            F.struct(F.lit(i).alias("cut"), c.cast("long").alias("rank"))
-            for i, c in enumerate(cuts)
-        ]),
-        lambda w: (w["rank"] <= F.col("_upto")) & (w["rank"] > F.col("_upto") - F.col("_rows")),
-    )
-    holding = (
-        counts.withColumn("_wanted", wanted)
-        .where(F.size("_wanted") > 0)
-        .select(*group, "_bucket", "_wanted", (F.col("_upto") - F.col("_rows")).alias("_before"))
-    )
-    named = small(holding.withColumnsRenamed({g: f"_of_{g}" for g in [*group, "_bucket"]}))
-    same = F.col("_bucket") == F.col("_of__bucket")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    rows = df.select(*group, F.col(hashed))
+    length = digits
+    counts = rows.groupBy(*group, _hash_bucket(hashed, length).alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*group)
+    upto = F.sum("_rows").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_upto", upto).withColumn("size", F.sum("_rows").over(whole))
+    wanted = F.array(*[F.struct(F.lit(i).alias("cut"), c.cast("long").alias("rank")) for i, c in enumerate(cuts)])
+
+    def hit(among: Column) -> Column:
+        return F.filter(
+            among, lambda w: (w["rank"] <= F.col("_upto")) & (w["rank"] > F.col("_upto") - F.col("_rows")))
+
+    def holding(counted: DataFrame, among: Column) -> DataFrame:
+        held = counted.withColumn("_wanted", hit(among)).where(F.size("_wanted") > 0)
+        return small(held.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_bucket").alias("_of__bucket"),
+                                 "_wanted", "_rows", (F.col("_upto") - F.col("_rows")).alias("_before")))
+
+    def inside(held: DataFrame) -> DataFrame:
+        """The rows of the parts that hold a cut."""
+        same = _hash_bucket(hashed, length) == F.col("_of__bucket")
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+        return rows.join(held.drop("_rows"), same)
+
+    held = holding(counts, wanted)
+    longest = 32  # digits of a row hash
+    while length < longest and (held.agg(F.max("_rows")).head()[0] or 0) > room:
+        near = inside(held)
+        length = min(longest, length + digits)
+        finer = near.groupBy(*group, "_of__bucket", _hash_bucket(hashed, length).alias("_bucket")).agg(
+            F.count(F.lit(1)).alias("_rows"), F.first("_wanted").alias("_wanted"), F.first("_before").alias("_before"))
+        inner = Window.partitionBy(*group, "_of__bucket").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+        finer = finer.withColumn("_upto", F.col("_before") + F.sum("_rows").over(inner)).drop("_of__bucket", "_before")
+        held = holding(finer, F.col("_wanted"))
     near = (
-        bucketed.join(named, same)
-        .groupBy(*group, "_bucket", hashed)
+        inside(held).groupBy(*group, "_of__bucket", hashed)
         .agg(F.count(F.lit(1)).alias("_rows"), F.first("_wanted").alias("_wanted"),
              F.first("_before").alias("_before"))
     )
-    by_hash = Window.partitionBy(*group, "_bucket").orderBy(hashed)
+    by_hash = Window.partitionBy(*group, "_of__bucket").orderBy(hashed)
     near = near.withColumn(
         "_upto",
         F.col("_before") + F.sum("_rows").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)),
     )
-    hits = near.select(
-        *group, hashed, F.explode(F.filter(
-            "_wanted",
-            lambda w: (w["rank"] <= F.col("_upto")) & (w["rank"] > F.col("_upto") - F.col("_rows")),
-        )).alias("_hit"),
-    )
+    hits = near.select(*group, hashed, F.explode(hit(F.col("_wanted"))).alias("_hit"))
     return hits.groupBy(*group).agg(
         *[
             F.max(F.when(F.col("_hit.cut") == i, F.col(hashed))).alias(f"cut_{i}")
@@ -239,26 +246,14 @@ def running_sums(
 ) -> DataFrame:
     """Cumulative sums of `sums` in the order of `key` within `by`, for rows with distinct keys.
 
-    The order is cut at approximate quantiles of all keys, so no slice (nor any part of it that
-    one `by` group holds) has many rows; slice totals are added up first and handed to the slices.
+    Rows are dealt to ranges of the key and written with the number of their range, so no range (nor any part of
+    it that one `by` group holds) has many rows and the plan does not grow with their number; the totals of
+    the ranges are added up first and handed to them.
     """
     by = by or []
     slices = slices or slices_for(df.count())
-    shares = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(key, shares, 10_000).alias("e")).first()["e"] if shares else []
-    edges = sorted(set(found or []))
-
-    def slice_of(low: int, high: int) -> Column:
-        """Number of edges at or below the key, by halving: a short chain of comparisons."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col(key) < edges[middle], slice_of(low, middle)).otherwise(
-            slice_of(middle + 1, high)
-        )
-
-    above = slice_of(0, len(edges))
-    cut = df.withColumn("_slice", -above if descending else above)
+    ordered = F.col(key).desc() if descending else F.col(key).asc()
+    cut = materialize(df.repartitionByRange(slices, ordered).withColumn("_slice", F.spark_partition_id()), "ranges")
     totals = cut.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_total_{s}") for s in sums])
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(

@@ -465,6 +465,25 @@ def stratified_split(spark, d):
     )
 
 
+@query(f"""{Q.ALL_FLOWS},
+lone AS (SELECT flow_key, {Q.hash_of('flow_key')} AS h,
+  CASE WHEN flow_key = (SELECT min(flow_key) FROM flows) THEN 'Lone' ELSE label END AS label FROM flows),
+first AS (SELECT *, rank() OVER (ORDER BY h) AS r, count(*) OVER () AS size FROM lone),
+rest AS (SELECT *, count(*) OVER (PARTITION BY label) AS own FROM first
+  WHERE r > size - CAST(ceil(round(size * 0.3::DOUBLE, 6)) AS BIGINT)),
+strata AS (SELECT flow_key, label, h, CASE WHEN (SELECT min(own) FROM rest) >= 2 THEN label ELSE '' END AS stratum FROM rest),
+second AS (SELECT *, rank() OVER (PARTITION BY stratum ORDER BY h) AS q, count(*) OVER (PARTITION BY stratum) AS held FROM strata)
+SELECT flow_key, first.label, CASE WHEN q IS NULL THEN 'train'
+  WHEN q <= held - CAST(ceil(round(held * 0.5::DOUBLE, 6)) AS BIGINT) THEN 'validation' ELSE 'test' END AS split
+FROM first LEFT JOIN second USING (flow_key)""")
+def split_lone_class(spark, d):
+    """A class of one row cannot be held out by share: all rows are one stratum then."""
+    rows = V.flows(spark, d).select("flow_key", "label")
+    lone = rows.agg(F.min("flow_key")).head()[0]
+    return splitting.split(
+        rows.withColumn("label", F.when(F.col("flow_key") == lone, "Lone").otherwise(F.col("label"))), "label", ["flow_key"], seed=SEED)
+
+
 @query(f"""{Q.ALL_FLOWS}
 SELECT flow_key, y FROM (
   SELECT *, row_number() OVER (PARTITION BY y ORDER BY {Q.hash_of('flow_key')}) AS r
