@@ -36,7 +36,7 @@ PAGE_RULES = (
 @dataclass(frozen=True)
 class Settings:
     lift: float = 1.0  # block where the lower bound is above this many times the rate of all pages
-    z: float = 1.645  # one-sided 95 %
+    z: float = 1.282  # one-sided 90 %
     least_correlation: float = 0.02  # prior strength at most 49 pages
     most_correlation: float = 0.5  # and at least 1
 

@@ -211,7 +211,7 @@ st AS (SELECT {_strength_sql('l0', 'all')} AS s0, {_strength_sql('l1', 'suffix')
 ms AS (SELECT suffix, (sf.bad + mean * s0) / (sf.n + s0) AS m FROM sf, al, st),
 md AS (SELECT domain, suffix, (dm.bad + m * s1) / (dm.n + s1) AS m FROM dm JOIN ms USING (suffix), st),
 po AS (SELECT host, n, bad, bad + m * s2 AS a, n + s2 AS ab FROM c JOIN md USING (domain, suffix), st),
-bo AS (SELECT host, n, bad, a / ab - 1.645 * sqrt(a / ab * (1 - a / ab) / (ab + 1)) AS bound, (SELECT mean FROM al) AS bad_limit FROM po)
+bo AS (SELECT host, n, bad, a / ab - 1.282 * sqrt(a / ab * (1 - a / ab) / (ab + 1)) AS bound, (SELECT mean FROM al) AS bad_limit FROM po)
 SELECT page_id, host, path, rule, coalesce(act, CASE WHEN bound > bad_limit THEN 'block' ELSE 'allow' END) AS verdict,
     n::BIGINT AS host_n, bad::BIGINT AS host_bad, round(bound, 6) AS bound
 FROM (SELECT *, {_rules_sql()} FROM p) LEFT JOIN bo USING (host)""")
