@@ -92,8 +92,8 @@ class Brute:
             if len(q) > 1 and n >= s.least_next and self.n[q[:-1]] >= s.least_context:
                 self.after[q[:-1]][q[-1]] = n
         self.kept = set()
-        for c in self.after:
-            if self.diverges(c):
+        for c in list(self.after):
+            if c in self.after and self.diverges(c):
                 self.kept |= {c[i:] for i in range(len(c))}
 
     def root(self, w):
@@ -123,12 +123,12 @@ class Brute:
         return self.root(w)
 
 
-SMALL = suffix_tree.Settings(least_context=6, bits=18, room=50)
+SMALL = suffix_tree.Settings(least_context=6, least_next=2, bits=18, room=50)
 
 
 @pytest.mark.parametrize("settings", [
     SMALL, replace(SMALL, shared_words=3, shared_contexts=2, shared_next=5), replace(SMALL, shared_words=0, shared_contexts=0, shared_next=0, bits=16),
-    replace(SMALL, shared_contexts=0, depth=2, least_context=12)])
+    replace(SMALL, shared_contexts=0, depth=2, least_context=12, least_next=3), replace(SMALL, shared_next=40, shared_contexts=12)])
 def test_suffix_tree(spark, settings):
     docs, rows = training(spark)
     got = suffix_tree.fit_and_score(docs, settings=settings).collect()
@@ -177,7 +177,7 @@ def test_rare_contexts_stay_in_large_corpora(spark):
     for size in (200, 6000):
         draw = random.Random(3)
         texts = [" ".join(draw.choices("abcdefghijklmnop", k=30)) for _ in range(size)] + [passage] * 20
-        tree = suffix_tree.fit(spark.createDataFrame([(t,) for t in texts], "text string"), replace(SMALL, least_context=10))
+        tree = suffix_tree.fit(spark.createDataFrame([(t,) for t in texts], "text string"))  # as in the query
         kept.append({r.key for r in tree.contexts.collect()})
     keys = [np.array([suffix_tree.word_key(w)]).view(np.uint64) for w in passage.split()]
     for i in range(len(keys) - 3):

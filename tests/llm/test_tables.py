@@ -71,6 +71,21 @@ def test_jaccard_odd_rows(spark):
     assert not jaccard_join.jaccard_join(odd_docs(spark).limit(0)).head(1)
 
 
+def test_jaccard_text_ids(spark):
+    texts = near_copies(11, groups=5, copies=6) * 2 + ODD
+    rows = [(f"id {i * 7 % 997:03d}", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, (None, texts[0])], "doc_id string, text string")
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(docs).collect()}
+    want = brute_components(rows, 3, 90, 100)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items() if i is not None} == want
+    assert got[None].component_id is None
+    classes = {}
+    for i, t in rows:
+        classes.setdefault(frozenset(zip(*[words(t)[k:] for k in range(3)], strict=False)) or words(t)[:2] and tuple(words(t)) or i, []).append(i)
+    for ids in classes.values():
+        assert {got[i].class_id for i in ids} == {min(ids)}
+
+
 def test_parts_never_lose_a_pair():
     draw = np.random.default_rng(1)
     settings = jaccard_join.Settings(num=80)

@@ -3,10 +3,11 @@
 Contexts are the last one to `depth` words (the start of a text counts as one). Every context with at least
 `least_context` occurrences, a number that does not change with the corpus, is a candidate; it is retained if
 its next-word distribution differs from that of its suffix (divergence test) or a longer retained context ends
-in it. Next words seen twice or more behind a candidate are explicit; absolute discounting gives the rest of
+in it. Next words seen `least_next` times or more behind a candidate are explicit; absolute discounting gives the rest of
 the mass to the suffix, down to the smoothed word distribution. A word is scored in the longest retained suffix
 of its history.
 
+Pairs of words are counted in a table of slots first, so that the many rare ones are never shuffled.
 Words, contexts and next words are Spark tables, keyed by 64-bit hashes of their words (two of them collide
 with a chance of about n * n / 2 ** 65; word counts are kept by the word itself). Tasks hold the most frequent
 states, up to a fixed number, and bitmaps of fixed size that say which others may exist. Tokens that these
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from wirelens.workspace import materialize
 
+from . import slot_counts
 from .common import bitmap, in_bitmap, lookup, slices
 
 END = "\n"  # the token behind a text's last word; no word holds a line end
@@ -40,15 +42,16 @@ PIECE = 2 << 20
 @dataclass(frozen=True)
 class Settings:
     depth: int = 3  # words in the longest context
-    least_context: int = 10  # occurrences of a context that may be retained
-    least_next: int = 2  # occurrences of a next word that is held explicitly
+    least_context: int = 20  # occurrences of a context that may be retained
+    least_next: int = 4  # occurrences of a next word that is held explicitly
     least_divergence: float = 0.02  # nats
     discount: float = 0.5
     added: float = 0.1  # to every word count
     bits: int = 27  # of a bitmap: 16 MB
-    shared_words: int = 1 << 17
-    shared_contexts: int = 1 << 18
-    shared_next: int = 1 << 20
+    pair_bits: tuple[int, int] = (20, 28)  # least and most of the table of pairs, else one slot a token
+    shared_words: int = 1 << 19
+    shared_contexts: int = 1 << 19
+    shared_next: int = 1 << 21
     room: int = 400_000  # distinct keys that a task counts before it passes them on
 
 
@@ -179,20 +182,34 @@ class _Sums:
         self.held, self.size = [], 0
 
 
-def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: np.ndarray, s: Settings) -> DataFrame:
+def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: np.ndarray, pair_bits: int, s: Settings) -> DataFrame:
     """Rows (ctx, word, n >= least_next) behind contexts of this length; the bitmaps hold the candidate contexts
     and what is explicit one word shorter (nothing else can be explicit here)."""
-    known = texts.sparkSession.sparkContext.broadcast((contexts, explicit))
+    spark = texts.sparkSession
+    known = spark.sparkContext.broadcast((contexts, explicit))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batch: pa.RecordBatch) -> tuple[Block, np.ndarray]:
         contexts, explicit = known.value
+        b = block(batch.column(0), length)
+        shorter = b.following[length - 2] if length > 1 else b.word
+        at = np.flatnonzero(b.place >= length - 1)
+        at = at[in_bitmap(contexts, b.context[length - 1][at], s.bits)]
+        return b, at[in_bitmap(explicit, shorter[at], s.bits)]
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        b, at = candidates(batch)
+        return b.following[length - 1][at]
+
+    frequent = None
+    if length == 1:
+        frequent = spark.sparkContext.broadcast(slot_counts.likely(texts, keys, pair_bits, s.least_next, s.room, PIECE, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(s.room)
         for batch in slices(batches, 0, PIECE):
-            b = block(batch.column(0), length)
-            shorter = b.following[length - 2] if length > 1 else b.word
-            at = np.flatnonzero(b.place >= length - 1)
-            at = at[in_bitmap(contexts, b.context[length - 1][at], s.bits)]
-            at = at[in_bitmap(explicit, shorter[at], s.bits)]
+            b, at = candidates(batch)
+            if frequent is not None:
+                at = at[in_bitmap(frequent.value, b.following[length - 1][at], pair_bits)]
             yield from sums.add(b.following[length - 1][at], b.context[length - 1][at], b.word[at])
         yield from sums.flush()
 
@@ -253,10 +270,11 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
         start = texts.sparkSession.createDataFrame([(word_key(START), 0, whole.texts)], "ctx long, suffix long, n_ctx long")
         candidates = candidates.unionByName(start)
     contexts, fitted, diverging = [], [], []
+    pair_bits = int(np.clip(np.ceil(np.log2(tree.total + 1)), *s.pair_bits))
     for length in range(1, s.depth + 1):
         seen = bitmap(candidates.select(F.col("ctx").alias("key")), s.bits)
         explicit = bitmap(shorter.where(F.col("n") >= s.least_next).select("key"), s.bits)
-        raw = materialize(next_counts(texts, length, seen, explicit, s), f"next-{length}")
+        raw = materialize(next_counts(texts, length, seen, explicit, pair_bits, s), f"next-{length}")
         sums = raw.groupBy("ctx").agg(F.count("*").alias("entries"), F.sum("n").alias("explicit"))
         left = 1 - (F.col("explicit") - s.discount * F.col("entries")) / F.col("n_ctx")
         info = materialize(candidates.join(sums, "ctx").withColumn("rest", F.greatest(left, F.lit(1e-12))), f"contexts-{length}")
@@ -345,69 +363,106 @@ def shortcut(tree: Tree) -> Shortcut:
         Shared(tree.following, "log_p", s.shared_next), bitmap(tree.contexts, s.bits), bitmap(tree.following, s.bits))
 
 
-def walk(b: Block, known: Shortcut, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: log10 found so far, the context length at which a lookup is needed (0: none; -1: the word alone is
-    still to be added), and log10 of the word alone (nan: not shared)."""
+#: What is open at a context length of a token: nothing, its rest to be added, its next word or both to be looked up.
+_NONE, _ADD, _WORD, _BOTH = 0, 1, 2, 3
+
+
+@dataclass
+class Walk:
+    """Per token: log10 found so far (`value`, without the word alone where that is not shared), whether the word alone
+    is part of it, and per context length what is still open above it and the rest that is known."""
+
+    root: np.ndarray
+    value: np.ndarray
+    alone: np.ndarray
+    open_: list[np.ndarray]
+    rest: list[np.ndarray]
+
+    @property
+    def undecided(self) -> np.ndarray:
+        return np.any([(o > _ADD) for o in self.open_], axis=0) if self.open_ else np.zeros(len(self.root), bool)
+
+
+def walk(b: Block, known: Shortcut, s: Settings) -> Walk:
+    """From the word alone to the longest context: a shared next word settles all that is below it, a rest is added to
+    what is settled, and what the task cannot tell stays open."""
+    n = len(b.codes)
     root = known.words.find(b.keys)[b.codes]
-    score, ask = np.zeros(len(b.codes)), np.full(len(b.codes), -1, np.int8)
-    open_ = np.arange(len(b.codes))
-    for length in range(s.depth, 0, -1):
-        at = open_[b.place[open_] >= length - 1]
+    value, alone = np.nan_to_num(root), np.ones(n, bool)
+    settled = np.ones(n, bool)
+    opened, rests = [], []
+    for length in range(1, s.depth + 1):
+        state, held = np.zeros(n, np.int8), np.zeros(n)
+        at = np.flatnonzero(b.place >= length - 1)
         at = at[in_bitmap(known.some_contexts, b.context[length - 1][at], s.bits)]
         rest = known.contexts.find(b.context[length - 1][at])
-        ask[at[np.isnan(rest)]] = length
-        at, rest = at[~np.isnan(rest)], rest[~np.isnan(rest)]
         maybe = in_bitmap(known.some_following, b.following[length - 1][at], s.bits)
-        score[at[~maybe]] += rest[~maybe]
-        at = at[maybe]
-        p = known.following.find(b.following[length - 1][at])
-        ask[at[np.isnan(p)]] = length
-        at, p = at[~np.isnan(p)], p[~np.isnan(p)]
-        score[at] += p
-        ask[at] = 0
-        open_ = open_[ask[open_] == -1]
-    return score, ask, root
-
-
-_REQUEST = pa.struct([("times", pa.int64()), ("score", pa.float64()), ("word", pa.int64()), ("root", pa.float64()),
-                      ("contexts", pa.list_(pa.int64())), ("following", pa.list_(pa.int64()))])
+        p = np.full(len(at), np.nan)
+        p[maybe] = known.following.find(b.following[length - 1][at[maybe]])
+        told = ~np.isnan(rest)
+        hit = at[told & ~np.isnan(p)]
+        value[hit], alone[hit], settled[hit] = p[told & ~np.isnan(p)], False, True
+        for o in opened:
+            o[hit] = _NONE
+        add = told & ~maybe
+        now = add & settled[at]
+        value[at[now]] += rest[now]
+        state[at[add & ~settled[at]]] = _ADD
+        state[at[told & maybe & np.isnan(p)]] = _WORD
+        state[at[~told]] = _BOTH
+        held[at[told]] = rest[told]
+        settled[state > _ADD] = False
+        opened.append(state)
+        rests.append(held)
+    return Walk(root, value, alone, opened, rests)
+
+
+_STEP = pa.struct([("rest", pa.float64()), ("context", pa.int64()), ("following", pa.int64())])
+_REQUEST = pa.struct([("times", pa.int64()), ("value", pa.float64()), ("word", pa.int64()), ("steps", pa.list_(_STEP))])
 _RARE = pa.struct([("word", pa.int64()), ("base", pa.int64()), ("score", pa.int64())])
 
 
-def _requests(b: Block, of: np.ndarray, n: int, score: np.ndarray, ask: np.ndarray, root: np.ndarray, depth: int) -> pa.Array:
-    """Per text, its distinct undecided tokens with the keys to look up, shortest context first."""
-    at = np.flatnonzero(ask > 0)
-    # tokens of a text that ask for the same keys behind the same score: the longest key and the length say it all
-    longest = np.choose(ask[at] - 1, [f[at] for f in b.following])
-    order = np.lexsort((score[at], ask[at], longest, of[at]))
-    at, longest = at[order], longest[order]
+def _requests(b: Block, of: np.ndarray, n: int, w: Walk, undecided: np.ndarray) -> pa.Array:
+    """Per text, its distinct undecided tokens: the value below, the word if it is still to be added, and the open steps
+    from the shortest context up, each with a rest or the key of its context, and the key of a next word if there may be one."""
+    at = np.flatnonzero(undecided)
+    state = np.stack([o[at] for o in w.open_], 1)
+    top = state.shape[1] - 1 - np.argmax(state[:, ::-1] > _NONE, axis=1)
+    longest = np.choose(top, [f[at] for f in b.following])
+    ask_word = w.alone[at] & np.isnan(w.root[at])
+    order = np.lexsort((w.value[at], top, longest, of[at]))
+    at, state, top, longest, ask_word = at[order], state[order], top[order], longest[order], ask_word[order]
+    # tokens of a text with the same longest key and the same value below ask for the same
     new = np.ones(len(at), bool)
-    new[1:] = ((of[at[1:]] != of[at[:-1]]) | (longest[1:] != longest[:-1]) | (ask[at[1:]] != ask[at[:-1]])
-               | (score[at[1:]] != score[at[:-1]]))
+    new[1:] = ((of[at[1:]] != of[at[:-1]]) | (longest[1:] != longest[:-1]) | (top[1:] != top[:-1]) | (w.value[at[1:]] != w.value[at[:-1]])
+               | np.any(state[1:] != state[:-1], axis=1))
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(at)))
-    at = at[first]
-    lengths = ask[at].astype(np.int64)
-    inner = np.append(0, np.cumsum(lengths)).astype(np.int32)
-    step = np.arange(inner[-1]) - np.repeat(inner[:-1], lengths)
-    owner = np.repeat(at, lengths)
-    lists = []
-    for keys in (b.context, b.following):
-        flat = np.choose(step, [k[owner] for k in keys]) if len(owner) else np.zeros(0, np.uint64)
-        lists.append(pa.ListArray.from_arrays(pa.array(inner), pa.array(flat.view(np.int64))))
+    at, state, ask_word = at[first], state[first], ask_word[first]
+    some = state > _NONE
+    inner = np.append(0, np.cumsum(some.sum(axis=1))).astype(np.int32)
+    which, step = np.nonzero(some)
+    owner, kind = at[which], state[which, step]
+    if len(owner):
+        rest, context, following = (np.choose(step, [x[owner] for x in xs]) for xs in (w.rest, b.context, b.following))
+    else:
+        rest, context, following = np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    steps = pa.StructArray.from_arrays([
+        pa.array(rest, mask=kind == _BOTH), pa.array(context.view(np.int64), mask=kind != _BOTH),
+        pa.array(following.view(np.int64), mask=kind == _ADD)], names=[f.name for f in _STEP])
     rows = pa.StructArray.from_arrays([
-        pa.array(times.astype(np.int64)), pa.array(score[at]), pa.array(b.word[at].view(np.int64)),
-        pa.array(root[at], mask=np.isnan(root[at])), *lists], names=[f.name for f in _REQUEST])
+        pa.array(times.astype(np.int64)), pa.array(w.value[at]), pa.array(b.word[at].view(np.int64), mask=~ask_word),
+        pa.ListArray.from_arrays(pa.array(inner), steps)], names=[f.name for f in _REQUEST])
     offsets = np.searchsorted(of[at], np.arange(n + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), rows).cast(pa.list_(_REQUEST))
 
 
-def _rare(b: Block, of: np.ndarray, n: int, ask: np.ndarray, root: np.ndarray) -> pa.Array:
+def _rare(b: Block, of: np.ndarray, n: int, ends: np.ndarray, root: np.ndarray) -> pa.Array:
     """Per text, its distinct words that are not shared: occurrences, and those whose score ends in the word alone."""
     at = np.flatnonzero(np.isnan(root))
     key, inverse = np.unique(of[at] * len(b.distinct) + b.codes[at], return_inverse=True)
     base = np.bincount(inverse, minlength=len(key)).astype(np.int64)
-    alone = np.bincount(inverse, weights=ask[at] == -1, minlength=len(key)).astype(np.int64)
+    alone = np.bincount(inverse, weights=ends[at], minlength=len(key)).astype(np.int64)
     rows = pa.StructArray.from_arrays(
         [pa.array(b.keys[key % len(b.distinct)].view(np.int64)), pa.array(base), pa.array(alone)], names=[f.name for f in _RARE])
     offsets = np.searchsorted(key, np.arange(n + 1) * len(b.distinct)).astype(np.int32)
@@ -429,16 +484,15 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 1, PIECE):
             b, n = block(batch.column(1), s.depth), batch.num_rows
-            found, ask, root = walk(b, known, s)
+            w = walk(b, known, s)
             length = np.diff(np.append(b.first, len(b.codes)))
-            of = np.repeat(np.arange(n), length)
-            own = np.nan_to_num(root)
-            here = np.where(ask <= 0, found, 0.0) + np.where(ask == -1, own, 0.0)
+            of, undecided = np.repeat(np.arange(n), length), w.undecided
+            here = np.where(undecided, 0.0, w.value)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + n)), batch.column(0), pa.array(length),
-                pa.array(np.add.reduceat((~np.isnan(root)).astype(np.int64), b.first)),
-                pa.array(np.add.reduceat(own, b.first)), pa.array(np.add.reduceat(here, b.first)),
-                _rare(b, of, n, ask, root), _requests(b, of, n, found, ask, root, s.depth),
+                pa.array(np.add.reduceat((~np.isnan(w.root)).astype(np.int64), b.first)),
+                pa.array(np.add.reduceat(np.nan_to_num(w.root), b.first)), pa.array(np.add.reduceat(here, b.first)),
+                _rare(b, of, n, w.alone & ~undecided, w.root), _requests(b, of, n, w, undecided),
             ], names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare", "requests"])
             row += n
 
@@ -446,8 +500,8 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     scored = materialize(docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(run, (
         f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<struct<word: long, base: long, score: long>>, requests array<struct<times: long, score: double, word: long, "
-        "root: double, contexts: array<long>, following: array<long>>>")), "scored")
+        "rare array<struct<word: long, base: long, score: long>>, requests array<struct<times: long, value: double, word: long, "
+        "steps: array<struct<rest: double, context: long, following: long>>>>")), "scored")
     root = tree.words.select("key", F.log10((F.col("n") + s.added) / F.lit(tree.denominator)).alias("value"))
     # words that are not shared
     rare = scored.select("row", F.inline("rare").alias("key", "base", "times")).join(root, "key", "left").select(
@@ -466,31 +520,29 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
 def _looked_up(scored: DataFrame, tree: Tree, root: DataFrame) -> DataFrame:
     """Rows (row, base, score, known) of the tokens that tasks could not decide: their keys joined with the tables."""
     asked = scored.select("row", F.posexplode("requests").alias("pos", "r"))
-    wanted = F.concat(
-        F.expr("transform(r.contexts, (x, i) -> struct('c' AS kind, cast(i AS int) AS length, x AS key))"),
-        F.expr("transform(r.following, (x, i) -> struct('f' AS kind, cast(i AS int) AS length, x AS key))"),
-        F.expr("if(r.root IS NULL, array(struct('w' AS kind, 0 AS length, r.word AS key)), array())"))
-    keys = asked.select("row", "pos", F.col("r.times").alias("times"), F.col("r.score").alias("score"), F.col("r.root").alias("root"),
-                        F.inline(wanted))
+    wanted = F.expr("""filter(concat(
+        transform(r.steps, (x, i) -> struct('c' AS kind, cast(i AS int) AS step, x.context AS key)),
+        transform(r.steps, (x, i) -> struct('f' AS kind, cast(i AS int) AS step, x.following AS key)),
+        array(struct('w' AS kind, 0 AS step, r.word AS key))), x -> x.key IS NOT NULL)""")
+    keys = asked.select("row", "pos", F.inline(wanted))
     values = reduce(DataFrame.unionByName, [
         tree.contexts.select(F.lit("c").alias("kind"), "key", F.col("log_rest").alias("value")),
         tree.following.select(F.lit("f").alias("kind"), "key", F.col("log_p").alias("value")),
         root.select(F.lit("w").alias("kind"), "key", "value")])
-    met = keys.join(values, ["kind", "key"], "left")
+    depth = tree.settings.depth
 
-    def value(kind: str, length: int) -> Column:
-        return F.max(F.when((F.col("kind") == kind) & (F.col("length") == length), F.col("value")))
+    def value(kind: str, step: int) -> Column:
+        return F.max(F.when((F.col("kind") == kind) & (F.col("step") == step), F.col("value")))
 
-    depth = tree.settings.depth
-    whole = met.groupBy("row", "pos").agg(
-        F.first("times").alias("times"), F.first("score").alias("score"), F.first("root").alias("root"), value("w", 0).alias("w0"),
-        *[value(kind, i).alias(f"{kind}{i}") for kind in "cf" for i in range(depth)])
-    best = F.coalesce("root", "w0", F.lit(tree.unseen))
+    found = keys.join(values, ["kind", "key"]).groupBy("row", "pos").agg(
+        value("w", 0).alias("w0"), *[value(kind, i).alias(f"{kind}{i}") for kind in "cf" for i in range(depth)])
+    whole = asked.join(found, ["row", "pos"], "left")
+    best = F.col("r.value") + F.when(F.col("r.word").isNull(), 0.0).otherwise(F.coalesce("w0", F.lit(tree.unseen)))
     for i in range(depth):  # an unretained context has no value and leaves the score to its suffix
-        rest = F.col(f"c{i}")
+        step = F.get("r.steps", F.lit(i))
+        rest = F.coalesce(step["rest"], F.col(f"c{i}"))
         best = F.when(rest.isNull(), best).otherwise(F.coalesce(F.col(f"f{i}"), rest + best))
-    return whole.select("row", F.lit(0.0).alias("base"), (F.col("times") * (F.col("score") + best)).alias("score"),
-                        F.lit(0).cast("long").alias("known"))
+    return whole.select("row", F.lit(0.0).alias("base"), (F.col("r.times") * best).alias("score"), F.lit(0).cast("long").alias("known"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
