@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelens import constants as K
 from wirelens.operators import cleaning, derive, flows, schema, splitting
@@ -419,25 +420,28 @@ def derive_flow_metrics(spark, d):
     )
 
 
+def _drawn_sql(name: str, low: int, high: int) -> str:
+    return f"CAST(('0x' || substr(md5(flow_key || '|42|{name}'), 1, 8))::BIGINT % {high - low + 1} + {low} AS INTEGER)"
+
+
 _OVERRIDDEN = {
     "destination_ip": "'192.168.1.5'", "protocol": "6", "flow_duration": "850000.0::DOUBLE",
     "total_fwd_packets": "350.0::DOUBLE", "total_backward_packets": "2.0::DOUBLE",
     "flow_bytes_s": "250000.0::DOUBLE", "rst_flag_count": "45",
     "fwd_packet_length_mean": "1380.0::DOUBLE", "label": "'UNKNOWN_ANOMALY'",
-    "source_ip": "'10.240.1.1'", "source_port": "50000", "destination_port": "8500",
+    "source_ip": f"'10.240.' || {_drawn_sql('ip1', 1, 254)} || '.' || {_drawn_sql('ip2', 1, 254)}",
+    "source_port": _drawn_sql("source", 49152, 65535), "destination_port": _drawn_sql("destination", 8000, 9000),
 }
 
 
 @query(f"""{Q.ALL_FLOWS}
-SELECT {', '.join(Q.FLOW_COLUMNS)} FROM flows
-UNION ALL SELECT {', '.join(f'{_OVERRIDDEN.get(c, c)} AS {c}' for c in Q.FLOW_COLUMNS)}
+SELECT {', '.join(Q.FLOW_COLUMNS)}, '2024-01-01 00:00:00' AS timestamp FROM flows
+UNION ALL SELECT {', '.join(f'{_OVERRIDDEN.get(c, c)} AS {c}' for c in Q.FLOW_COLUMNS)}, '2024-03-05 06:07:08' AS timestamp
 FROM (SELECT * FROM flows ORDER BY flow_key LIMIT 1)""")
 def inject_override(spark, d):
-    rows = V.flows(spark, d)
-    return derive.inject_novel(
-        rows, rows.orderBy("flow_key").limit(1),
-        {"source_ip": "10.240.1.1", "source_port": 50000, "destination_port": 8500},
-    )
+    rows = V.flows(spark, d).withColumn("timestamp", F.lit("2024-01-01 00:00:00"))
+    at = F.lit("2024-03-05 06:07:08").cast("timestamp")
+    return derive.inject_novel(rows, rows.orderBy("flow_key").limit(1), key="flow_key", at=at)
 
 
 @query(f"""{Q.ALL_FLOWS} SELECT flow_key, flow_id, '2024-03-05 06:07:08' AS timestamp FROM flows""")
@@ -553,6 +557,25 @@ def csv_roundtrip(spark, d):
     )
 
 
+_CSV_SCHEMA = "flow_key string, flow_duration double, protocol int, not_there double"
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (l_partkey % 97 = 0) AS d, count(*) FILTER (l_suppkey % 41 = 0) AS p,
+  count(*) FILTER (l_partkey % 89 = 0 AND l_partkey % 97 <> 0) AS e FROM lineitem)
+SELECT 'flow_key' AS "column", 0 AS nulls, 0 AS unreadable FROM c UNION ALL SELECT 'flow_duration', d + e, d FROM c
+UNION ALL SELECT 'protocol', p, p FROM c UNION ALL SELECT 'not_there', n, 0 FROM c""")
+def csv_schema(spark, d):
+    """Rows written as CSV with unreadable and empty cells, read back with a schema that has one more column."""
+    path, schema = scratch_path(spark, "csv"), T.StructType.fromDDL(_CSV_SCHEMA)
+    part = F.col("l_partkey")
+    rows = V.table(spark, d, "lineitem").select(*V.flow_columns(), part, "l_suppkey").select(
+        "flow_key", F.when(part % 97 == 0, "n/a").when(part % 89 == 0, None).otherwise(F.col("flow_duration").cast("string"))
+        .alias("flow_duration"),
+        F.when(F.col("l_suppkey") % 41 == 0, "tcp").otherwise(F.col("protocol").cast("string")).alias("protocol"))
+    tables.write_csv(rows, path)
+    return tables.unreadable_cells(tables.read_csv(spark, path, schema, "rescued"), schema)
+
+
 @query(None)
 def synthetic_flows(spark, d):
     return V.synthetic(spark, d)
