@@ -25,13 +25,20 @@ def test_tokens_are_words_and_ends():
 
 
 def test_keys_are_those_of_spark(spark):
-    rows = [("é", "b"), ("", "x" * 40), ("\n", "the"), ("\r", "a")]
-    df = spark.createDataFrame(rows, "a string, b string").select(
-        "a", "b", F.xxhash64("a").alias("ka"), F.xxhash64("b").alias("kb"))
+    rows = [("é", "b"), ("x" * 40, "x" * 200), ("\n", "the"), ("\r", "a")]
+    df = spark.createDataFrame([(*r, *map(suffix_tree.word_key, r)) for r in rows], "a string, b string, ka long, kb long")
     for r in df.withColumn("pair", F.xxhash64("ka", "kb")).collect():
-        assert (suffix_tree.word_key(r.a), suffix_tree.word_key(r.b)) == (r.ka, r.kb)
         pair = suffix_tree.chained(np.array([r.ka]).view(np.uint64), np.array([r.kb]).view(np.uint64))
         assert pair.view(np.int64)[0] == r.pair
+    texts = spark.createDataFrame([("A bé b",), ("",), ("x" * 130 + " a",)], "text string")
+    for r in suffix_tree.word_counts(texts).collect():
+        assert r.key == suffix_tree.word_key(r.word)
+
+
+def test_words_have_keys_of_their_own():
+    draw = random.Random(1)
+    names = {"".join(draw.choices("abé", k=draw.choice([1, 2, 3, 8, 63, 64, 65, 130]))) for _ in range(20000)}
+    assert len({suffix_tree.word_key(w) for w in names}) == len(names)
 
 
 def test_contexts_of_a_block():
@@ -56,7 +63,7 @@ def test_contexts_of_a_block():
                 assert names[int(b.context[k - 1][i])] == tuple(q[at - k:at])
                 assert names[int(b.following[k - 1][i])] == tuple(q[at - k:at + 1])
             i += 1
-    assert i == len(b.codes)
+    assert i == len(b.word)
 
 
 def training(spark, n=400):

@@ -7,7 +7,7 @@ in it. Next words seen `least_next` times or more behind a candidate are explici
 the mass to the suffix, down to the smoothed word distribution. A word is scored in the longest retained suffix
 of its history.
 
-Pairs of words are counted in a table of slots first, so that the many rare ones are never shuffled.
+Pairs and triples of words are counted in tables of slots first, so that the many rare ones are never shuffled.
 Words, contexts and next words are Spark tables, keyed by 64-bit hashes of their words (two of them collide
 with a chance of about n * n / 2 ** 65; word counts are kept by the word itself). Tasks hold the most frequent
 states, up to a fixed number, and bitmaps of fixed size that say which others may exist. Tokens that these
@@ -36,26 +36,33 @@ from .common import bitmap, in_bitmap, lookup, slices
 
 END = "\n"  # the token behind a text's last word; no word holds a line end
 START = "\r"  # the context in front of a text's first word
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
     depth: int = 3  # words in the longest context
     least_context: int = 20  # occurrences of a context that may be retained
-    least_next: int = 4  # occurrences of a next word that is held explicitly
+    least_next: int = 8  # occurrences of a next word that is held explicitly
     least_divergence: float = 0.02  # nats
     discount: float = 0.5
     added: float = 0.1  # to every word count
-    bits: int = 27  # of a bitmap: 16 MB
-    pair_bits: tuple[int, int] = (20, 28)  # least and most of the table of pairs, else one slot a token
+    bits: int = 26  # of a bitmap: 8 MB
+    slot_bits: tuple[int, int] = (20, 26)  # least and most of the tables of pairs and triples, else one slot a token
     shared_words: int = 1 << 19
     shared_contexts: int = 1 << 19
     shared_next: int = 1 << 21
     room: int = 400_000  # distinct keys that a task counts before it passes them on
 
 
-# ---- hashes: the same in tasks and in Spark's xxhash64 -----------------------------------------------
+# ---- hashes -----------------------------------------------------------------------------------------
+
+#: A 64-bit number per place in a word and byte; the key of a word is their sum (tabulation hashing).
+_TABLE = np.array([xxhash.xxh3_64_intdigest(i.to_bytes(2, "little"), seed=5) for i in range(1 << 14)], np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
     0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -76,14 +83,25 @@ def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def chained(left: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a word behind a context: xxhash64(context, word)."""
+    """The key of a word behind a context: Spark's xxhash64(context, word)."""
     return _hash_long(word, _hash_long(left, np.full(1, _SEED, np.uint64)))
 
 
-def word_key(word: bytes | str) -> int:
-    """xxhash64(word), as Spark's signed number."""
-    value = xxhash.xxh64_intdigest(word, seed=_SEED)
-    return value - (1 << 64) if value >> 63 else value
+def word_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The keys of words that stand one behind the other in a buffer of bytes; none is empty."""
+    if len(offsets) < 2:
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(offsets[:-1].astype(np.int32), np.diff(offsets))
+    values = _TABLE[((place & 63) << 8) + data]
+    if place.max(initial=0) > 63:  # very long words use the table again, times an odd number
+        values = values * (2 * (place >> 6) + 1).astype(np.uint64)
+    return np.add.reduceat(values, offsets[:-1])
+
+
+def word_key(word: str) -> int:
+    """The key of one word as Spark's signed number."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(word_keys(data, np.array([0, len(data)])).view(np.int64)[0])
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -109,14 +127,11 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 @dataclass
 class Block:
-    """Keys of a block of tokens: `word`, and per context length (from 1) `context` and `following` = context + word.
+    """Keys of a block of tokens, words and the end of every text: `word`, and per context length (from 1) `context` and
+    `following` = context + word. A context of k words exists from the k-th token of a text on (`place` counts from 0, the
+    start is a word)."""
 
-    A context of k words exists from the k-th token of a text on (`place` counts from 0, the start is a word)."""
-
-    distinct: pa.Array
-    codes: np.ndarray
     first: np.ndarray
-    keys: np.ndarray  # of the distinct words
     place: np.ndarray
     word: np.ndarray
     context: list[np.ndarray]
@@ -124,36 +139,58 @@ class Block:
 
 
 def block(texts: pa.Array, depth: int) -> Block:
-    distinct, codes, first = tokens(texts)
-    keys = np.array([xxhash.xxh64_intdigest(w, seed=_SEED) for w in distinct.cast(pa.large_binary()).to_pylist()], np.uint64)
-    word = keys[codes]
-    place = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+    texts = texts.cast(pa.large_binary())
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64, len(texts) + 1, texts.offset * 8)
+    raw = _LOWER[np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]]]
+    at = at - at[0]
+    inside = ~_BLANK[raw]
+    fresh = np.zeros(len(raw) + 1, bool)
+    fresh[at] = True
+    start, end = inside & fresh[:-1], inside & fresh[1:]
+    start[1:] |= inside[1:] & ~inside[:-1]
+    end[:-1] |= inside[:-1] & ~inside[1:]
+    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    keys = word_keys(raw[inside], np.append(0, np.cumsum(end - start)))
+    before = np.searchsorted(start, at)  # words in front of every text
+    n = len(texts)
+    ends = before[1:] + np.arange(n)
+    word = np.full(len(keys) + n, np.uint64(word_key(END) % (1 << 64)))
+    real = np.ones(len(word), bool)
+    real[ends] = False
+    word[real] = keys
+    first = before[:-1] + np.arange(n)
+    place = np.arange(len(word)) - np.repeat(first, ends - first + 1)
     context, following = [], []
     last = word
     for k in range(depth):
         here = np.empty_like(word)
         here[1:] = last[:-1]
         if k == 0:
-            here[first] = np.uint64(xxhash.xxh64_intdigest(START, seed=_SEED))
+            here[first] = np.uint64(word_key(START) % (1 << 64))
         context.append(here)
         last = chained(here, word)
         following.append(last)
-    return Block(distinct, codes, first, keys, place, word, context, following)
+    return Block(first, place, word, context, following)
 
 
 # ---- counts -----------------------------------------------------------------------------------------
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """Rows (word, n): every token of every text of the one-column table."""
+    """Rows (word, key, n): every token of every text of the one-column table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, PIECE):
+        for batch in slices(batches, 0, 4 * PIECE):
             distinct, codes, _ = tokens(batch.column(0))
             n = np.bincount(codes, minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(n)], names=["word", "n"])
+            words = distinct.cast(pa.large_binary())
+            at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+            data = np.frombuffer(words.buffers()[2], np.uint8)[at[0]:at[-1]]
+            yield pa.RecordBatch.from_arrays(
+                [distinct.cast(pa.string()), pa.array(word_keys(data, at - at[0]).view(np.int64)), pa.array(n)], names=["word", "key", "n"])
 
-    return texts.mapInArrow(run, "word string, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word string, key long, n long").where("n > 0").groupBy("word", "key").agg(F.sum("n").alias("n"))
 
 
 class _Sums:
@@ -182,7 +219,7 @@ class _Sums:
         self.held, self.size = [], 0
 
 
-def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: np.ndarray, pair_bits: int, s: Settings) -> DataFrame:
+def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: np.ndarray, slot_bits: int, s: Settings) -> DataFrame:
     """Rows (ctx, word, n >= least_next) behind contexts of this length; the bitmaps hold the candidate contexts
     and what is explicit one word shorter (nothing else can be explicit here)."""
     spark = texts.sparkSession
@@ -201,15 +238,15 @@ def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: n
         return b.following[length - 1][at]
 
     frequent = None
-    if length == 1:
-        frequent = spark.sparkContext.broadcast(slot_counts.likely(texts, keys, pair_bits, s.least_next, s.room, PIECE, 0))
+    if length < 3:  # longer ones are few
+        frequent = spark.sparkContext.broadcast(slot_counts.likely(texts, keys, slot_bits, s.least_next, s.room, PIECE, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(s.room)
         for batch in slices(batches, 0, PIECE):
             b, at = candidates(batch)
             if frequent is not None:
-                at = at[in_bitmap(frequent.value, b.following[length - 1][at], pair_bits)]
+                at = at[in_bitmap(frequent.value, b.following[length - 1][at], slot_bits)]
             yield from sums.add(b.following[length - 1][at], b.context[length - 1][at], b.word[at])
         yield from sums.flush()
 
@@ -257,8 +294,7 @@ def _diverging(rows: DataFrame, s: Settings) -> DataFrame:
 def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
     """The tree of a table with one text column. One pass counts words, one more each length of contexts."""
     s = settings
-    counts = word_counts(texts)
-    words = materialize(counts.select("word", F.xxhash64("word").alias("key"), "n"), "words")
+    words = materialize(word_counts(texts), "words")
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct"),
                       F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("texts")).head()
     tree = Tree(s, whole.total, whole.distinct, words, words, words)
@@ -270,11 +306,11 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
         start = texts.sparkSession.createDataFrame([(word_key(START), 0, whole.texts)], "ctx long, suffix long, n_ctx long")
         candidates = candidates.unionByName(start)
     contexts, fitted, diverging = [], [], []
-    pair_bits = int(np.clip(np.ceil(np.log2(tree.total + 1)), *s.pair_bits))
+    slot_bits = int(np.clip(np.ceil(np.log2(tree.total + 1)), *s.slot_bits))
     for length in range(1, s.depth + 1):
         seen = bitmap(candidates.select(F.col("ctx").alias("key")), s.bits)
         explicit = bitmap(shorter.where(F.col("n") >= s.least_next).select("key"), s.bits)
-        raw = materialize(next_counts(texts, length, seen, explicit, pair_bits, s), f"next-{length}")
+        raw = materialize(next_counts(texts, length, seen, explicit, slot_bits, s), f"next-{length}")
         sums = raw.groupBy("ctx").agg(F.count("*").alias("entries"), F.sum("n").alias("explicit"))
         left = 1 - (F.col("explicit") - s.discount * F.col("entries")) / F.col("n_ctx")
         info = materialize(candidates.join(sums, "ctx").withColumn("rest", F.greatest(left, F.lit(1e-12))), f"contexts-{length}")
@@ -386,8 +422,8 @@ class Walk:
 def walk(b: Block, known: Shortcut, s: Settings) -> Walk:
     """From the word alone to the longest context: a shared next word settles all that is below it, a rest is added to
     what is settled, and what the task cannot tell stays open."""
-    n = len(b.codes)
-    root = known.words.find(b.keys)[b.codes]
+    n = len(b.word)
+    root = known.words.find(b.word)
     value, alone = np.nan_to_num(root), np.ones(n, bool)
     settled = np.ones(n, bool)
     opened, rests = [], []
@@ -460,12 +496,15 @@ def _requests(b: Block, of: np.ndarray, n: int, w: Walk, undecided: np.ndarray)
 def _rare(b: Block, of: np.ndarray, n: int, ends: np.ndarray, root: np.ndarray) -> pa.Array:
     """Per text, its distinct words that are not shared: occurrences, and those whose score ends in the word alone."""
     at = np.flatnonzero(np.isnan(root))
-    key, inverse = np.unique(of[at] * len(b.distinct) + b.codes[at], return_inverse=True)
-    base = np.bincount(inverse, minlength=len(key)).astype(np.int64)
-    alone = np.bincount(inverse, weights=ends[at], minlength=len(key)).astype(np.int64)
+    at = at[np.lexsort((b.word[at], of[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (of[at[1:]] != of[at[:-1]]) | (b.word[at[1:]] != b.word[at[:-1]])
+    first = np.flatnonzero(new)
+    base = np.diff(np.append(first, len(at))).astype(np.int64)
+    alone = np.add.reduceat(ends[at].astype(np.int64), first) if len(first) else base
     rows = pa.StructArray.from_arrays(
-        [pa.array(b.keys[key % len(b.distinct)].view(np.int64)), pa.array(base), pa.array(alone)], names=[f.name for f in _RARE])
-    offsets = np.searchsorted(key, np.arange(n + 1) * len(b.distinct)).astype(np.int32)
+        [pa.array(b.word[at[first]].view(np.int64)), pa.array(base), pa.array(alone)], names=[f.name for f in _RARE])
+    offsets = np.searchsorted(of[at[first]], np.arange(n + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), rows).cast(pa.list_(_RARE))
 
 
@@ -485,7 +524,7 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
         for batch in slices(batches, 1, PIECE):
             b, n = block(batch.column(1), s.depth), batch.num_rows
             w = walk(b, known, s)
-            length = np.diff(np.append(b.first, len(b.codes)))
+            length = np.diff(np.append(b.first, len(b.word)))
             of, undecided = np.repeat(np.arange(n), length), w.undecided
             here = np.where(undecided, 0.0, w.value)
             yield pa.RecordBatch.from_arrays([
@@ -495,6 +534,7 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
                 _rare(b, of, n, w.alone & ~undecided, w.root), _requests(b, of, n, w, undecided),
             ], names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare", "requests"])
             row += n
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
