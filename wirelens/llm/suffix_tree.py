@@ -7,7 +7,7 @@ in it. Next words seen `least_next` times or more behind a candidate are explici
 the mass to the suffix, down to the smoothed word distribution. A word is scored in the longest retained suffix
 of its history.
 
-Pairs and triples of words are counted in tables of slots first, so that the many rare ones are never shuffled.
+Triples of words are counted in a table of slots first, so that the many rare ones are never shuffled.
 Words, contexts and next words are Spark tables, keyed by 64-bit hashes of their words (two of them collide
 with a chance of about n * n / 2 ** 65; word counts are kept by the word itself). Tasks hold the most frequent
 states, up to a fixed number, and bitmaps of fixed size that say which others may exist. Tokens that these
@@ -48,11 +48,11 @@ class Settings:
     discount: float = 0.5
     added: float = 0.1  # to every word count
     bits: int = 26  # of a bitmap: 8 MB
-    slot_bits: tuple[int, int] = (20, 26)  # least and most of the tables of pairs and triples, else one slot a token
+    slot_bits: tuple[int, int] = (20, 26)  # least and most of the table of triples, else one slot a token
     shared_words: int = 1 << 19
     shared_contexts: int = 1 << 19
-    shared_next: int = 1 << 21
-    room: int = 400_000  # distinct keys that a task counts before it passes them on
+    shared_next: int = 1 << 20
+    room: int = 200_000  # distinct keys that a task counts before it passes them on
 
 
 # ---- hashes -----------------------------------------------------------------------------------------
@@ -238,7 +238,7 @@ def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: n
         return b.following[length - 1][at]
 
     frequent = None
-    if length < 3:  # longer ones are few
+    if length == 2:  # most pairs pass as the corpus grows, and longer ones are few
         frequent = spark.sparkContext.broadcast(slot_counts.likely(texts, keys, slot_bits, s.least_next, s.room, PIECE, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +248,7 @@ def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: n
             if frequent is not None:
                 at = at[in_bitmap(frequent.value, b.following[length - 1][at], slot_bits)]
             yield from sums.add(b.following[length - 1][at], b.context[length - 1][at], b.word[at])
+            pa.default_memory_pool().release_unused()
         yield from sums.flush()
 
     counted = texts.mapInArrow(run, "ctx long, word long, n long")
