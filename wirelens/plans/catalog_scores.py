@@ -255,11 +255,9 @@ SELECT flow_key, CAST(rank - 1 AS INTEGER) AS rank, {_FRIENDLY_SQL} AS feature,
     ELSE 'MODERATE' END AS impact
 FROM deviations WHERE rank <= 4""")
 def top_deviations(spark, d):
-    rows = _deviating(spark, d).select(
-        "flow_key",
-        F.posexplode_outer(explain.attributions(F.col("deviations"))).alias("rank", "item"),
-    )
-    return rows.where(F.col("rank").isNotNull()).select("flow_key", "rank", "item.*")
+    rows = _deviating(spark, d).select("flow_key", F.posexplode_outer("deviations").alias("rank", "item"))
+    found = rows.where(F.col("rank").isNotNull())
+    return found.select("flow_key", "rank", explain.attribution(F.col("item")).alias("item")).select("flow_key", "rank", "item.*")
 
 
 _PERCENT = "((x - mean) / abs(mean) * 100.0::DOUBLE)"
