@@ -7,7 +7,7 @@
    band and the one below. (Documents with more empty parts also emit the prefix of their sorted set; two of
    them that are linked share an element of it.) No linked pair is lost, and a shared passage alone
    rarely makes a whole part equal.
-   Part hashes are counted first; only those that occur twice are emitted with their documents.
+   They are dealt by hash once, where the least document that holds one is found beside all others.
 3. Tiles. Documents with an equal part form the star of the least of them. Stars are cut into tiles of bounded size.
    In a tile, bitmaps of hashed elements bound the overlap of every pair from above; pairs that could reach the
    threshold are intersected exactly, as sorted arrays. Pairs already linked through others are skipped.
@@ -24,17 +24,16 @@ from math import exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelens.workspace import materialize
 
-from .common import bitmap, components, in_bitmap, lookup, slices
+from .common import components, lookup, slices
 from .suffix_tree import tokens
 
 PIECE = 4 << 20
-SHARED_BITS = 26  # of the bitmap of part hashes that occur twice: 8 MB
 
 
 @dataclass(frozen=True)
@@ -185,10 +184,8 @@ def set_rows(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, set_a long, set_b long")
 
 
-def signature_rows(docs: DataFrame, settings: Settings, largest: int, only: np.ndarray | None = None) -> DataFrame:
-    """Rows (signature, doc) of (doc, text), where `only` is given those whose bit is set there. Of equal sets in a piece
-    only the least document emits."""
-    held = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
+def signature_rows(docs: DataFrame, settings: Settings, largest: int) -> DataFrame:
+    """Rows (signature, doc) of (doc, text). Of equal sets in a piece only the least document emits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(settings, largest)
@@ -202,9 +199,6 @@ def signature_rows(docs: DataFrame, settings: Settings, largest: int, only: np.n
             sizes = np.diff(offsets)[chosen]
             at = np.repeat(offsets[chosen], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             value, owner = signatures(elements[at], np.concatenate([[0], np.cumsum(sizes)]), bands, settings)
-            if held is not None:
-                use = in_bitmap(held.value, value, SHARED_BITS)
-                value, owner = value[use], owner[use]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(value.view(np.int64)), pa.array(docs[chosen][owner].astype(np.int64))], names=["signature", "doc"])
 
@@ -389,11 +383,9 @@ def _joined(texts: DataFrame, settings: Settings) -> DataFrame:
     largest = sets.agg(F.max("n").alias("n")).head().n or 1
     bands = Bands(settings, largest)
     judged = texts.where(F.col("doc").isNotNull())
-    shared = signature_rows(judged, settings, largest).groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
-    marks = bitmap(materialize(shared.select(F.col("signature").alias("key")), "shared"), SHARED_BITS)
-    found = materialize(signature_rows(judged, settings, largest, marks), "parts")
-    least = materialize(found.groupBy("signature").agg(F.min("doc").alias("star"), F.count("*").alias("held")).where("held > 1"), "least")
-    hubs = lookup(found, least, "signature", "held").select("doc", "found.star").where("doc <> star")
+    # a document has a part hash once, so the rows of one hash are no more than the documents
+    least = F.min("doc").over(Window.partitionBy("signature"))
+    hubs = signature_rows(judged, settings, largest).select("doc", least.alias("star")).where("doc <> star")
     edges = materialize(hubs.distinct(), "candidates")
     class_of = members.where("n > 0").select("doc", "class").distinct()
     edges = edges.join(class_of, "doc").select("star", F.col("class").alias("doc")).join(
