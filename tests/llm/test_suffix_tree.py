@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from wirelens.llm import common, suffix_tree
+from wirelens.llm import common, slot_counts, suffix_tree
 
 from test_rows import ODD, odd_docs
 from test_tables import words
@@ -208,6 +208,29 @@ def test_very_long_text(spark):
     assert got[1].n_tokens == 600_001 and got[1].score > got[1].base_score and got[3].n_tokens == 1
 
 
+def test_lookups_are_shuffled_once(spark):
+    """What tasks cannot tell is shuffled to the tables and back as sums, without a copy of it beside."""
+    docs, _ = training(spark, 60)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = suffix_tree.fit_and_score(docs, settings=replace(SMALL, shared_words=0, shared_contexts=0, shared_next=0))
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert plan.count("hashpartitioning(") == 4  # lookups, tables, sums per text, texts
+
+
+def test_slot_pieces_keep_their_numbers():
+    draw = np.random.default_rng(4)
+    numbers = draw.geometric(1 / 300, 50_000).astype(np.uint32)
+    numbers[:3] = 0, 1 << 31, (1 << 32) - 1
+    packed = slot_counts._packed(numbers)
+    assert (slot_counts._unpacked(packed, len(numbers)) == numbers).all()
+    assert len(slot_counts._unpacked(slot_counts._packed(numbers[:0]), 0)) == 0
+    assert len(packed) < 1.4 * len(numbers)  # 1.68 with the bytes of a number side by side
+
+
 def test_bitmaps_and_lookups(spark):
     draw = np.random.default_rng(1)
     keys = draw.integers(-(1 << 63), 1 << 63, 3000, np.int64)

@@ -5,14 +5,15 @@ Contexts are the last one to `depth` words (the start of a text counts as one).
 its next-word distribution differs from that of its suffix (divergence test) or a longer retained context ends
 in it. Next words seen `least_next` times or more behind a candidate are explicit; absolute discounting gives the rest of
 the mass to the suffix, down to the smoothed word distribution. A word is scored in the longest retained suffix
-of its history.
+of its history. As every suffix of a retained context is retained, its score is a sum: the word alone, what every
+retained suffix leaves to a shorter one, and what is gained in each where the word is explicit.
 
 Pairs and triples of words are counted in tables of slots first, so that the many rare ones are never shuffled.
 Words, contexts and next words are Spark tables, keyed by 64-bit hashes of their words (two of them collide
 with a chance of about n * n / 2 ** 65; word counts are kept by the word itself). Tasks hold the most frequent
-states, up to a fixed number, and bitmaps of fixed size that say which others may exist. Tokens that these
-decide are scored in place; the others become lookups that are joined with the tables. A lookup outside the
-shared states asks for a rare key, so no key of that join is hot.
+states, up to a fixed number, and bitmaps of fixed size that say which others may exist. What these decide is added
+up in place; every other part of the sum is one lookup by its key, and only those found are added up per text. A lookup
+outside the shared states asks for a rare key, so no key of that join is hot.
 """
 
 from __future__ import annotations
@@ -260,7 +261,8 @@ def next_counts(texts: DataFrame, length: int, contexts: np.ndarray, explicit: n
 
 @dataclass
 class Tree:
-    """Tables words (word, key, n), contexts (key, n, suffix, length, log_rest) and following (key, n, ctx, word, log_p)."""
+    """Tables words (word, key, n), contexts (key, n, suffix, length, log_rest), following (key, n, ctx, word, log_p) and gains
+    (key, n, gain): of the next words of retained contexts, log_p above what the context leaves to its suffix for them."""
 
     settings: Settings
     total: int
@@ -268,6 +270,7 @@ class Tree:
     words: DataFrame
     contexts: DataFrame
     following: DataFrame
+    gains: DataFrame
 
     @property
     def denominator(self) -> float:
@@ -298,9 +301,9 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
     words = materialize(word_counts(texts), "words")
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct"),
                       F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("texts")).head()
-    tree = Tree(s, whole.total, whole.distinct, words, words, words)
+    tree = Tree(s, whole.total, whole.distinct, words, words, words, words)
     # probabilities one word shorter, by key; first those of words alone
-    shorter = words.select("key", "n", ((F.col("n") + s.added) / tree.denominator).alias("p"))
+    shorter = words.where(F.col("n") >= s.least_next).select("key", "n", ((F.col("n") + s.added) / tree.denominator).alias("p"))
     candidates = words.where((F.col("n") >= s.least_context) & (F.col("word") != END)).select(
         F.col("key").alias("ctx"), F.lit(0).cast("long").alias("suffix"), F.col("n").alias("n_ctx"))
     if whole.texts >= s.least_context:
@@ -310,7 +313,7 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
     slot_bits = int(np.clip(np.ceil(np.log2(tree.total + 1)), *s.slot_bits))
     for length in range(1, s.depth + 1):
         seen = bitmap(candidates.select(F.col("ctx").alias("key")), s.bits)
-        explicit = bitmap(shorter.where(F.col("n") >= s.least_next).select("key"), s.bits)
+        explicit = bitmap(shorter.select("key"), s.bits)
         raw = materialize(next_counts(texts, length, seen, explicit, slot_bits, s), f"next-{length}")
         sums = raw.groupBy("ctx").agg(F.count("*").alias("entries"), F.sum("n").alias("explicit"))
         left = 1 - (F.col("explicit") - s.discount * F.col("entries")) / F.col("n_ctx")
@@ -320,8 +323,10 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
         rows = rows.withColumn("below", below).join(
             shorter.select(F.col("key").alias("below"), F.col("p").alias("parent")), "below")
         p = (F.col("n") - s.discount) / F.col("n_ctx") + F.col("rest") * F.col("parent")
+        gain = F.log10(p) - F.log10("rest") - F.log10("parent")
         rows = materialize(rows.select(
-            F.xxhash64("ctx", "word").alias("key"), "ctx", "word", "n", "n_ctx", "below", "parent", p.alias("p")), f"fitted-{length}")
+            F.xxhash64("ctx", "word").alias("key"), "ctx", "word", "n", "n_ctx", "below", "parent", p.alias("p"), gain.alias("gain")),
+            f"fitted-{length}")
         contexts.append(info)
         fitted.append(rows)
         diverging.append(materialize(_diverging(rows, s), f"diverging-{length}"))
@@ -339,6 +344,9 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
         k.select(F.col("ctx").alias("key"), F.col("n_ctx").alias("n"), "suffix", F.lit(s.depth - i).alias("length"),
                  F.log10("rest").alias("log_rest")) for i, k in enumerate(kept)])
     tree.following = reduce(DataFrame.unionByName, [r.select("key", "n", "ctx", "word", F.log10("p").alias("log_p")) for r in fitted])
+    tree.gains = materialize(reduce(DataFrame.unionByName, [
+        lookup(r.select("ctx", "key", "n", "gain"), k.select("ctx", "entries"), "ctx", "entries").where("found IS NOT NULL")
+        .select("key", "n", "gain") for r, k in zip(fitted, reversed(kept), strict=True)]), "gains")
     return tree
 
 
@@ -346,7 +354,7 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> Tree:
 
 
 class Shared:
-    """The most frequent rows of a table (key, n, value): sorted keys, found through their first bits."""
+    """The most frequent rows of a table (key, n, value): sorted keys, found through their first bits; `others` are the rest."""
 
     def __init__(self, rows: DataFrame, value: str, room: int):
         bucket = F.floor(F.log2("n") * 8).cast("int")
@@ -358,6 +366,7 @@ class Shared:
                 break
             least = b
         chosen = rows.where(bucket >= least) if least is not None else rows.limit(0)
+        self.others = rows.where(bucket < least) if least is not None else rows
         found = chosen.select("key", F.col(value).alias("value")).toArrow()
         keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
@@ -381,132 +390,93 @@ class Shared:
         return out
 
 
+def _double_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """Rows (key) -> packed bits with two bits set for a key, by its first and its next `bits` bits."""
+    return bitmap(rows.select(F.explode(F.array("key", F.shiftleft("key", bits))).alias("key")), bits)
+
+
+def _in_double_bitmap(packed: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    out = in_bitmap(packed, keys, bits)
+    out[out] = in_bitmap(packed, keys[out] << np.uint64(bits), bits)
+    return out
+
+
 @dataclass
 class Shortcut:
     """What every task holds; all of it of bounded size."""
 
     words: Shared
     contexts: Shared
-    following: Shared
+    gains: Shared
     some_contexts: np.ndarray
-    some_following: np.ndarray
+    some_gains: np.ndarray
 
 
-def shortcut(tree: Tree) -> Shortcut:
-    s = tree.settings
-    root = tree.words.select("key", "n", F.log10((F.col("n") + s.added) / tree.denominator).alias("log_root"))
-    return Shortcut(
-        Shared(root, "log_root", s.shared_words), Shared(tree.contexts, "log_rest", s.shared_contexts),
-        Shared(tree.following, "log_p", s.shared_next), bitmap(tree.contexts, s.bits), bitmap(tree.following, s.bits))
+#: What a key is looked up as: a word alone, a context, a next word behind its context.
+_WORD, _CONTEXT, _NEXT = 0, 1, 2
 
 
-#: What is open at a context length of a token: nothing, its rest to be added, its next word or both to be looked up.
-_NONE, _ADD, _WORD, _BOTH = 0, 1, 2, 3
+def shortcut(tree: Tree) -> tuple[Shortcut, DataFrame]:
+    """What tasks hold, and rows (kind, key, value) of all that they do not; words are valued above an unseen one."""
+    s = tree.settings
+    root = tree.words.select("key", "n", F.log10((F.col("n") + s.added) / tree.denominator).alias("log_root"))
+    words, contexts, gains = (Shared(root, "log_root", s.shared_words), Shared(tree.contexts, "log_rest", s.shared_contexts),
+                              Shared(tree.gains, "gain", s.shared_next))
+    others = reduce(DataFrame.unionByName, [
+        shared.others.select(F.lit(kind).cast("byte").alias("kind"), "key", value.alias("value")) for kind, shared, value in (
+            (_WORD, words, F.col("log_root") - F.lit(tree.unseen)), (_CONTEXT, contexts, F.col("log_rest")), (_NEXT, gains, F.col("gain")))])
+    for shared in (words, contexts, gains):
+        del shared.others  # tasks get the rest
+    return Shortcut(words, contexts, gains, _double_bitmap(tree.contexts, s.bits), _double_bitmap(tree.gains, s.bits)), others
 
 
 @dataclass
 class Walk:
-    """Per token: log10 found so far (`value`, without the word alone where that is not shared), whether the word alone
-    is part of it, and per context length what is still open above it and the rest that is known."""
+    """Per token: log10 of the word alone (`root`, nan where it is not shared) and what is known of all contexts above it;
+    and the tokens (`at`), kinds and keys of what is to be looked up."""
 
     root: np.ndarray
-    value: np.ndarray
-    alone: np.ndarray
-    open_: list[np.ndarray]
-    rest: list[np.ndarray]
-
-    @property
-    def undecided(self) -> np.ndarray:
-        return np.any([(o > _ADD) for o in self.open_], axis=0) if self.open_ else np.zeros(len(self.root), bool)
+    above: np.ndarray
+    at: np.ndarray
+    kind: np.ndarray
+    key: np.ndarray
 
 
 def walk(b: Block, known: Shortcut, s: Settings) -> Walk:
-    """From the word alone to the longest context: a shared next word settles all that is below it, a rest is added to
-    what is settled, and what the task cannot tell stays open."""
-    n = len(b.word)
     root = known.words.find(b.word)
-    value, alone = np.nan_to_num(root), np.ones(n, bool)
-    settled = np.ones(n, bool)
-    opened, rests = [], []
+    above = np.zeros(len(b.word))
+    rare = np.flatnonzero(np.isnan(root))
+    asked = [(rare, _WORD, b.word[rare])]
     for length in range(1, s.depth + 1):
-        state, held = np.zeros(n, np.int8), np.zeros(n)
+        context, following = b.context[length - 1], b.following[length - 1]
         at = np.flatnonzero(b.place >= length - 1)
-        at = at[in_bitmap(known.some_contexts, b.context[length - 1][at], s.bits)]
-        rest = known.contexts.find(b.context[length - 1][at])
-        maybe = in_bitmap(known.some_following, b.following[length - 1][at], s.bits)
-        p = np.full(len(at), np.nan)
-        p[maybe] = known.following.find(b.following[length - 1][at[maybe]])
-        told = ~np.isnan(rest)
-        hit = at[told & ~np.isnan(p)]
-        value[hit], alone[hit], settled[hit] = p[told & ~np.isnan(p)], False, True
-        for o in opened:
-            o[hit] = _NONE
-        add = told & ~maybe
-        now = add & settled[at]
-        value[at[now]] += rest[now]
-        state[at[add & ~settled[at]]] = _ADD
-        state[at[told & maybe & np.isnan(p)]] = _WORD
-        state[at[~told]] = _BOTH
-        held[at[told]] = rest[told]
-        settled[state > _ADD] = False
-        opened.append(state)
-        rests.append(held)
-    return Walk(root, value, alone, opened, rests)
-
-
-_STEP = pa.struct([("rest", pa.float64()), ("context", pa.int64()), ("following", pa.int64())])
-_REQUEST = pa.struct([("times", pa.int64()), ("value", pa.float64()), ("word", pa.int64()), ("steps", pa.list_(_STEP))])
-_RARE = pa.struct([("word", pa.int64()), ("base", pa.int64()), ("score", pa.int64())])
-
-
-def _requests(b: Block, of: np.ndarray, n: int, w: Walk, undecided: np.ndarray) -> pa.Array:
-    """Per text, its distinct undecided tokens: the value below, the word if it is still to be added, and the open steps
-    from the shortest context up, each with a rest or the key of its context, and the key of a next word if there may be one."""
-    at = np.flatnonzero(undecided)
-    state = np.stack([o[at] for o in w.open_], 1)
-    top = state.shape[1] - 1 - np.argmax(state[:, ::-1] > _NONE, axis=1)
-    longest = np.choose(top, [f[at] for f in b.following])
-    ask_word = w.alone[at] & np.isnan(w.root[at])
-    order = np.lexsort((w.value[at], top, longest, of[at]))
-    at, state, top, longest, ask_word = at[order], state[order], top[order], longest[order], ask_word[order]
-    # tokens of a text with the same longest key and the same value below ask for the same
-    new = np.ones(len(at), bool)
-    new[1:] = ((of[at[1:]] != of[at[:-1]]) | (longest[1:] != longest[:-1]) | (top[1:] != top[:-1]) | (w.value[at[1:]] != w.value[at[:-1]])
-               | np.any(state[1:] != state[:-1], axis=1))
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(at)))
-    at, state, ask_word = at[first], state[first], ask_word[first]
-    some = state > _NONE
-    inner = np.append(0, np.cumsum(some.sum(axis=1))).astype(np.int32)
-    which, step = np.nonzero(some)
-    owner, kind = at[which], state[which, step]
-    if len(owner):
-        rest, context, following = (np.choose(step, [x[owner] for x in xs]) for xs in (w.rest, b.context, b.following))
-    else:
-        rest, context, following = np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    steps = pa.StructArray.from_arrays([
-        pa.array(rest, mask=kind == _BOTH), pa.array(context.view(np.int64), mask=kind != _BOTH),
-        pa.array(following.view(np.int64), mask=kind == _ADD)], names=[f.name for f in _STEP])
-    rows = pa.StructArray.from_arrays([
-        pa.array(times.astype(np.int64)), pa.array(w.value[at]), pa.array(b.word[at].view(np.int64), mask=~ask_word),
-        pa.ListArray.from_arrays(pa.array(inner), steps)], names=[f.name for f in _REQUEST])
-    offsets = np.searchsorted(of[at], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), rows).cast(pa.list_(_REQUEST))
-
-
-def _rare(b: Block, of: np.ndarray, n: int, ends: np.ndarray, root: np.ndarray) -> pa.Array:
-    """Per text, its distinct words that are not shared: occurrences, and those whose score ends in the word alone."""
-    at = np.flatnonzero(np.isnan(root))
-    at = at[np.lexsort((b.word[at], of[at]))]
-    new = np.ones(len(at), bool)
-    new[1:] = (of[at[1:]] != of[at[:-1]]) | (b.word[at[1:]] != b.word[at[:-1]])
+        at = at[_in_double_bitmap(known.some_contexts, context[at], s.bits)]
+        explicit = at[_in_double_bitmap(known.some_gains, following[at], s.bits)]
+        for where, kind, shared, keys in ((at, _CONTEXT, known.contexts, context), (explicit, _NEXT, known.gains, following)):
+            found = shared.find(keys[where])
+            open_ = np.isnan(found)
+            above[where] += np.where(open_, 0.0, found)
+            asked.append((where[open_], kind, keys[where[open_]]))
+    return Walk(root, above, np.concatenate([a for a, _, _ in asked]), np.repeat([k for _, k, _ in asked], [len(a) for a, _, _ in asked]),
+                np.concatenate([k for _, _, k in asked]))
+
+
+_ASKED = pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("times", pa.int64())])
+
+
+def _asked(of: np.ndarray, n: int, w: Walk) -> pa.Array:
+    """Per text, the distinct lookups and how many of its tokens need each."""
+    text = of[w.at]
+    order = np.lexsort((w.key, w.kind, text))
+    text, kind, key = text[order], w.kind[order], w.key[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])
     first = np.flatnonzero(new)
-    base = np.diff(np.append(first, len(at))).astype(np.int64)
-    alone = np.add.reduceat(ends[at].astype(np.int64), first) if len(first) else base
+    times = np.diff(np.append(first, len(text)))
     rows = pa.StructArray.from_arrays(
-        [pa.array(b.word[at[first]].view(np.int64)), pa.array(base), pa.array(alone)], names=[f.name for f in _RARE])
-    offsets = np.searchsorted(of[at[first]], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), rows).cast(pa.list_(_RARE))
+        [pa.array(kind[first].astype(np.int8)), pa.array(key[first].view(np.int64)), pa.array(times.astype(np.int64))], names=[f.name for f in _ASKED])
+    offsets = np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), rows).cast(pa.list_(_ASKED))
 
 
 def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -516,8 +486,9 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
     are treated alike; an empty table gives no rows, an empty training table makes every token unseen; other
     columns are ignored. Texts of any length are scored whole: a task works on 2 MB of texts, or one text, at a time.
     """
-    s, spark = tree.settings, docs.sparkSession
-    held = spark.sparkContext.broadcast(shortcut(tree))
+    s, spark, unseen = tree.settings, docs.sparkSession, tree.unseen
+    shared, others = shortcut(tree)
+    held = spark.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
@@ -526,64 +497,33 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
             b, n = block(batch.column(1), s.depth), batch.num_rows
             w = walk(b, known, s)
             length = np.diff(np.append(b.first, len(b.word)))
-            of, undecided = np.repeat(np.arange(n), length), w.undecided
-            here = np.where(undecided, 0.0, w.value)
+            told = ~np.isnan(w.root)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(row, row + n)), batch.column(0), pa.array(length),
-                pa.array(np.add.reduceat((~np.isnan(w.root)).astype(np.int64), b.first)),
-                pa.array(np.add.reduceat(np.nan_to_num(w.root), b.first)), pa.array(np.add.reduceat(here, b.first)),
-                _rare(b, of, n, w.alone & ~undecided, w.root), _requests(b, of, n, w, undecided),
-            ], names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rare", "requests"])
+                pa.array(np.add.reduceat(told.astype(np.int64), b.first)),
+                pa.array(np.add.reduceat(np.where(told, w.root, unseen), b.first)), pa.array(np.add.reduceat(w.above, b.first)),
+                _asked(np.repeat(np.arange(n), length), n, w),
+            ], names=["row", "id", "n_tokens", "n_known", "base_score", "above", "asked"])
             row += n
             pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     scored = materialize(docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(run, (
-        f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<struct<word: long, base: long, score: long>>, requests array<struct<times: long, value: double, word: long, "
-        "steps: array<struct<rest: double, context: long, following: long>>>>")), "scored")
-    root = tree.words.select("key", F.log10((F.col("n") + s.added) / F.lit(tree.denominator)).alias("value"))
-    # words that are not shared
-    rare = scored.select("row", F.inline("rare").alias("key", "base", "times")).join(root, "key", "left").select(
-        "row", (F.col("base") * F.coalesce("value", F.lit(tree.unseen))).alias("base"),
-        (F.col("times") * F.coalesce("value", F.lit(tree.unseen))).alias("score"),
-        F.when(F.col("value").isNotNull(), F.col("base")).otherwise(0).alias("known"))
-    more = rare.unionByName(_looked_up(scored, tree, root)).groupBy("row").agg(
-        F.sum("base").alias("more_base"), F.sum("score").alias("more_score"), F.sum("known").alias("more_known"))
+        f"row long, id {kind}, n_tokens long, n_known long, base_score double, above double, "
+        "asked array<struct<kind: tinyint, key: long, times: long>>")), "scored")
+    # key and row side by side: what differs from row to row of the shuffle stays together
+    asked = scored.select("row", F.inline("asked")).select("kind", "times", "key", "row")
+    found = asked.join(others, ["kind", "key"])
+    alone, value = F.col("kind") == _WORD, F.col("times") * F.col("value")
+    more = found.groupBy("row").agg(
+        F.sum(F.when(alone, value)).alias("more_base"), F.sum(F.when(~alone, value)).alias("more_above"),
+        F.sum(F.when(alone, F.col("times"))).alias("more_known"))
     zero = F.lit(0.0)
-    return scored.drop("rare", "requests").join(more, "row", "left").select(
+    base = F.col("base_score") + F.coalesce("more_base", zero)
+    return scored.drop("asked").join(more, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") + F.coalesce("more_base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", zero)).alias("score"))
-
-
-def _looked_up(scored: DataFrame, tree: Tree, root: DataFrame) -> DataFrame:
-    """Rows (row, base, score, known) of the tokens that tasks could not decide: their keys joined with the tables."""
-    asked = scored.select("row", F.posexplode("requests").alias("pos", "r"))
-    wanted = F.expr("""filter(concat(
-        transform(r.steps, (x, i) -> struct('c' AS kind, cast(i AS int) AS step, x.context AS key)),
-        transform(r.steps, (x, i) -> struct('f' AS kind, cast(i AS int) AS step, x.following AS key)),
-        array(struct('w' AS kind, 0 AS step, r.word AS key))), x -> x.key IS NOT NULL)""")
-    keys = asked.select("row", "pos", F.inline(wanted))
-    values = reduce(DataFrame.unionByName, [
-        tree.contexts.select(F.lit("c").alias("kind"), "key", F.col("log_rest").alias("value")),
-        tree.following.select(F.lit("f").alias("kind"), "key", F.col("log_p").alias("value")),
-        root.select(F.lit("w").alias("kind"), "key", "value")])
-    depth = tree.settings.depth
-
-    def value(kind: str, step: int) -> Column:
-        return F.max(F.when((F.col("kind") == kind) & (F.col("step") == step), F.col("value")))
-
-    found = keys.join(values, ["kind", "key"]).groupBy("row", "pos").agg(
-        value("w", 0).alias("w0"), *[value(kind, i).alias(f"{kind}{i}") for kind in "cf" for i in range(depth)])
-    whole = asked.join(found, ["row", "pos"], "left")
-    best = F.col("r.value") + F.when(F.col("r.word").isNull(), 0.0).otherwise(F.coalesce("w0", F.lit(tree.unseen)))
-    for i in range(depth):  # an unretained context has no value and leaves the score to its suffix
-        step = F.get("r.steps", F.lit(i))
-        rest = F.coalesce(step["rest"], F.col(f"c{i}"))
-        best = F.when(rest.isNull(), best).otherwise(F.coalesce(F.col(f"f{i}"), rest + best))
-    return whole.select("row", F.lit(0.0).alias("base"), (F.col("r.times") * best).alias("score"), F.lit(0).cast("long").alias("known"))
+        base.alias("base_score"), (base + F.col("above") + F.coalesce("more_above", zero)).alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
