@@ -3,9 +3,12 @@
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 
+from wirelens.operators import flows as B
 from wirelens.streaming import alerts as SA
+from wirelens.streaming import flows as SF
 
 
 class Store:
@@ -62,3 +65,48 @@ def test_alerts_enter_the_state_as_blocks():
             # of one rank the row that came first stands
             want.append(("k", at, min((r for r in rows if r[0] == at), key=lambda r: (r[1] is None, r[1] or ""))[2]))
     assert got == want and len(want) > 5 and not store.lists["pending"]
+
+
+def packets(n, seed):
+    rng = np.random.default_rng(seed)
+    rows = pd.DataFrame({"src_ip": rng.choice(["10.0.0.1", "10.0.0.2", None], n), "dst_ip": "192.168.1.1",
+                         "src_port": pd.Series(rng.integers(1, 9, n)).astype(object).where(rng.random(n) < 0.9, None),
+                         "dst_port": 80, "protocol": rng.choice([6, 17], n), "at": rng.integers(0, 400, n) * 10_000,
+                         "length": rng.integers(0, 1500, n), "forward": rng.random(n) < 0.5})
+    return rows.assign(**{c: rng.integers(0, 2, n) for c in SF._FLAGS})
+
+
+def by_key(frame, columns):
+    cells = frame[[*B.FIVE_TUPLE, *columns]].itertuples(index=False)
+    return sorted((tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in row) for row in cells), key=str)
+
+
+def test_sessions_of_a_shard_are_those_of_its_five_tuples():
+    gap, bucket, rows = 50_000, 1_000_000, packets(900, 7)
+    first, second, stores = SF.PacketBuckets(gap, bucket), SF.OpenSessions(gap, bucket), {}
+    emitted = []
+    for number, part in rows.groupby(rows["at"] // bucket):
+        store = stores[number] = Store()
+        first.init(store)
+        frames = [part.iloc[:100], part.iloc[100:]]
+        assert list(first.handleInputRows((3, number), iter(frames), None)) == []
+        assert store.calls == 2 and store.timers == {(number + 1) * 1000}
+        fired = SimpleNamespace(getExpiryTimeInMs=lambda at=(number + 1) * 1000: at)
+        emitted += first.handleExpiredTimer((3, number), None, fired)
+    assert len(stores) == 4 and [len(frame) for frame in emitted] == [1] * 4
+    store = Store()
+    second.init(store)
+    got = []
+    for frame in emitted:
+        assert list(second.handleInputRows((3,), iter([frame]), None)) == []
+        now = int(frame["passed"].iloc[0].timestamp() * 1000) + 1
+        for at in [t for t in store.timers if t <= now]:
+            got += second.handleExpiredTimer((3,), clock(now), SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+    while store.timers:
+        at = min(store.timers)
+        got += second.handleExpiredTimer((3,), clock(at), SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+    assert not store.lists["runs"] and len(got) > 1
+    want = [SF.packet_runs(part.drop(columns=B.FIVE_TUPLE), gap).assign(**dict(zip(B.FIVE_TUPLE, key, strict=True)))
+            for key, part in rows.groupby(B.FIVE_TUPLE, dropna=False)]
+    assert len(want) > 20
+    assert by_key(pd.concat(got).rename(columns=SF._OWN), B.RUN) == by_key(pd.concat(want), B.RUN)
